@@ -24,7 +24,7 @@ from gridloom.operators.sums import sum_over_rows
 MATRIX_COLUMNS = 18
 TOP_PAIRS = 60
 # Up to this many pairs Spark's own corr is used, beyond it one Arrow pass.
-NATIVE_PAIRS = 60
+NATIVE_PAIRS = 6
 NEIGHBOURS = 3
 EULER_GAMMA = 0.5772156649015329
 

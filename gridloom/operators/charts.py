@@ -19,6 +19,7 @@ from gridloom.operators.describe import aggregate_by_column
 from gridloom.operators.ordering import exact_quantiles
 from gridloom.operators.sums import sum_over_rows
 from gridloom.operators.value_counts import top_values, value_counts
+from gridloom.session import spread_small
 
 MAX_EDGES, FEW_BINS = 42, 40
 FEATURE_BARS, CLASS_BARS = 16, 24
@@ -97,93 +98,74 @@ def spreads(df: DataFrame, columns: list[str]) -> dict[str, Spread]:
     }
 
 
-def histogram(df: DataFrame, known: dict[str, Spread]) -> DataFrame:
-    """Bin counts of every charted column, empty bins included."""
-    spark = df.sparkSession
-    if not known:
-        return spark.createDataFrame([], HISTOGRAM_SCHEMA)
-    frame = [
-        (c, b, float(s.edges[b]), float(s.edges[b + 1]))
-        for c, s in known.items()
-        for b in range(s.bins)
-    ]
-    names = list(known)
-    binned = df.select(
-        *[_bin_index(_finite(c), known[c]).alias(f"b{i}") for i, c in enumerate(names)]
-    )
-    counted = (
-        binned.unpivot([], binned.columns, "slot", "bin")
-        .filter(F.col("bin").isNotNull())
-        .groupBy("slot", "bin")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn(
-            "column",
-            F.element_at(
-                F.create_map(*[F.lit(v) for i, c in enumerate(names) for v in (f"b{i}", c)]),
-                F.col("slot"),
-            ),
-        )
-        .drop("slot")
-    )
-    return (
-        spark.createDataFrame(frame, "column string, bin int, x_lo double, x_hi double")
-        .join(counted, ["column", "bin"], "left")
-        .select("column", "bin", "x_lo", "x_hi", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    )
-
-
-def _bin_index(value: Column, spread: Spread) -> Column:
-    """Bin by its left edge; the last bin includes its right edge."""
-    if spread.constant:
-        return F.when(value.isNotNull(), F.lit(0))
-    last = spread.bins - 1
-    step = (spread.high - spread.low) / spread.bins
-    low = F.lit(spread.low)
-    guess = F.least(F.floor((value - low) / step), F.lit(last))
-    # Division may round across an edge: settle by comparing with the edges.
-    settled = (
-        F.when(value < low + guess * step, guess - 1)
-        .when((guess < last) & (value >= low + (guess + 1) * step), guess + 1)
-        .otherwise(guess)
-    )
-    return F.when(value.isNotNull(), settled).cast("int")
-
+def chart_statistics(
+    df: DataFrame, known: dict[str, Spread]
+) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
+    """Bin counts and kernel density of every charted column in one pass.
 
-def densities(df: DataFrame, known: dict[str, Spread]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Gaussian kernel density of every column on its own grid, in one pass.
-
-    Each task sums the kernel over its own values per grid point, so no row is
-    paired with a grid row in Spark.
+    Each task counts its values per bin and sums the Gaussian kernel over them
+    per grid point, so no row is ever paired with a grid row in Spark. The
+    density is None below five values or for a constant column.
     """
-    smooth = {c: s for c, s in known.items() if s.n >= 5 and not s.constant}
-    if not smooth:
+    if not known:
         return {}
-    table = df.select(*[_finite(c).alias(f"c{i}") for i, c in enumerate(smooth)])
-    plan = [(s.grid, s.bandwidth) for s in smooth.values()]
-    ends = np.cumsum([len(g) for g, _ in plan])
+    rows = max(s.n for s in known.values())
+    table = spread_small(
+        df.select(*[_finite(c).alias(f"c{i}") for i, c in enumerate(known)]), rows
+    )
+    plan = [
+        (s.edges, s.grid if s.n >= 5 and not s.constant else None, s.bandwidth)
+        for s in known.values()
+    ]
+    sizes = [
+        size for edges, grid, _ in plan for size in (len(edges) - 1, 0 if grid is None else len(grid))
+    ]
+    ends = np.cumsum(sizes)
 
     def statistic(*columns):
         sums = []
-        for values, (grid, width) in zip(columns, plan):
+        for values, (edges, grid, width) in zip(columns, plan):
             values = np.asarray(values, float)
-            values = values[~np.isnan(values)]
-            sums.append(
-                np.exp(-0.5 * ((grid[:, None] - values[None, :]) / width) ** 2).sum(1)
-            )
+            values, weights = np.unique(values[~np.isnan(values)], return_counts=True)
+            # Left edges are inclusive; the last bin includes its right edge.
+            place = np.searchsorted(edges, values, side="right") - 1
+            place = np.clip(place, 0, len(edges) - 2)
+            sums.append(np.bincount(place, weights, len(edges) - 1).astype(float))
+            if grid is None:
+                sums.append(np.zeros(0))
+            else:
+                kernel = np.exp(-0.5 * ((grid[:, None] - values[None, :]) / width) ** 2)
+                sums.append(kernel @ weights)
         return np.concatenate(sums)
 
-    sums = np.split(sum_over_rows(table, table.columns, statistic, int(ends[-1])), ends[:-1])
+    totals = np.split(sum_over_rows(table, table.columns, statistic, int(ends[-1])), ends[:-1])
     out = {}
-    for (c, s), total in zip(smooth.items(), sums):
-        out[c] = (s.grid, total / (s.n * s.bandwidth * math.sqrt(2 * math.pi)))
+    for i, (c, s) in enumerate(known.items()):
+        density = totals[2 * i + 1]
+        scale = s.n * s.bandwidth * math.sqrt(2 * math.pi)
+        out[c] = (totals[2 * i], density / scale if len(density) else None)
     return out
 
 
+def histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Bin counts per column, empty bins included (at most 41 per column)."""
+    known = spreads(df, columns)
+    rows = [
+        (c, b, float(s.edges[b]), float(s.edges[b + 1]), int(counts[b]))
+        for (c, s), (counts, _) in zip(known.items(), chart_statistics(df, known).values())
+        for b in range(s.bins)
+    ]
+    return df.sparkSession.createDataFrame(rows, HISTOGRAM_SCHEMA)
+
+
 def density_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Kernel density per column on its grid (48 to 96 points)."""
+    known = spreads(df, columns)
     rows = [
         (c, i, float(x), float(v))
-        for c, (grid, values) in densities(df, spreads(df, columns)).items()
-        for i, (x, v) in enumerate(zip(grid, values))
+        for (c, s), (_, values) in zip(known.items(), chart_statistics(df, known).values())
+        if values is not None
+        for i, (x, v) in enumerate(zip(s.grid, values))
     ]
     return df.sparkSession.createDataFrame(rows, DENSITY_SCHEMA)
 
@@ -240,13 +222,13 @@ def choose_charts(df: DataFrame, target: str | None = None) -> ChartSet:
     return ChartSet(numeric, categorical, truncated)
 
 
-def numeric_chart(spread: Spread, counts: list[int], density) -> dict:
+def numeric_chart(spread: Spread, counts: np.ndarray, values: np.ndarray | None) -> dict:
     """One chart document: bins with the curve scaled to the highest bin."""
     points = [
         {
             "x_lo": round(float(spread.edges[b]), 6),
             "x_hi": round(float(spread.edges[b + 1]), 6),
-            "count": counts[b],
+            "count": int(counts[b]),
             "kde": None,
         }
         for b in range(spread.bins)
@@ -260,9 +242,8 @@ def numeric_chart(spread: Spread, counts: list[int], density) -> dict:
         "x_min": spread.low,
         "x_max": spread.high,
     }
-    if density is not None:
-        grid, values = density
-        peak = max(counts)
+    if values is not None:
+        grid, peak = spread.grid, counts.max()
         if values.max() > 0 and peak > 0:
             values = values / values.max() * peak
         middles = (spread.edges[:-1] + spread.edges[1:]) / 2
@@ -276,14 +257,9 @@ def numeric_chart(spread: Spread, counts: list[int], density) -> dict:
 def chart_documents(
     df: DataFrame, numeric: dict[str, Spread], categorical: list[str], max_bars: int = FEATURE_BARS
 ) -> dict[str, dict]:
-    """Chart documents of the given columns in two jobs over the table."""
-    heights: dict[str, list[int]] = {c: [0] * s.bins for c, s in numeric.items()}
-    for row in histogram(df, numeric).collect():
-        heights[row.column][row.bin] = row.cnt
-    curves = densities(df, numeric)
-    out = {
-        c: numeric_chart(s, heights[c], curves.get(c)) for c, s in numeric.items()
-    }
+    """Chart documents of the given columns."""
+    measured = chart_statistics(df, numeric)
+    out = {c: numeric_chart(s, *measured[c]) for c, s in numeric.items()}
     if categorical:
         counts = value_counts(df, categorical).persist()
         present = {

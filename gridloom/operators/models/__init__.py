@@ -1,0 +1 @@
+"""Supervised and unsupervised model fitting over prepared feature arrays."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Rows a lookup table may hold before a join on it is left to shuffle.
 BROADCAST_ROWS = 200_000
+# Tables up to this size are spread over the cores before heavy work.
+SPREAD_ROWS = 5_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -33,6 +35,17 @@ def bounded_lookup(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """Spread a small table over all cores before CPU-heavy work.
+
+    A small table often arrives as one file split and would occupy one core. A
+    table beyond the row bound has splits enough and is left as it is.
+    """
+    if rows > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def local_session(cores: int | str = "*", name: str = "gridloom") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     parallel = "8" if cores == "*" else str(cores)
@@ -45,6 +58,7 @@ def local_session(cores: int | str = "*", name: str = "gridloom") -> SparkSessio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()
     )
