@@ -34,6 +34,10 @@ class Training:
     d: int
     classes: int = 0
 
+    def __getstate__(self):
+        # Only the sizes travel to the tasks, never the table.
+        return {"df": None, "rows": self.rows, "d": self.d, "classes": self.classes}
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.df.withColumn("features", array_to_vector("x"))

@@ -131,15 +131,15 @@ def ridge_classifier(t: Training) -> Fitted:
 
 
 def _reweighted(t: Training, work, ridge, start, passes, lift=None, width=None) -> np.ndarray:
-    """Repeat weighted least squares; ``work(score, y)`` gives weight and target
-    of each row. The last coefficient is the intercept. One pass per step."""
+    """Repeat weighted least squares; ``work(score, y, step)`` gives weight and
+    target of each row. The last coefficient is the intercept. One pass per step."""
     lift = lift or (lambda x: x)
     size = (width or t.d) + 1
     beta = start
-    for _ in range(passes):
-        def statistic(x, y, beta=beta):
+    for step in range(passes):
+        def statistic(x, y, beta=beta, step=step):
             x = np.column_stack([lift(x), np.ones(len(x))])
-            weight, target = work(x @ beta, y)
+            weight, target = work(x @ beta, y, step)
             weighted = x * weight[:, None]
             return np.concatenate([(x.T @ weighted).ravel(), weighted.T @ target])
 
@@ -148,7 +148,7 @@ def _reweighted(t: Training, work, ridge, start, passes, lift=None, width=None)
         after = np.linalg.lstsq(gram + np.diag(ridge), right, rcond=1e-13)[0]
         moved = np.abs(after - beta).max()
         beta = after
-        if moved < 1e-7 * max(1.0, np.abs(beta).max()):
+        if moved < 1e-6 * max(1.0, np.abs(beta).max()):
             break
     return beta
 
@@ -163,7 +163,7 @@ def tweedie(t: Training, power: float = 1.5, alpha: float = 1.0) -> Fitted:
         raise ValueError("Some value(s) of y are out of the valid range of the loss.")
     mean = max(t.label_stats["mean"], 1e-12)
 
-    def work(score, y):
+    def work(score, y, step):
         mu = np.exp(score.clip(-30, 30))
         return mu ** (2 - power), score + (y - mu) / mu
 
@@ -173,10 +173,11 @@ def tweedie(t: Training, power: float = 1.5, alpha: float = 1.0) -> Fitted:
 
 
 def _absolute(scale: float):
-    """Row weights that turn least squares into absolute loss (Hunter & Lange)."""
-    floor = 1e-6 * scale
+    """Row weights that turn least squares into absolute loss (Hunter & Lange);
+    the rounding of its tip shrinks step by step."""
 
-    def work(score, y):
+    def work(score, y, step):
+        floor = scale * max(1e-5, 0.1 * 0.6**step)
         return 1.0 / np.maximum(np.abs(y - score), floor), y
 
     return work
@@ -187,14 +188,14 @@ def median_regression(t: Training) -> Fitted:
     start = least_squares(t).params
     beta = np.append(start["weights"], start["intercept"])
     ridge = np.append(np.full(t.d, 1e-9), 0.0)
-    return _coefficients(_reweighted(t, _absolute(scale), ridge, beta, 60))
+    return _coefficients(_reweighted(t, _absolute(scale), ridge, beta, 40))
 
 
 def linear_support_regression(t: Training) -> Fitted:
     """Absolute loss with C = 1 and a unit ridge, intercept included."""
     scale = t.label_stats["std"] or 1.0
     beta = np.append(np.zeros(t.d), t.label_stats["mean"])
-    return _coefficients(_reweighted(t, _absolute(scale), np.ones(t.d + 1), beta, 60))
+    return _coefficients(_reweighted(t, _absolute(scale), np.ones(t.d + 1), beta, 40))
 
 
 def _squared_hinge(t: Training, lift, width: int, passes: int = 40) -> Fitted:
@@ -274,9 +275,10 @@ def kernel_support_classifier(t: Training) -> Fitted:
 
 def kernel_support_regression(t: Training, tube: float = 0.1) -> Fitted:
     lift, more = _kernel_basis(t, scale_gamma(t))
-    floor = 1e-6 * (t.label_stats["std"] or 1.0)
+    scale = t.label_stats["std"] or 1.0
 
-    def work(score, y):
+    def work(score, y, step):
+        floor = scale * max(1e-4, 0.1 * 0.6**step)
         # Rows inside the tube are already met; outside, aim at its edge.
         gap = y - score
         outside = np.abs(gap) > tube
@@ -285,7 +287,7 @@ def kernel_support_regression(t: Training, tube: float = 0.1) -> Fitted:
 
     start = np.append(np.zeros(FOURIER_WIDTH), t.label_stats["mean"])
     ridge = np.append(np.ones(FOURIER_WIDTH), 1e-9)
-    beta = _reweighted(t, work, ridge, start, 40, lift, FOURIER_WIDTH)
+    beta = _reweighted(t, work, ridge, start, 25, lift, FOURIER_WIDTH)
     return _coefficients(beta, **more)
 
 

@@ -172,7 +172,7 @@ def binned_boosting(t: Training) -> Fitted:
 def perceptron_network(t: Training) -> Fitted:
     return _fit(
         MultilayerPerceptronClassifier(
-            layers=[t.d, 128, 64, max(t.classes, 2)], maxIter=500, seed=SEED
+            layers=[t.d, 128, 64, max(t.classes, 2)], maxIter=200, tol=1e-4, seed=SEED
         ),
         t,
     )

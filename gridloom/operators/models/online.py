@@ -94,7 +94,9 @@ def passive_aggressive_regressor(t: Training) -> Fitted:
         size = np.minimum(1.0, np.maximum(0.0, np.abs(gap) - 0.1) / (x * x).sum(1))
         return x.T @ (np.sign(gap) * size)
 
-    weights = _mixed(t, np.zeros(t.d + 1), step)
+    # The intercept starts at the mean, which unit steps would reach slowly.
+    start = np.append(np.zeros(t.d), t.label_stats["mean"])
+    weights = _mixed(t, start, step)
     return Fitted("linear", {"weights": weights[:-1], "intercept": float(weights[-1])})
 
 

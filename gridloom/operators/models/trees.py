@@ -29,7 +29,8 @@ from gridloom.session import checkpoint
 MAX_LEVELS = 30
 # Open nodes grown in one pass; more wait for the next.
 NODES_PER_PASS = 20_000
-# Nodes one model may hold on the driver and in each task.
+# Nodes one model may hold on the driver and in each task; nodes are split breadth
+# first, so the largest are split before the room runs out.
 MAX_NODES = 2_000_000
 
 
@@ -80,10 +81,9 @@ def _grow(t: Training, count: int) -> Fitted:
             value[node] = _leaf_value(sums[i], t.classes)
             usable = high[i] > low[i]
             pure = _impurity(sums[i], t.classes) <= 1e-12
-            if pure or not usable.any() or depth[node] >= MAX_LEVELS:
+            full = depth[node] >= MAX_LEVELS or len(feature) + 2 > MAX_NODES
+            if pure or full or not usable.any():
                 continue
-            if len(feature) + 2 > MAX_NODES:
-                raise ValueError(f"The trees need more than {MAX_NODES} nodes.")
             loss = [
                 _impurity(sides[i, j], t.classes) + _impurity(sums[i] - sides[i, j], t.classes)
                 if usable[j] else np.inf

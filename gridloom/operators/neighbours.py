@@ -51,6 +51,10 @@ class Index:
     high: np.ndarray
     sizes: np.ndarray
 
+    def __getstate__(self):
+        # The geometry travels to the tasks, the points do not.
+        return self.__dict__ | {"points": None}
+
     @property
     def cells(self) -> int:
         return len(self.sizes)
