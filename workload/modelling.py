@@ -1,0 +1,418 @@
+"""Registered model queries: closed forms against SQL, others by their metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators.models import bayes, clusters, decomposition, linear, native, nearest
+from gridloom.operators.models.base import apply_model
+from gridloom.operators.models.registry import SUPERVISED, UNSUPERVISED
+from gridloom.plans import training
+from gridloom.sources import store
+from workload.common import (
+    embedding_columns,
+    line_of,
+    metric_rows,
+    numbers,
+    query,
+    rounded,
+    shared_folder,
+    table,
+)
+
+# --- lines with a closed form -------------------------------------------------
+
+_Y = "l_quantity * 0.5 + l_extendedprice / 10000.0"
+_STATS = f"""WITH s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c,
+  var_pop(x) AS v FROM (SELECT l_quantity AS x, {_Y} AS y FROM lineitem)),
+  w AS (SELECT {{weight}} AS w, mx, my FROM s)
+  SELECT 'weight_0' AS term, round(w, 5) AS value FROM w
+  UNION ALL SELECT 'intercept', round(my - w * mx, 5) FROM w"""
+_OLS = "c / v"
+_LINES = {
+    "linear_regression": (native.ordinary, _OLS),
+    "multiple_linear_regression": (native.ordinary, _OLS),
+    "ridge": (native.ridge, "c * n / (v * n + 1)"),
+    "lasso": (native.lasso, "sign(c) * greatest(abs(c) - 1, 0) / v"),
+    "elastic_net": (native.elastic_net, "sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5)"),
+    "lars": (linear.least_squares, _OLS),
+    "lasso_lars": (linear.lasso_path_end, "sign(c) * greatest(abs(c) - 1, 0) / v"),
+    "sgd_regressor": (linear.sgd_regressor, "c / (v + 0.0001)"),
+    "omp": (linear.matching_pursuit, _OLS),
+}
+
+
+def _register_line(name, fit, weight):
+    @query(f"fit_{name}", _STATS.format(weight=weight))
+    def run(spark, sf):
+        df = table(spark, sf, "lineitem").select("l_quantity", F.expr(_Y).alias("y"))
+        return line_of(spark, fit(numbers(df, ["l_quantity"], "y")))
+
+
+for _name, (_fit, _weight) in _LINES.items():
+    _register_line(_name, _fit, _weight)
+
+
+# --- classifiers whose scores SQL can repeat -----------------------------------
+
+
+def _argmax(scores: str) -> str:
+    """Counts of (label, prediction) from (id, y, k, score) rows."""
+    return f"""b AS (SELECT id, y, k, row_number() OVER (PARTITION BY id ORDER BY score DESC, k)
+  AS rn FROM ({scores})) SELECT y::DOUBLE AS label, k::DOUBLE AS prediction, count(*) AS cnt
+  FROM b WHERE rn = 1 GROUP BY 1, 2"""
+
+
+def _predictions(fitted, t):
+    return (
+        apply_model(fitted, t.df)
+        .groupBy("label", "prediction")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+
+
+_FLAGS = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+_LINES_T = f"""t AS (SELECT row_number() OVER () AS id, l_quantity AS a,
+  l_extendedprice / 1000.0 AS b, {_FLAGS} AS y FROM lineitem)"""
+
+
+def _priced(spark, sf, features=("a", "b")):
+    df = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("a"),
+        (F.col("l_extendedprice") / 1000.0).alias("b"),
+        F.expr(_FLAGS).alias("y"),
+    )
+    return numbers(df, list(features), "y", 3)
+
+
+@query(
+    "fit_gaussian_nb",
+    f"""WITH {_LINES_T}, e AS (SELECT 1e-9 * greatest(var_pop(a), var_pop(b)) AS e FROM t),
+  s AS (SELECT y AS k, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) + max(e) AS va,
+    var_pop(b) + max(e) AS vb FROM t, e GROUP BY y), """
+    + _argmax(
+        """SELECT id, y, k, ln(n) - 0.5 * (ln(va) + ln(vb)) - 0.5 * (pow(a - ma, 2) / va
+  + pow(b - mb, 2) / vb) AS score FROM t, s"""
+    ),
+)
+def fit_gaussian_nb(spark, sf):
+    t = _priced(spark, sf)
+    return _predictions(bayes.gaussian_bayes(t), t)
+
+
+_CLASS_STATS = """s AS (SELECT y AS k, count(*) AS n, avg(a) AS m, var_samp(a) AS v,
+  sum(a * a) - count(*) * avg(a) * avg(a) AS ss FROM t GROUP BY y),
+  p AS (SELECT sum(ss) / (sum(n) - count(*)) AS pooled FROM s)"""
+
+
+@query(
+    "fit_lda",
+    f"WITH {_LINES_T}, {_CLASS_STATS}, "
+    + _argmax(
+        """SELECT id, y, k, a * m / pooled - 0.5 * m * m / pooled + ln(n) AS score
+  FROM t, s, p"""
+    ),
+)
+def fit_lda(spark, sf):
+    t = _priced(spark, sf, ["a"])
+    return _predictions(bayes.linear_discriminant(t), t)
+
+
+@query(
+    "fit_qda",
+    f"WITH {_LINES_T}, {_CLASS_STATS}, "
+    + _argmax(
+        """SELECT id, y, k, ln(n) - 0.5 * ln(v) - 0.5 * pow(a - m, 2) / v AS score
+  FROM t, s"""
+    ),
+)
+def fit_qda(spark, sf):
+    t = _priced(spark, sf, ["a"])
+    return _predictions(bayes.quadratic_discriminant(t), t)
+
+
+@query(
+    "fit_ridge_classifier",
+    f"""WITH {_LINES_T}, c AS (SELECT range AS k FROM range(3)),
+  g AS (SELECT k, 2 * avg((y = k)::INT) - 1 AS mean_y, avg(a) AS mx,
+    2 * (sum(a * (y = k)::INT) - count(*) * avg(a) * avg((y = k)::INT)) /
+    (count(*) * var_pop(a) + 1) AS w FROM t, c GROUP BY k), """
+    + _argmax("SELECT id, y, k, mean_y + w * (a - mx) AS score FROM t, g"),
+)
+def fit_ridge_classifier(spark, sf):
+    t = _priced(spark, sf, ["a"])
+    return _predictions(linear.ridge_classifier(t), t)
+
+
+_CODES_T = f"""t AS (SELECT row_number() OVER () AS id, l_linenumber::DOUBLE AS a,
+  round(l_discount * 100) AS b, round(l_tax * 100) AS c, {_FLAGS} AS y FROM lineitem)"""
+
+
+def _codes(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("double").alias("a"),
+        F.round(F.col("l_discount") * 100).alias("b"),
+        F.round(F.col("l_tax") * 100).alias("c"),
+        F.expr(_FLAGS).alias("y"),
+    )
+    return numbers(df, ["a", "b", "c"], "y", 3)
+
+
+@query(
+    "fit_multinomial_nb",
+    f"""WITH {_CODES_T}, s AS (SELECT y AS k, ln(count(*)) AS p, sum(a) + 1 AS sa, sum(b) + 1 AS sb,
+  sum(c) + 1 AS sc FROM t GROUP BY y), """
+    + _argmax(
+        """SELECT id, y, k, p + a * ln(sa / (sa + sb + sc)) + b * ln(sb / (sa + sb + sc))
+  + c * ln(sc / (sa + sb + sc)) AS score FROM t, s"""
+    ),
+)
+def fit_multinomial_nb(spark, sf):
+    t = _codes(spark, sf)
+    return _predictions(native.naive_bayes("multinomial")(t), t)
+
+
+@query(
+    "fit_complement_nb",
+    f"""WITH {_CODES_T}, s AS (SELECT y AS k, sum(a) AS sa, sum(b) AS sb, sum(c) AS sc FROM t
+  GROUP BY y), r AS (SELECT k, sum(sa) OVER () - sa + 1 AS ra, sum(sb) OVER () - sb + 1 AS rb,
+  sum(sc) OVER () - sc + 1 AS rc FROM s), """
+    + _argmax(
+        """SELECT id, y, k, -(a * ln(ra / (ra + rb + rc)) + b * ln(rb / (ra + rb + rc))
+  + c * ln(rc / (ra + rb + rc))) AS score FROM t, r"""
+    ),
+)
+def fit_complement_nb(spark, sf):
+    t = _codes(spark, sf)
+    return _predictions(native.naive_bayes("complement")(t), t)
+
+
+def _flag_score(name):
+    return f"CASE WHEN {name} > 0 THEN ln(p{name}) ELSE ln(1 - p{name}) END"
+
+
+@query(
+    "fit_bernoulli_nb",
+    f"""WITH {_CODES_T}, s AS (SELECT y AS k, ln(count(*)) AS p,
+  (sum((a > 0)::INT) + 1.0) / (count(*) + 2) AS pa, (sum((b > 0)::INT) + 1.0) / (count(*) + 2) AS pb,
+  (sum((c > 0)::INT) + 1.0) / (count(*) + 2) AS pc FROM t GROUP BY y), """
+    + _argmax(
+        f"SELECT id, y, k, p + {_flag_score('a')} + {_flag_score('b')} + {_flag_score('c')} AS score "
+        "FROM t, s"
+    ),
+)
+def fit_bernoulli_nb(spark, sf):
+    t = _codes(spark, sf)
+    return _predictions(native.naive_bayes("bernoulli")(t), t)
+
+
+def _category(name):
+    return f"""{name}n AS (SELECT y AS k, {name} AS v, count(*) AS c FROM t GROUP BY 1, 2)"""
+
+
+def _category_log(name):
+    return (
+        f"ln((coalesce((SELECT c FROM {name}n WHERE {name}n.k = s.k AND {name}n.v = u.{name}), 0)"
+        f" + 1.0) / (n + max_{name} + 1))"
+    )
+
+
+@query(
+    "fit_categorical_nb",
+    f"""WITH {_CODES_T}, {_category('a')}, {_category('b')}, {_category('c')},
+  s AS (SELECT y AS k, count(*) AS n FROM t GROUP BY y),
+  m AS (SELECT max(a) AS max_a, max(b) AS max_b, max(c) AS max_c FROM t),
+  u AS (SELECT DISTINCT a, b, c FROM t),
+  z AS (SELECT u.a, u.b, u.c, s.k, ln(n) + {_category_log('a')} + {_category_log('b')}
+    + {_category_log('c')} AS score FROM u, s, m), """
+    + _argmax("SELECT id, y, z.k, z.score FROM t JOIN z USING (a, b, c)"),
+)
+def fit_categorical_nb(spark, sf):
+    t = _codes(spark, sf)
+    return _predictions(bayes.categorical_bayes(t), t)
+
+
+# --- neighbours -----------------------------------------------------------------
+
+_PLACES = """t AS (SELECT c_custkey AS id, c_acctbal / 1000.0 AS a, c_nationkey::DOUBLE AS b,
+  (c_custkey % 100)::DOUBLE AS y FROM customer)"""
+
+
+def _places(spark, sf, keep=()):
+    return table(spark, sf, "customer").select(
+        "c_custkey",
+        F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey").cast("double")).alias("x"),
+        (F.col("c_custkey") % 100).cast("double").alias("label"),
+    )
+
+
+@query(
+    "fit_knn",
+    f"""WITH {_PLACES}, d AS (SELECT q.id, p.y, sqrt(pow(q.a - p.a, 2) + pow(q.b - p.b, 2)) AS gap,
+    row_number() OVER (PARTITION BY q.id ORDER BY pow(q.a - p.a, 2) + pow(q.b - p.b, 2)) AS rn
+    FROM t q, t p WHERE q.id % 2 = 1 AND p.id % 2 = 0)
+  SELECT id AS c_custkey, round(CASE WHEN min(gap) = 0 THEN avg(y) FILTER (gap = 0)
+    ELSE sum(y / gap) / sum(1 / gap) END, 5) AS prediction FROM d WHERE rn <= 5 GROUP BY id""",
+)
+def fit_knn(spark, sf):
+    """Odd customers predicted from the even ones."""
+    df = _places(spark, sf)
+    even = df.filter("c_custkey % 2 = 0")
+    model = nearest.knn(training.Training(even, even.count(), 2))
+    odd = df.filter("c_custkey % 2 = 1").select("c_custkey", "x")
+    return rounded(
+        apply_model(model, odd).select("c_custkey", "prediction"), "prediction", digits=5
+    )
+
+
+@query(
+    "fit_dbscan",
+    f"""WITH {_PLACES}, n AS (SELECT q.id, count(*) AS c FROM t q, t p
+    WHERE sqrt(pow(q.a - p.a, 2) + pow(q.b - p.b, 2)) <= 0.5 GROUP BY q.id),
+  core AS (SELECT t.* FROM t JOIN n USING (id) WHERE c >= 5),
+  o AS (SELECT b, a, a - lag(a) OVER (PARTITION BY b ORDER BY a) AS step FROM core),
+  r AS (SELECT DISTINCT q.id FROM t q, core p
+    WHERE sqrt(pow(q.a - p.a, 2) + pow(q.b - p.b, 2)) <= 0.5)
+  SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM r) AS noise_rows,
+  (SELECT count(*) FROM o WHERE step IS NULL OR step > 0.5) AS n_clusters""",
+)
+def fit_dbscan(spark, sf):
+    """Nations are a unit apart, so clusters are runs of balances per nation."""
+    df = _places(spark, sf).select("x").persist()
+    model = clusters.dbscan(training.Training(df, df.count(), 2))
+    found = apply_model(model, df)
+    return found.agg(
+        F.count(F.when(F.col("prediction") < 0, 1)).alias("noise_rows"),
+        F.count_distinct(F.when(F.col("prediction") >= 0, F.col("prediction"))).alias("n_clusters"),
+    )
+
+
+# --- principal components ---------------------------------------------------------
+
+
+@query(
+    "fit_pca",
+    """WITH s AS (SELECT var_pop(l_extendedprice / 1000.0) AS a, var_pop(l_quantity) AS c,
+    covar_pop(l_extendedprice / 1000.0, l_quantity) AS b FROM lineitem),
+  e AS (SELECT ((a + c) + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 / (a + c) AS share FROM s)
+  SELECT CASE WHEN share > 0.95 THEN 1 ELSE 2 END::BIGINT AS n_components,
+  round(CASE WHEN share > 0.95 THEN share ELSE 1 END, 6) AS explained_variance_ratio_sum FROM e""",
+)
+def fit_pca(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") / 1000.0).alias("a"), F.col("l_quantity").alias("b")
+    )
+    facts = decomposition.pca(numbers(df, ["a", "b"])).facts
+    return rounded(
+        spark.createDataFrame(
+            [(facts["n_components"], facts["explained_variance_ratio_sum"])],
+            "n_components bigint, explained_variance_ratio_sum double",
+        ),
+        "explained_variance_ratio_sum",
+    )
+
+
+# --- training runs without a closed form: their metrics ----------------------------
+
+_SQL_TWINS = set(_LINES) | {
+    "gaussian_nb", "lda", "qda", "ridge_classifier", "multinomial_nb", "complement_nb",
+    "bernoulli_nb", "categorical_nb",
+}
+# Long sequential fits run on the smaller table.
+_LONG = {"adaboost", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "mlp"}
+
+
+def _supplier(spark, sf):
+    return table(spark, sf, "supplier").select(
+        "s_suppkey",
+        "s_nationkey",
+        "s_acctbal",
+        F.expr("CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END").alias("level"),
+    )
+
+
+def _register_training(spec, task):
+    suffix = "" if spec.kind != "both" else f"_{task}"
+
+    @query(f"train_{spec.id}{suffix}")
+    def run(spark, sf):
+        if spec.id in _LONG:
+            df, target = _supplier(spark, sf), "level" if task == "classification" else "s_acctbal"
+            df = df.drop("s_acctbal" if task == "classification" else "level")
+        else:
+            df = table(spark, sf, "part").drop("p_partkey", "p_name")
+            target = "p_type" if task == "classification" else "p_retailprice"
+        model = training.train(df, target, spec.id)
+        return metric_rows(spark, model.metadata["metrics"])
+
+
+for _spec in SUPERVISED:
+    if _spec.id not in _SQL_TWINS:
+        for _task in ("classification", "regression"):
+            if _spec.kind in (_task, "both"):
+                _register_training(_spec, _task)
+
+
+def _register_unsupervised(spec):
+    @query(f"train_{spec.id}")
+    def run(spark, sf):
+        df = embedding_columns(spark, sf, 12)
+        if spec.id in ("nmf", "lda_topic"):
+            df = df.select(*[F.abs(F.col(c)).alias(c) for c in df.columns])
+        if spec.family == "anomaly":
+            df = table(spark, sf, "customer").select("c_acctbal", "c_nationkey")
+        if spec.id == "fast_ica":
+            df = table(spark, sf, "part").select("p_size", "p_retailprice")
+        model = training.fit_unsupervised(df, spec.family, spec.id)
+        return metric_rows(spark, model.metadata["metrics"])
+
+
+for _spec in UNSUPERVISED:
+    if _spec.id not in ("pca", "dbscan"):
+        _register_unsupervised(_spec)
+
+
+# --- comparison, saving and scoring ------------------------------------------------
+
+
+@query("leaderboard")
+def leaderboard(spark, sf):
+    df = table(spark, sf, "part").drop("p_partkey", "p_name")
+    ids = ["lda", "gaussian_nb", "ridge", "lda", "categorical_nb"]
+    runs = training.compare(df, "p_type", ids)
+    return store.described(store.run_rows(spark, runs, "part")).select(
+        "algorithm_id", "status", "metric_line", "message", "hint"
+    )
+
+
+@query(
+    "score_saved_model",
+    "SELECT count(*) AS n_rows, count(p_type) AS predicted FROM part",
+)
+def score_saved_model(spark, sf):
+    df = table(spark, sf, "part").drop("p_partkey", "p_name")
+    folder = shared_folder(spark, "model")
+    store.save_model(training.train(df, "p_type", "lda"), folder, "part")
+    scored = training.score(store.load_model(spark, folder), df.drop("p_type"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("predicted")
+    )
+
+
+@query("score_embedding")
+def score_embedding(spark, sf):
+    df = embedding_columns(spark, sf, 12)
+    model = training.fit_unsupervised(df, "decomposition", "incremental_pca")
+    return training.score(model, df).select("embedding")
+
+
+@query("run_log")
+def run_log(spark, sf):
+    """One failing and one finished run, written, read back and described."""
+    df = table(spark, sf, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
+    runs = training.compare(df, "c_acctbal", ["linear_regression", "lda"])
+    folder = shared_folder(spark, "runs")
+    store.log_runs(store.run_rows(spark, runs, "customer"), folder)
+    return store.read_runs(spark, folder).select(
+        "algorithm_id", "status", "metric_line", "message", "hint"
+    )
