@@ -23,7 +23,7 @@ from gridloom.operators.sums import sum_over_rows
 
 MATRIX_COLUMNS = 18
 TOP_PAIRS = 60
-# Up to this many pairs Spark's own corr is used, beyond it one Arrow pass.
+# Up to this many pairs built-in aggregates are used, beyond it one Arrow pass.
 NATIVE_PAIRS = 6
 NEIGHBOURS = 3
 EULER_GAMMA = 0.5772156649015329
@@ -51,12 +51,27 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> list[tuple]
 
 
 def _native_pairs(df, pairs):
-    expressions = []
-    for a, b in pairs:
-        both = as_number(a).isNotNull() & as_number(b).isNotNull()
-        expressions += [F.count(F.when(both, 1)), F.corr(as_number(a), as_number(b))]
+    expressions = [e for a, b in pairs for e in _pair_moments(a, b)]
     row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(expressions)]).first()
-    return {pair: (row[2 * i], row[2 * i + 1]) for i, pair in enumerate(pairs)}
+    return {pair: _pair_r(row[4 * i : 4 * i + 4]) for i, pair in enumerate(pairs)}
+
+
+def _pair_moments(a, b) -> list[Column]:
+    """Count, deviations and covariance over the rows where both are present."""
+    x, y = as_number(a), as_number(b)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return [F.count(x), F.stddev_pop(x), F.stddev_pop(y), F.covar_pop(x, y)]
+
+
+def _pair_r(facts) -> tuple[int, float | None]:
+    """Shared rows and r; a flat column has no correlation (Spark's own ``corr``
+    stops with a division error there)."""
+    n, sx, sy, covariance = facts
+    if n == 0 or sx < 1e-12 or sy < 1e-12:
+        return n, None
+    r = covariance / (sx * sy)
+    return n, r if math.isfinite(r) else None
 
 
 def _wide_pairs(df, columns):
@@ -103,18 +118,8 @@ def strongest_pairs(table: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:
 
 def target_correlations(df: DataFrame, target: str, features: list[str]) -> dict[str, tuple]:
     """Per numeric feature: (shared rows, Pearson r or None) with the target."""
-
-    def wanted(c):
-        x, y = as_number(c), as_number(target)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        return [F.count(x), F.stddev_pop(x), F.stddev_pop(y), F.corr(x, y)]
-
-    out = {}
-    for c, (n, sx, sy, r) in aggregate_by_column(df, features, wanted).items():
-        flat = n == 0 or sx < 1e-12 or sy < 1e-12
-        out[c] = (n, None if flat or r is None or not math.isfinite(r) else r)
-    return out
+    found = aggregate_by_column(df, features, lambda c: _pair_moments(c, target))
+    return {c: _pair_r(facts) for c, facts in found.items()}
 
 
 def _n_log_n(count: Column) -> Column:

@@ -241,7 +241,7 @@ def id_like_columns(df: DataFrame, counts: DataFrame, target: str | None = None)
     usable = [
         f.name for f in df.schema if f.dataType.typeName() != "boolean" and f.name != target
     ]
-    ratio = F.col("n_unique") / F.col("non_null_count")
+    ratio = F.try_divide(F.col("n_unique").cast("double"), F.col("non_null_count"))
     return (
         level_counts(counts.filter(F.col("column").isin(usable)))
         .filter((F.col("non_null_count") >= 10) & (ratio >= 0.97))

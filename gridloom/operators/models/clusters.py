@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.operators.models.base import (
+    SCORERS,
     SEED,
     Fitted,
     Training,
@@ -51,9 +52,28 @@ def gaussian_mixture(t: Training) -> Fitted:
 
 
 def agglomerative(t: Training) -> Fitted:
-    """Hierarchical clusters, top down."""
-    model = BisectingKMeans(k=_count(t, CLUSTERS), seed=SEED)
-    return Fitted("spark", model=model.fit(t.vectors))
+    """Hierarchical clusters, top down.
+
+    Spark starts each division at the centre plus noise in proportion to the
+    centre's length, so centred data are moved away from the origin first.
+    """
+    m = t.x_moments
+    shift = 5 * np.sqrt(np.diag(m.covariance)) - m.x_mean
+    moved = Training(_shifted(t.df, shift), t.rows, t.d)
+    model = BisectingKMeans(k=_count(t, CLUSTERS), seed=SEED).fit(moved.vectors)
+    return Fitted("shifted", {"shift": shift}, model=model)
+
+
+def _shifted(df, shift):
+    steps = F.array(*[F.lit(float(v)) for v in shift])
+    return df.withColumn("x", F.zip_with("x", steps, lambda a, b: a + b))
+
+
+@scorer("shifted")
+def _shifted_score(fitted, df):
+    kept = df.withColumn("_kept", F.col("x"))
+    out = SCORERS["spark"](fitted, _shifted(kept, arrays(fitted.params)["shift"]))
+    return out.withColumn("x", F.col("_kept")).drop("_kept")
 
 
 @scorer("centres")

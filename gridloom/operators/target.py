@@ -80,7 +80,9 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
             explanation.alias("target_task_explanation"),
             "target_n_unique",
             "target_missing_count",
-            (100.0 * F.col("target_missing_count") / F.col("_n")).alias("target_missing_pct"),
+            F.try_divide(100.0 * F.col("target_missing_count"), F.col("_n")).alias(
+                "target_missing_pct"
+            ),
         )
     )
 
@@ -92,8 +94,8 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 
 def class_balance(distribution: DataFrame) -> DataFrame:
     """Largest-to-smallest ratio, minority percent and the imbalance flag."""
-    ratio = F.max("cnt") / F.min("cnt")
-    minority = 100.0 * F.min("cnt") / F.sum("cnt")
+    ratio = F.try_divide(F.max("cnt").cast("double"), F.min("cnt"))
+    minority = F.try_divide(100.0 * F.min("cnt"), F.sum("cnt"))
     return distribution.agg(
         ratio.alias("imbalance_ratio_max_to_min"),
         minority.alias("minority_class_pct"),

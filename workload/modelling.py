@@ -319,7 +319,10 @@ _SQL_TWINS = set(_LINES) | {
     "bernoulli_nb", "categorical_nb",
 }
 # Long sequential fits run on the smaller table.
-_LONG = {"adaboost", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "mlp"}
+_LONG = {
+    "adaboost", "extra_tree", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "mlp",
+    "random_forest",
+}
 
 
 def _supplier(spark, sf):
