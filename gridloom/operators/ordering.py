@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.columns import as_number, ref
+from gridloom.functions.columns import as_number
+from gridloom.operators.sums import MAX_STATISTIC, sum_over_rows
 from gridloom.session import checkpoint
 
 # Up to this many rows the one-pass exact percentile aggregate is used. It keeps
 # every distinct value in one task, so larger inputs take the bracket search.
-ONE_PASS_ROWS = 2_000_000
+ONE_PASS_ROWS = 1_000_000
 # Values of one bracket that may be gathered to read an order statistic from.
 BRACKET_VALUES = 50_000
+# Equal-width bins of the first look at a column.
+COARSE_BINS = 4096
 
 
 def exact_quantiles(
@@ -69,27 +74,37 @@ class _Search:
 
 
 def _bracketed_quantiles(table, columns, probabilities):
-    """Order statistics by narrowing sketch brackets around each wanted rank.
-
-    Every round is one scan with a small aggregate and no shuffle of rows: a
-    sketch of the open bracket gives two cut points, exact counts at the cut
-    points tell on which side the rank lies. A value shared by many rows
-    becomes a cut point and is then settled by its count alone.
+    """Order statistics by narrowing a bracket around each wanted rank.
+
+    Every round is one scan with a small aggregate and no shuffle of rows. The
+    first round counts all columns in equal-width bins; usually the few values
+    of the right bin are then read directly. A bin that is still large goes on
+    with sketches: two cut points inside it, and exact counts at the cut points
+    tell on which side the rank lies. A value shared by many rows becomes a cut
+    point and is then settled by its count alone.
     """
-    counts = table.agg(*[F.count(f"c{i}") for i in range(len(columns))]).first()
+    facts = table.agg(
+        *[f(f"c{i}") for f in (F.count, F.min, F.max) for i in range(len(columns))]
+    ).first()
+    k = len(columns)
+    counts, ranges = facts[:k], list(zip(facts[k : 2 * k], facts[2 * k :]))
     searches: dict[tuple[int, int], _Search] = {}
     for i in range(len(columns)):
         for p in probabilities if counts[i] else []:
             position = p * (counts[i] - 1)
             for rank in {math.floor(position), math.ceil(position)}:
                 searches[(i, rank)] = _Search(f"c{i}", rank, size=counts[i])
-    open_ones = list(searches.values())
+    _coarse(table, searches, ranges)
+    _settle_single(table, [s for s in searches.values() if s.answer is None])
+    open_ones = [s for s in searches.values() if s.answer is None]
     while open_ones:
         small = [s for s in open_ones if s.size <= BRACKET_VALUES]
         large = [s for s in open_ones if s.size > BRACKET_VALUES]
-        for start in range(0, len(small), 10):
-            group = small[start : start + 10]
-            row = table.agg(
+        for start in range(0, len(small), 30):
+            group = small[start : start + 30]
+            # Only the rows of some bracket reach the gathering aggregate.
+            near = table.filter(reduce(lambda a, b: a | b, [s.inside() for s in group]))
+            row = near.agg(
                 *[
                     F.element_at(
                         F.array_sort(F.collect_list(F.when(s.inside(), F.col(s.column)))),
@@ -118,6 +133,52 @@ def _bracketed_quantiles(table, columns, probabilities):
     return out
 
 
+def _coarse(table, searches, ranges):
+    """Move every search into its equal-width bin, all columns in one pass."""
+    edges = {}
+    for i, (low, high) in enumerate(ranges):
+        if low is not None and math.isfinite(low) and math.isfinite(high - low) and low < high:
+            edges[i] = np.linspace(low, high, COARSE_BINS + 1)
+    for (i, _), s in searches.items():
+        if ranges[i][0] == ranges[i][1]:
+            s.answer = ranges[i][0]
+    step = max(1, MAX_STATISTIC // COARSE_BINS)
+    for start in range(0, len(edges), step):
+        group = dict(list(edges.items())[start : start + step])
+
+        def statistic(*columns, group=group):
+            counts = []
+            for values, bounds in zip(columns, group.values()):
+                values = np.asarray(values, float)
+                place = np.searchsorted(bounds, values[~np.isnan(values)], side="right") - 1
+                counts.append(np.bincount(place.clip(0, COARSE_BINS - 1), minlength=COARSE_BINS))
+            return np.concatenate(counts).astype(float)
+
+        names = [f"c{i}" for i in group]
+        found = sum_over_rows(table, names, statistic, COARSE_BINS * len(group))
+        for (i, bounds), counts in zip(group.items(), found.reshape(len(group), -1)):
+            upto = np.cumsum(counts).astype(int)
+            for (column, _), s in searches.items():
+                if column == i:
+                    b = int(np.searchsorted(upto, s.rank, side="right"))
+                    last = b == COARSE_BINS - 1
+                    # The open interval that holds exactly the bin's values.
+                    s.low = float(np.nextafter(bounds[b], -np.inf))
+                    s.high = float(np.nextafter(bounds[b + 1], np.inf) if last else bounds[b + 1])
+                    s.size, s.rank = int(counts[b]), s.rank - int(upto[b] - counts[b])
+
+
+def _settle_single(table, searches):
+    """Settle brackets that hold one repeated value, whatever its count."""
+    for start in range(0, len(searches), 30):
+        group = searches[start : start + 30]
+        ends = [f(F.when(s.inside(), F.col(s.column))) for s in group for f in (F.min, F.max)]
+        row = table.agg(*ends).first()
+        for i, s in enumerate(group):
+            if row[2 * i] is not None and row[2 * i] == row[2 * i + 1]:
+                s.answer = row[2 * i]
+
+
 def _narrow(table, group):
     slack = 0.002
     cuts = table.agg(

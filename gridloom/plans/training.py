@@ -30,7 +30,7 @@ from gridloom.operators.target import (
     infer_task,
     require_target,
 )
-from gridloom.session import spread_small
+from gridloom.session import cache_small, spread_small
 from gridloom.sources.tables import require_columns
 
 MAX_ALGORITHMS = 12
@@ -51,6 +51,7 @@ class TrainedModel:
 class Prepared:
     """One split and its features, shared by all algorithms of a comparison."""
 
+    table: DataFrame
     train: DataFrame
     test: DataFrame
     features: list[str]
@@ -92,6 +93,7 @@ class Prepared:
     def release(self) -> None:
         for _, training, _ in self.cache.values():
             training.df.unpersist()
+        self.table.unpersist()
 
 
 def prepare_supervised(
@@ -131,6 +133,7 @@ def prepare_supervised(
             )
     if rows < 10:
         raise ValueError("Need at least 10 rows after cleaning.")
+    table = cache_small(table, rows)
     train, test = train_test_split(
         table, target, test_size, seed, stratify=task == CLASSIFICATION
     )
@@ -141,7 +144,7 @@ def prepare_supervised(
         found = train.select(ref(target)).distinct().collect()
         classes = sorted(r[0] for r in found)
     return Prepared(
-        train, test, features, target, task, config, classes, all_classes, rows,
+        table, train, test, features, target, task, config, classes, all_classes, rows,
         example_row(table, features),
     )
 
@@ -235,6 +238,7 @@ def fit_unsupervised(
     rows = table.count()
     if rows < 5:
         raise ValueError("Need at least 5 rows for unsupervised training.")
+    table = cache_small(table, rows)
     preparation = fit_preparation(table, features, config, spec.scale)
     arrays = spread_small(preparation.transform(table), rows).persist()
     training = Training(arrays, rows, len(features))
@@ -255,6 +259,7 @@ def fit_unsupervised(
         "preprocess_applied": config.to_dict(),
     }
     arrays.unpersist()
+    table.unpersist()
     return TrainedModel(preparation, fitted, None, table.schema, metadata)
 
 

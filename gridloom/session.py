@@ -46,6 +46,15 @@ def spread_small(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def cache_small(df: DataFrame, rows: int) -> DataFrame:
+    """Spread and cache a small table that several passes will read.
+
+    A large table is left as it is: reading the needed columns again costs less
+    than holding a copy.
+    """
+    return spread_small(df, rows).persist() if rows <= SPREAD_ROWS else df
+
+
 def local_session(cores: int | str = "*", name: str = "gridloom") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     parallel = "8" if cores == "*" else str(cores)
