@@ -18,7 +18,7 @@ from gridloom.functions.columns import (
     ref,
 )
 from gridloom.operators.describe import aggregate_by_column
-from gridloom.operators.ordering import exact_quantiles, with_positions
+from gridloom.operators.ordering import ONE_PASS_ROWS, exact_quantiles, with_positions
 from gridloom.operators.sums import sum_over_rows
 
 MATRIX_COLUMNS = 18
@@ -309,7 +309,7 @@ def information_binned(df: DataFrame, target: str, features: list[str], rows: in
     inner = [j / bins for j in range(1, bins)]
     numeric = [c for c in features if c in numeric_columns(df)]
     text = [c for c in features if c not in numeric]
-    cuts = exact_quantiles(df, [target, *numeric], inner, rows=rows)
+    cuts = _cut_points(df, [target, *numeric], inner, rows)
     y = as_number(target)
     usable = df.filter(y.isNotNull())
     parts = []
@@ -358,6 +358,17 @@ def information_binned(df: DataFrame, target: str, features: list[str], rows: in
     return _information_from_joint(joint)
 
 
+def _cut_points(df, columns, shares, rows) -> dict[str, list[float]]:
+    """Bin edges: exact quantiles of a small table, else one pass of sketches."""
+    if rows <= ONE_PASS_ROWS:
+        return exact_quantiles(df, columns, shares, rows=rows)
+    points = F.array(*[F.lit(p) for p in shares])
+    found = aggregate_by_column(
+        df, columns, lambda c: [F.percentile_approx(as_number(c), points, F.lit(10_000))]
+    )
+    return {c: values[0] for c, values in found.items()}
+
+
 def _bin_of(value: Column, cuts: list[float]) -> Column:
     """Number of distinct cut points below the value."""
     edges = sorted(set(cuts))

@@ -295,11 +295,12 @@ def kernel_support_regression(t: Training, tube: float = 0.1) -> Fitted:
 
 
 def _drawn_subsets(t: Training, subsets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A fixed number of d+1 row subsets, drawn by hash in one bounded top-k."""
+    """A fixed number of d+1 row subsets, drawn in one bounded top-k. Rows are
+    drawn one by one, not by content, so copies do not stand together."""
     size = t.d + 1
     rows = (
         t.df.select("x", "label")
-        .orderBy(F.xxhash64(F.lit(SEED), "x", "label"))
+        .orderBy(F.rand(SEED))
         .limit(subsets * size)
         .collect()
     )

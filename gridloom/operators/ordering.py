@@ -21,7 +21,7 @@ ONE_PASS_ROWS = 1_000_000
 # Values of one bracket that may be gathered to read an order statistic from.
 BRACKET_VALUES = 50_000
 # Equal-width bins of the first look at a column.
-COARSE_BINS = 4096
+COARSE_BINS = 512
 
 
 def exact_quantiles(

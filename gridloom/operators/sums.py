@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # Widest statistic one pass may return to the driver (about 64 MB of doubles).
 MAX_STATISTIC = 8_000_000
+TASKS_PER_CORE = 4
 
 
 def batch_array(column: pa.Array) -> np.ndarray:
@@ -44,13 +45,18 @@ def sum_over_rows(
                 total += statistic(*[batch_array(c) for c in batch.columns])
                 seen = True
         if seen:
+            kept = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size), pa.int64()), pa.array(total, pa.float64())],
+                [pa.array(kept, pa.int64()), pa.array(total[kept], pa.float64())],
                 names=["position", "value"],
             )
 
+    # A task takes several file splits, so that the number of partial vectors
+    # follows the number of cores and not the size of the table.
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     rows = (
         df.select(*columns)
+        .coalesce(tasks)
         .mapInArrow(partial, "position long, value double")
         .groupBy("position")
         .agg(F.sum("value").alias("value"))
