@@ -17,7 +17,7 @@ from gridloom.session import checkpoint
 
 # Up to this many rows the one-pass exact percentile aggregate is used. It keeps
 # every distinct value in one task, so larger inputs take the bracket search.
-ONE_PASS_ROWS = 1_000_000
+ONE_PASS_ROWS = 200_000
 # Values of one bracket that may be gathered to read an order statistic from.
 BRACKET_VALUES = 50_000
 # Equal-width bins of the first look at a column.
