@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,35 @@ BROADCAST_ROWS = 200_000
 SPREAD_ROWS = 5_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and cut its lineage there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    when nothing names one (unit tests on one machine) is a temporary one set.
+    Only a session on one machine (``local[...]``, as in tests) may leave it
+    unset; a temporary folder is then named once. A cluster without it is an
+    error, since a folder of the driver does not exist on its executors.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster")
+        named = context.getCheckpointDir()
+        if named is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+            named = context.getCheckpointDir()
+    return named
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

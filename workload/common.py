@@ -6,14 +6,13 @@ NULL with the same rule on the Spark and on the SQL side.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.models.base import Fitted, Training
+from gridloom.session import shared_folder  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,13 +102,6 @@ def line_of(spark: SparkSession, fitted: Fitted) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "term string, value double"), "value", digits=5)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the cluster's checkpoints (temporary where none is
-    named, as on one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def metric_rows(spark: SparkSession, metrics: dict) -> DataFrame:
     rows = [(k, float(v)) for k, v in metrics.items() if isinstance(v, (int, float))]
     return spark.createDataFrame(rows, "metric string, value double")
