@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, chat, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
+from gridloom.session import shared_folder
 
 
 @query("op3_bpe_coding")
@@ -18,3 +19,50 @@ def op3_bpe_coding(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_warc_revisits")
+def op6_warc_revisits(spark, sf):
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"
+    )
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b') AS x FROM t
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, x) AS i FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(11 + length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b')) + length(x)) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id"""
+
+
+@query("op7_chat_formatting", OP7_SQL)
+def op7_chat_formatting(spark, sf):
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.sql(
+        f"SELECT -1L AS conv_id, turn, role, '{marks}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    chats = chat.format_chats(chat.plain_turns(rows))
+    turns = chat.read_turns(F.col("formatted"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.masked_text(F.col("formatted"), F.col("loss"))
+    return chats.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
