@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, warc
+from gridloom.llm import bpe, chat, secrets, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -66,3 +66,18 @@ def op7_chat_formatting(spark, sf):
         F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, sf):
+    found = secrets.scan_secrets(table(spark, sf, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(k) for k in secrets.BASE_KINDS],
+        F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"),
+        secrets.written("spans").alias("spans"),
+    )
