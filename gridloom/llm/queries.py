@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, secrets, warc
+from gridloom.llm import bpe, chat, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -81,3 +81,8 @@ def op10_secret_scan(spark, sf):
         F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"),
         secrets.written("spans").alias("spans"),
     )
+
+
+@query("op9_simhash_duplicates")
+def op9_simhash_duplicates(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
