@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, secrets, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -86,3 +86,8 @@ def op10_secret_scan(spark, sf):
 @query("op9_simhash_duplicates")
 def op9_simhash_duplicates(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
