@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, secrets, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -91,3 +91,15 @@ def op9_simhash_duplicates(spark, sf):
 @query("op8_decontamination")
 def op8_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf):
+    """All documents and all pages together: one row each, with the id of its table."""
+    none = F.lit(None).cast("long")
+    documents = language.document_rows(
+        table(spark, sf, "documents"), F.struct(F.col("doc_id"), none.alias("page_id"))
+    )
+    pages = language.page_rows(table(spark, sf, "pages"), F.struct(none.alias("doc_id"), F.col("page_id")))
+    found = language.identify(documents.unionByName(pages))
+    return found.select("key.doc_id", "key.page_id", "language", "probability", "accepted")
