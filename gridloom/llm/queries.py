@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, language, secrets, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, quality, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -103,3 +103,17 @@ def op5_language_id(spark, sf):
     pages = language.page_rows(table(spark, sf, "pages"), F.struct(none.alias("doc_id"), F.col("page_id")))
     found = language.identify(documents.unionByName(pages))
     return found.select("key.doc_id", "key.page_id", "language", "probability", "accepted")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+    return scored.select(
+        "doc_id",
+        quality.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+        "good_lines",
+        "n_lines",
+    )
