@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, language, quality, secrets, simhash, warc
+from gridloom.llm import bpe, chat, covertree, decontaminate, language, quality, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -117,3 +117,24 @@ def op1_quality_classifier(spark, sf):
         "good_lines",
         "n_lines",
     )
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, d.v)]) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op2_exact_top_k", OP2_SQL)
+def op2_exact_top_k(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", covertree.whole_numbers("embedding").alias("v"))
+    return covertree.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
