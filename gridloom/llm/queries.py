@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, covertree, decontaminate, language, quality, secrets, simhash, warc
+from gridloom.llm import bpe, chat, covertree, decontaminate, language, lines, quality, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -138,3 +138,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op2_exact_top_k(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", covertree.whole_numbers("embedding").alias("v"))
     return covertree.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark, sf):
+    cleaned = lines.deduplicate_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
+    )
