@@ -11,6 +11,7 @@ have a bounded size, and each is read back by its Content-Length headers.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -122,11 +123,14 @@ def write_archives(
     """Write deduplicated archives of ``pages`` (page_id, url, html) to ``path``.
 
     Null html is an empty payload and null url an empty address; an empty table
-    writes no record. Other columns are not read.
+    writes no record. Other columns are not read. A file holds as many records as
+    make up ``file_bytes`` on average and is compressed; payloads move at most once,
+    to meet their revisit decisions.
     """
-    total = pages.agg(F.sum(F.octet_length(whole("html")) + 600)).first()[0] or 0
+    mean = pages.agg(F.avg(F.octet_length(whole("html")) + 600)).first()[0] or 600
     records = archive_records(pages.select("page_id", "url", "html"), date, smallest)
-    records.repartition(int(total // file_bytes) + 1).write.option("lineSep", "\r\n\r\n").text(path)
+    writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    writer.option("maxRecordsPerFile", int(file_bytes // mean) + 1).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
@@ -162,7 +166,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for row in parse_records(bytes(data)):
+                for row in parse_records(gzip.decompress(data)):
                     body = row["payload"]
                     row["sound"] = body is None or (
                         len(body) == row["payload_bytes"]
