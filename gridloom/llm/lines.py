@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import whole
+from gridloom.llm.common import free_names, whole
 from gridloom.llm.components import components
 from gridloom.session import checkpoint, shared_folder
 
@@ -171,17 +171,21 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = nodes.groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("g", "first")
     stay = checkpoint(nodes.join(repeated.withColumnRenamed("first", "keep"), "g").select(F.col("id").alias("repeated_id"), "keep"))
     lost = places.join(lookup(stay, stay.count()), F.col("id") == F.col("repeated_id")).filter(F.struct("doc_id", "line", "text_key") != F.col("keep"))
-    lost = checkpoint(lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.collect_set("line").alias("lost")))
-    size = lost.agg(F.count("*") + F.sum(F.size("lost")) / 8).first()[0] or 0
+    lost_id, lost_key, gone = free_names(docs, "lost_id", "lost_key", "lost")
+    lost = checkpoint(
+        lost.groupBy(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key)).agg(F.collect_set("line").alias(gone))
+    )
+    size = lost.agg(F.count("*") + F.sum(F.size(gone)) / 8).first()[0] or 0
     text = whole(text_col)
-    both = docs.drop("n_lines", "n_removed").join(
-        lookup(lost, int(size)), F.col(id_col).eqNullSafe(F.col("lost_id")) & (F.xxhash64(text) == F.col("lost_key")), "left"
+    rest = docs.drop("n_lines", "n_removed")
+    both = rest.join(
+        lookup(lost, int(size)), F.col(id_col).eqNullSafe(F.col(lost_id)) & (F.xxhash64(text) == F.col(lost_key)), "left"
     )
     parts = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "lost")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     shorter = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     return both.select(
-        *[F.when(F.col("lost").isNull(), F.col(c)).otherwise(shorter).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(shorter).alias(c) if c == text_col else F.col(c) for c in rest.columns],
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -10,9 +10,8 @@ from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
 
-@query("op3_bpe_coding")
-def op3_bpe_coding(spark, sf):
-    coded = bpe.encode_and_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def coded_digests(coded):
+    """Digest columns of encoded and decoded documents."""
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -21,6 +20,11 @@ def op3_bpe_coding(spark, sf):
     )
 
 
+@query("op3_bpe_coding")
+def op3_bpe_coding(spark, sf):
+    return coded_digests(bpe.encode_and_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query("op6_warc_revisits")
 def op6_warc_revisits(spark, sf):
     path = shared_folder(spark, "warc")
