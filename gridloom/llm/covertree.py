@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 # Distinct vectors of a data block and queries of a query block.
 DATA_BLOCK, QUERY_BLOCK = 16_384, 1_024
-LEAF = 48
+LEAF = 512
+# Centres of children keep this part of the radius apart; most children of a node.
+SHRINK, ARITY = 1.3, 8
 SCALE = 64
 RESULT = "query_id long, vec_id long, score long"
 
@@ -41,8 +43,8 @@ def whole_numbers(vector: str | Column, scale: int = SCALE) -> Column:
 class CoverTree:
     """A cover tree in arrays: every node has a centre point, a covering radius
     (the largest distance of any point below it) and its points as a range of
-    ``order``. The centres of a node's children are more than half its radius
-    apart from each other, and each point is within that half of its centre."""
+    ``order``. The centres of a node's children are more than its radius divided by
+    ``SHRINK`` apart from each other; each point belongs to the nearest of them."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points.astype(np.float64)
@@ -57,31 +59,37 @@ class CoverTree:
     def _distance(self, rows: np.ndarray, centre: int) -> np.ndarray:
         return np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(axis=1))
 
-    def _grow(self, begin: int, end: int, centre: int, leaf: int) -> int:
-        """All nodes below a range of points, without recursion; returns the root."""
-        root = self._node(begin, end, centre)
-        work = [root]
+    def _grow(self, begin: int, end: int, centre: int, leaf: int) -> None:
+        """All nodes below a range of points, without recursion.
+
+        The first point beyond ``reach`` of all centres so far becomes the next
+        centre, ``ARITY`` at most; then every point joins its nearest centre.
+        """
+        work = [self._node(begin, end, centre)]
         while work:
             node = work.pop()
             begin, end = self.begin[node], self.end[node]
             if end - begin <= leaf or self.radius[node] == 0:
                 continue
-            rows, reach = self.order[begin:end].copy(), self.radius[node] / 2
+            rows, reach = self.order[begin:end].copy(), self.radius[node] / SHRINK
+            nearest = self._distance(rows, self.centre[node])
+            owner, centres = np.zeros(len(rows), np.int64), [self.centre[node]]
+            while len(centres) < ARITY:
+                far = np.flatnonzero(nearest > reach)
+                if not len(far):
+                    break
+                centres.append(int(rows[far[0]]))
+                distance = self._distance(rows, centres[-1])
+                closer = distance < nearest
+                owner[closer] = len(centres) - 1
+                nearest = np.minimum(nearest, distance)
+            self.order[begin:end] = rows[np.argsort(owner, kind="stable")]
             place = begin
-            centre = self.centre[node]
-            while len(rows):
-                far = self._distance(rows, centre)
-                near = far <= reach
-                mine = rows[near]
-                self.order[place : place + len(mine)] = mine
-                child = self._node(place, place + len(mine), centre)
+            for i, size in enumerate(np.bincount(owner, minlength=len(centres)).tolist()):
+                child = self._node(place, place + size, centres[i])
                 self.children[node].append(child)
                 work.append(child)
-                place += len(mine)
-                rows, far = rows[~near], far[~near]
-                if len(rows):
-                    centre = rows[np.argmax(far)]
-        return root
+                place += size
 
     def _node(self, begin: int, end: int, centre: int) -> int:
         self.begin.append(begin)
@@ -92,37 +100,31 @@ class CoverTree:
         return len(self.begin) - 1
 
 
-class _Best:
-    """The best k (score, id) of every query of a block."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = [np.zeros(0, np.int64)] * queries
-        self.ids = [np.zeros(0, np.int64)] * queries
-        self.worst = np.full(queries, -np.inf)
-
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray):
-        scores, ids = np.concatenate([self.scores[query], scores]), np.concatenate([self.ids[query], ids])
-        keep = np.lexsort((ids, ~scores))[: self.k]  # ~ falls as the score rises, without overflow
-        self.scores[query], self.ids[query] = scores[keep], ids[keep]
-        if len(keep) == self.k:
-            self.worst[query] = float(scores[keep[-1]])
-
-
 def search_block(query_ids, queries: np.ndarray, copies: list[np.ndarray], data: np.ndarray, k: int, leaf: int = LEAF) -> pd.DataFrame:
     """The best ``k`` rows of a data block for each query of a query block.
 
     ``copies`` holds the ids of every data vector in rising order."""
-    best = _Best(len(queries), k)
     left, right = CoverTree(queries, max(1, leaf // 4)), CoverTree(data, leaf)
     size = queries.shape[1] if queries.ndim == 2 else 0
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(size, 1)
+    # Points in the order of their smallest id: a score and that place make one
+    # number without ties. A row of the answer belongs to one of the best k + 1
+    # points so ordered, as each better point has at least one better row, the
+    # query's own aside.
+    place = np.empty(len(data), np.int64)
+    place[np.argsort([x[0] for x in copies], kind="stable")] = np.arange(len(data))
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(size, 1) + 1
     # Doubles are exact below 2^53, longs below 2^63; beyond, Python's numbers.
-    kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+    kind = np.float64 if most * (len(data) + 1) < 2**52 else np.int64 if most * (len(data) + 1) < 2**62 else object
     exact_q, exact_x = queries.astype(kind), data.astype(kind)
+    scale, minus = kind(len(data) + 1) if kind is not object else len(data) + 1, place.astype(kind)
+    lowest = -(2**62) if kind is not object else -(1 << 400)
+    found = np.full((len(queries), k + 1), lowest, dtype=kind)
+    found_at = np.full((len(queries), k + 1), -1, np.int64)
+    worst = np.full(len(queries), -np.inf)
+    centres = right.points[right.centre] if len(data) else right.points
 
     def bound(a: int, nodes: np.ndarray) -> np.ndarray:
-        middle = right.points[np.array(right.centre)[nodes]] @ left.points[left.centre[a]]
+        middle = centres[nodes] @ left.points[left.centre[a]]
         value = middle + left.norm[a] * right.radius[nodes] + right.norm[nodes] * left.radius[a] + left.radius[a] * right.radius[nodes]
         return value + np.abs(value) * 1e-9 + 1e-6
 
@@ -130,20 +132,18 @@ def search_block(query_ids, queries: np.ndarray, copies: list[np.ndarray], data:
         rows = left.order[left.begin[a] : left.end[a]]
         points = right.order[right.begin[b] : right.end[b]]
         scores = exact_q[rows] @ exact_x[points].T
-        for i, query in enumerate(rows):
-            line = scores[i]
-            good = np.flatnonzero(line >= best.worst[query])
-            if len(good) > k:
-                # Copies only add rows, so the best k distinct values (and their ties) suffice.
-                cut = np.partition(line[good].astype(np.float64), len(good) - k - 1)[len(good) - k - 1]
-                good = good[line[good] >= cut]
-            if not len(good):
-                continue
-            ids = [copies[points[g]] for g in good]
-            values = np.repeat(np.array([min(max(int(line[g]), -(2**63)), 2**63 - 1) for g in good], np.int64), [len(x) for x in ids])
-            ids = np.concatenate(ids)
-            other = ids != query_ids[query]
-            best.add(query, values[other], ids[other])
+        hit = scores >= worst[rows][:, None]
+        some = np.flatnonzero(hit.any(axis=1))
+        if not len(some):
+            return
+        rows = rows[some]
+        values = np.hstack([found[rows], np.where(hit[some], scores[some] * scale - minus[points], lowest)])
+        at = np.hstack([found_at[rows], np.broadcast_to(points, (len(rows), len(points)))])
+        keep = np.argpartition(values, values.shape[1] - k - 1, axis=1)[:, -(k + 1) :]
+        found[rows], found_at[rows] = np.take_along_axis(values, keep, 1), np.take_along_axis(at, keep, 1)
+        least = found[rows].min(axis=1)
+        # Back to the score, rounded down.
+        worst[rows] = np.where(least == lowest, -np.inf, np.array(least // scale, np.float64) - (0 if kind is np.float64 else 1 + np.abs(np.array(least // scale, np.float64)) * 1e-9))
 
     def walk(a: int, nodes: np.ndarray):
         """Node pairs of one query node, the most promising first."""
@@ -152,7 +152,7 @@ def search_block(query_ids, queries: np.ndarray, copies: list[np.ndarray], data:
             a, nodes = stack.pop()
             rows = left.order[left.begin[a] : left.end[a]]
             bounds = bound(a, nodes)
-            keep = bounds >= best.worst[rows].min()
+            keep = bounds >= worst[rows].min()
             nodes, bounds = nodes[keep], bounds[keep]
             if not len(nodes):
                 continue
@@ -163,12 +163,12 @@ def search_block(query_ids, queries: np.ndarray, copies: list[np.ndarray], data:
             todo = sorted(zip(-bounds, nodes.tolist(), strict=True))
             while todo:
                 value, b = todo.pop(0)
-                if -value < best.worst[rows].min():
+                if -value < worst[rows].min():
                     break
                 if right.children[b]:
                     below = np.array(right.children[b])
                     found = bound(a, below)
-                    good = found >= best.worst[rows].min()
+                    good = found >= worst[rows].min()
                     for v, c in zip(-found[good], below[good].tolist(), strict=True):
                         insort(todo, (v, c))
                 else:
@@ -176,13 +176,15 @@ def search_block(query_ids, queries: np.ndarray, copies: list[np.ndarray], data:
 
     if len(queries) and len(data):
         walk(0, np.array([0]))
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.asarray(query_ids, np.int64), [len(x) for x in best.ids]),
-            "vec_id": np.concatenate([np.zeros(0, np.int64), *best.ids]),
-            "score": np.concatenate([np.zeros(0, np.int64), *best.scores]),
-        }
-    )
+    out = []
+    for i in range(len(queries)):
+        for p in found_at[i][found_at[i] >= 0]:
+            score = min(max(int(sum(exact_q[i] * exact_x[p])), -(2**63)), 2**63 - 1) if kind is object else int(exact_q[i] @ exact_x[p])
+            out += [(score, int(x), i) for x in copies[p] if x != query_ids[i]]
+    out.sort(key=lambda r: (r[2], -r[0], r[1]))
+    frame = pd.DataFrame(out, columns=["score", "vec_id", "row"]).astype(np.int64)
+    frame = frame[frame.groupby("row").cumcount() < k]
+    return pd.DataFrame({"query_id": np.asarray(query_ids, np.int64)[frame["row"]], "vec_id": frame["vec_id"].to_numpy(), "score": frame["score"].to_numpy()})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
