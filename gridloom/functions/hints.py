@@ -78,7 +78,7 @@ HINTS = [
         "Train/test split failed—try a larger dataset, fewer classes, or more rows per class.",
     ),
     (
-        r"Unknown algorithm_id|Unknown unsupervised algorithm_id",
+        r"(?-i:Unknown algorithm_id)|Unknown unsupervised algorithm_id",
         "Refresh algorithms and pick an option from the list (unknown id).",
     ),
     (
@@ -100,7 +100,7 @@ HINTS = [
     ),
     (r"Upload a \.csv file", "Choose a file whose name ends in .csv."),
     (
-        r"Unknown dataset|CSV file missing on disk",
+        r"(?-i:Unknown dataset|CSV file missing on disk)",
         "Re-upload the file or pick a dataset from the library after refreshing.",
     ),
     (
@@ -112,7 +112,7 @@ HINTS = [
         "Wait until training finishes (or fix a failed run) before download or prediction.",
     ),
     (
-        r"Artifacts missing|Model artifacts missing",
+        r"(?-i:Artifacts missing|Model artifacts missing)",
         "The saved model files are missing—train again on this server.",
     ),
     (

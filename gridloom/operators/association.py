@@ -18,7 +18,7 @@ from gridloom.functions.columns import (
     ref,
 )
 from gridloom.operators.describe import aggregate_by_column
-from gridloom.operators.ordering import ONE_PASS_ROWS, exact_quantiles, with_positions
+from gridloom.operators.ordering import exact_quantiles, with_positions
 from gridloom.operators.sums import sum_over_rows
 
 MATRIX_COLUMNS = 18
@@ -205,13 +205,13 @@ def information_nearest(df: DataFrame, target: str, features: list[str]) -> Data
         .agg(F.count(F.lit(1)).alias("w")),
         features,
     )
-    # At most 400 classes per feature.
+    # One row per feature and class; a text target may have any number of them.
     sizes = (
         weighted.groupBy("column", "y")
         .agg(F.sum("w").alias("class_rows"))
         .filter("class_rows > 1")
     )
-    points = weighted.join(F.broadcast(sizes), ["column", "y"])
+    points = weighted.join(sizes, ["column", "y"])
     placed = with_positions(points, ["column", "y", "x"])
     radii = _neighbour_radius(placed)
     inner = _rows_within(radii)
@@ -359,14 +359,8 @@ def information_binned(df: DataFrame, target: str, features: list[str], rows: in
 
 
 def _cut_points(df, columns, shares, rows) -> dict[str, list[float]]:
-    """Bin edges: exact quantiles of a small table, else one pass of sketches."""
-    if rows <= ONE_PASS_ROWS:
-        return exact_quantiles(df, columns, shares, rows=rows)
-    points = F.array(*[F.lit(p) for p in shares])
-    found = aggregate_by_column(
-        df, columns, lambda c: [F.percentile_approx(as_number(c), points, F.lit(10_000))]
-    )
-    return {c: values[0] for c, values in found.items()}
+    """Bin edges: exact quantiles, for a table of any size."""
+    return exact_quantiles(df, columns, shares, rows=rows)
 
 
 def _bin_of(value: Column, cuts: list[float]) -> Column:

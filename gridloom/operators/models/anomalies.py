@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.models.base import (
@@ -46,27 +47,33 @@ def _expected_depth(n):
 
 
 def isolation_forest(t: Training) -> Fitted:
-    """200 trees, each grown in its own task on at most 256 drawn rows.
+    """200 trees, each grown in its own task on 256 rows drawn without
+    replacement (all rows of a smaller table).
 
-    With few rows each row serves several trees.
+    A tree takes the rows whose hash with its number is smallest. Copies of a row
+    are numbered by count, so each is drawn by itself, and the forest does not
+    depend on partitioning.
     """
     per_tree = min(TREE_ROWS, t.rows)
-    wanted = TREES * per_tree
-    # Keep about twice what is needed, then exactly 256 per tree.
-    repeats = max(1, math.ceil(2 * wanted / t.rows)) if t.rows < 2 * wanted else 1
-    share = min(1.0, 2 * wanted / (t.rows * repeats))
-    salted = t.df.select(
-        "x", F.explode(F.sequence(F.lit(1), F.lit(min(repeats, TREES)))).alias("salt")
-    )
-    # Rows are drawn one by one, not by content, so copies spread over the trees.
+    counted = t.df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select("x", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+
+    def hashed(*more):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "x", "copy", *more), 1)
+
+    # A pool of about twice the rows of all trees, bounded for any table.
+    share = min(1.0, 2 * TREES * per_tree / t.rows)
+    pool = rows.filter(hashed() <= F.lit(int(share * (2**63 - 1))))
     drawn = (
-        salted.filter(F.rand(SEED) < share)
-        .withColumn("order", F.rand(SEED + 1))
-        .withColumn("tree", F.floor(F.rand(SEED + 2) * TREES))
+        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+        .withColumn("order", hashed("tree"))
+        .withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy("order", "copy")))
+        .filter(F.col("place") <= per_tree)
+        .select("tree", "order", "x")
     )
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("order").head(per_tree)
+        part = part.sort_values("order")
         draw = np.random.default_rng([SEED, int(part.tree.iloc[0])])
         columns = _isolation_tree(np.stack(part.x.to_numpy()), draw)
         return pd.DataFrame(

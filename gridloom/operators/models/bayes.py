@@ -6,15 +6,22 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators.models.base import Fitted, Training, arrays, numeric_output, scorer
-from gridloom.operators.sums import sum_over_rows
+from gridloom.operators.sums import first_values, sum_over_rows
 
 
 def class_sums(t: Training, squares: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per class: count, sum of x, and squares or cross products of x."""
+    """Per class: count, mean of x, and centred squares or cross products of x.
+
+    Sums are of values less a shift, so that large values with a small spread keep
+    their digits.
+    """
     k, d = t.classes, t.d
     second = d * d if squares == "cross" else d
+    shift = first_values(t.df, ["x"])
+    shift = shift if len(shift) == d else np.zeros(d)
 
     def statistic(x, y):
+        x = x - shift
         one = (np.asarray(y)[:, None] == np.arange(k)).astype(float)
         if squares == "cross":
             products = np.concatenate([(x.T @ (x * one[:, c : c + 1])).ravel() for c in range(k)])
@@ -23,8 +30,13 @@ def class_sums(t: Training, squares: str) -> tuple[np.ndarray, np.ndarray, np.nd
         return np.concatenate([one.sum(0), (one.T @ x).ravel(), products])
 
     packed = sum_over_rows(t.df, ["x", "label"], statistic, k + k * d + k * second)
-    shape = (k, d, d) if squares == "cross" else (k, d)
-    return packed[:k], packed[k : k + k * d].reshape(k, d), packed[k + k * d :].reshape(shape)
+    counts, sums = packed[:k], packed[k : k + k * d].reshape(k, d)
+    means = sums / np.maximum(counts, 1)[:, None]
+    if squares == "cross":
+        centred = packed[k + k * d :].reshape(k, d, d) - counts[:, None, None] * means[:, :, None] * means[:, None, :]
+    else:
+        centred = (packed[k + k * d :].reshape(k, d) - counts[:, None] * means**2).clip(min=0)
+    return counts, means + shift, centred
 
 
 def linear_discriminant(t: Training) -> Fitted:
@@ -41,13 +53,12 @@ def linear_discriminant(t: Training) -> Fitted:
 
 
 def quadratic_discriminant(t: Training) -> Fitted:
-    counts, sums, cross = class_sums(t, "cross")
+    counts, means, cross = class_sums(t, "cross")
     if counts.min() < 2:
         raise ValueError("y has only 1 sample in the least populated class.")
     centres, precisions, offsets = [], [], []
-    for n, total, products in zip(counts, sums, cross):
-        centre = total / n
-        covariance = (products - n * np.outer(centre, centre)) / (n - 1)
+    for n, centre, products in zip(counts, means, cross):
+        covariance = products / (n - 1)
         values, vectors = np.linalg.eigh(covariance)
         values = values.clip(min=1e-10 * max(values.max(), 1e-300))
         centres.append(centre)
@@ -61,10 +72,10 @@ def quadratic_discriminant(t: Training) -> Fitted:
 
 def gaussian_bayes(t: Training) -> Fitted:
     """Independent Gaussians per class, variances raised by 1e-9 of the largest."""
-    counts, sums, squares = class_sums(t, "diagonal")
-    centres = sums / counts[:, None]
-    variances = (squares / counts[:, None] - centres**2).clip(min=0)
-    overall = squares.sum(0) / counts.sum() - (sums.sum(0) / counts.sum()) ** 2
+    counts, centres, squares = class_sums(t, "diagonal")
+    variances = squares / counts[:, None]
+    middle = counts @ centres / counts.sum()
+    overall = (squares.sum(0) + counts @ (centres - middle) ** 2) / counts.sum()
     variances = variances + max(1e-9 * overall.max(), 1e-300)
     return Fitted(
         "diagonal_argmax",

@@ -326,7 +326,9 @@ def _dense(parts):
 
 
 def spectral(t: Training, neighbours: int = 10) -> Fitted:
-    """Power iteration on the RBF affinities of each position's neighbours."""
+    """Power iteration on the RBF affinities of each position's neighbours.
+
+    A position without any affinity belongs to no cluster and is labelled -1."""
     points = distinct_points(t.df.select("x"))
     index = build_index(points)
     near = nearest(
@@ -349,7 +351,7 @@ def spectral(t: Training, neighbours: int = 10) -> Fitted:
     k = _count(t, CLUSTERS)
     found = PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(pairs)
     labelled = points.join(found, F.col("pid") == F.col("id"), "left").select(
-        "x", F.coalesce(F.col("cluster"), F.lit(0)).cast("double").alias("prediction")
+        "x", F.coalesce(F.col("cluster"), F.lit(-1)).cast("double").alias("prediction")
     )
     return Fitted("labels", table=labelled)
 

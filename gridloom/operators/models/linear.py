@@ -265,10 +265,8 @@ def kernel_ridge(t: Training) -> Fitted:
 
 
 def kernel_support_classifier(t: Training) -> Fitted:
-    # The Gram matrices of all classes are held at once: narrower for many.
-    width = FOURIER_WIDTH if t.classes <= 20 else 64
-    lift, more = _kernel_basis(t, scale_gamma(t), width)
-    fitted = _squared_hinge(t, lift, width)
+    lift, more = _kernel_basis(t, scale_gamma(t))
+    fitted = _squared_hinge(t, lift, FOURIER_WIDTH)
     fitted.params |= more
     return fitted
 

@@ -67,27 +67,36 @@ def name_pattern(column: str) -> str | None:
     return None
 
 
-def one_to_one(df: DataFrame, feature: str, target: str) -> DataFrame:
-    """One row: complete rows, levels of both sides, and whether they pair 1:1."""
+def one_to_one(df: DataFrame, feature: str | list[str], target: str) -> DataFrame:
+    """One row per feature: complete rows, levels of both sides, and whether they
+    pair 1:1. All features share one pass and one grouping."""
+    features = [feature] if isinstance(feature, str) else list(feature)
+    entries = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("f")) for c in features])
+    )
     pairs = (
-        df.select(ref(feature).alias("f"), ref(target).alias("t"))
+        df.select(ref(target).alias("t"), entries.alias("e"))
+        .select("e.column", "e.f", "t")
         .dropna()
-        .groupBy("f", "t")
+        .groupBy("column", "f", "t")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     # Each side's number of partners, from the distinct pairs alone.
-    features = pairs.groupBy("f").agg(F.count("t").alias("p"), F.sum("cnt").alias("cnt"))
-    targets = pairs.groupBy("t").agg(F.count("f").alias("p"))
-    left = features.agg(
-        F.count(F.lit(1)).alias("feature_levels"),
-        F.max("p").alias("_max_f"),
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("complete_rows"),
-        F.lit(1).alias("_one"),
+    left = (
+        pairs.groupBy("column", "f")
+        .agg(F.count("t").alias("p"), F.sum("cnt").alias("cnt"))
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("feature_levels"),
+            F.max("p").alias("_max_f"),
+            F.sum("cnt").alias("complete_rows"),
+        )
     )
-    right = targets.agg(
-        F.count(F.lit(1)).alias("target_levels"),
-        F.max("p").alias("_max_t"),
-        F.lit(1).alias("_one"),
+    right = (
+        pairs.groupBy("column", "t")
+        .agg(F.count("f").alias("p"))
+        .groupBy("column")
+        .agg(F.count(F.lit(1)).alias("target_levels"), F.max("p").alias("_max_t"))
     )
     paired = (
         (F.col("complete_rows") >= 30)
@@ -96,13 +105,13 @@ def one_to_one(df: DataFrame, feature: str, target: str) -> DataFrame:
         & (F.col("feature_levels") == F.col("target_levels"))
         & (F.col("feature_levels") >= 3)
     )
-    return left.join(F.broadcast(right), "_one").select(
-        F.lit(feature).alias("column"),
-        "complete_rows",
-        "feature_levels",
-        "target_levels",
-        F.coalesce(paired, F.lit(False)).alias("one_to_one"),
-    )
+    # One row per feature, also for one without a complete row.
+    names = df.sparkSession.createDataFrame([(c,) for c in features], "column string")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("complete_rows", "feature_levels", "target_levels")]
+    return (
+        F.broadcast(names).join(left, "column", "left").join(right, "column", "left")
+        .select("column", *counts, F.coalesce(paired, F.lit(False)).alias("one_to_one"))
+    )
 
 
 def leakage_hints(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -112,13 +121,10 @@ def leakage_hints(df: DataFrame, target: str, task: str) -> DataFrame:
     )
     if task != "classification":
         return found
-    for c in df.columns:
-        label = name_pattern(c) if c != target else None
-        if label:
-            hit = one_to_one(df, c, target).filter("one_to_one")
-            found = found.unionByName(
-                hit.select(
-                    "column", F.lit(label).alias("name_pattern"), F.lit(LEAK_NOTE).alias("note")
-                )
-            )
-    return found
+    named = {c: name_pattern(c) for c in df.columns if c != target and name_pattern(c)}
+    if not named:
+        return found
+    labels = F.create_map(*[F.lit(v) for pair in named.items() for v in pair])
+    return one_to_one(df, list(named), target).filter("one_to_one").select(
+        "column", F.element_at(labels, F.col("column")).alias("name_pattern"), F.lit(LEAK_NOTE).alias("note")
+    )

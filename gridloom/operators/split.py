@@ -1,4 +1,4 @@
-"""Repeatable train/test split with exact sizes and no shuffle of rows."""
+"""Repeatable train/test split of single rows with exact sizes."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.columns import as_class, ref
 from gridloom.operators.target import MAX_CLASSES, class_distribution
+from gridloom.session import cache_small
 
 # Hash values the last selection step may compare one by one.
 SELECT_ROWS = 500_000
 _HASH_BITS, _STEP_BITS = 63, 10
-# Copies of one row written by one task when equal rows are divided.
+# Copies of one row that one task writes at most.
 _CHUNK = 100_000
 
 
@@ -35,51 +36,58 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with the smallest hashes per class are the test set.
 
-    The hash covers the row's content and the seed, so the split does not depend
-    on partitioning or row order. Per class only the hash at the quota is
-    looked for; the split itself is then a filter. Copies of the row at the
-    threshold are divided by count.
+    Equal rows are grouped and their copies numbered; the hash covers the row's
+    content, the copy's number and the seed. So every row is drawn by itself,
+    copies spread over both sides, and the split does not depend on partitioning
+    or row order. Per class only the hash at the quota is looked for; the split
+    itself is then a filter.
     """
-    content = F.xxhash64(F.lit(seed), *[ref(c) for c in df.columns])
-    hashed = df.withColumn("_h", F.shiftrightunsigned(content, 1))
     if stratify:
         counts = {r["class"]: r.cnt for r in class_distribution(df, label).collect()}
         if len(counts) > MAX_CLASSES:
             raise ValueError(f"Cannot stratify by {len(counts)} classes.")
-        stratify = min(counts.values()) >= 2
+        stratify = min(counts.values(), default=0) >= 2
     if not stratify:
         counts = {"": df.count()}
-    keyed = hashed.withColumn("_k", as_class(label) if stratify else F.lit(""))
-    limits = _thresholds(keyed, quotas(counts, test_size))
-    table = df.sparkSession.createDataFrame(
-        [(k, h, take, held) for k, (h, take, held) in limits.items()],
-        "_k string, _limit bigint, _take bigint, _held bigint",
+    # Read by the search for the quota and by both sides.
+    keyed = cache_small(
+        numbered_copies(df, seed).withColumn("_k", as_class(label) if stratify else F.lit("")),
+        sum(counts.values()),
     )
+    limits = _thresholds(keyed, quotas(counts, test_size), sum(counts.values()))
+    table = df.sparkSession.createDataFrame(list(limits.items()), "_k string, _limit bigint")
     # One row per class.
     marked = keyed.join(F.broadcast(table), "_k")
-    below = F.col("_h") < F.col("_limit")
-    whole = (F.col("_h") == F.col("_limit")) & (F.col("_take") == F.col("_held"))
-    parted = (F.col("_h") == F.col("_limit")) & (F.col("_take") < F.col("_held"))
-    extra = ["_k", "_h", "_limit", "_take", "_held"]
-    test = marked.filter(below | whole).drop(*extra)
-    train = marked.filter(F.col("_h") > F.col("_limit")).drop(*extra)
-    if any(take < held for _, take, held in limits.values()):
-        equal = marked.filter(parted)
-        test = test.unionByName(_copies(equal, df.columns, F.col("_take")))
-        train = train.unionByName(_copies(equal, df.columns, F.col("_held") - F.col("_take")))
-    return train, test
-
-
-def _thresholds(keyed: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int, int, int]]:
-    """Per class the hash of the last test row, how many rows with that hash to
-    take, and how many there are.
+    sides = (F.col("_h") > F.col("_limit"), F.col("_h") <= F.col("_limit"))
+    return tuple(marked.filter(side).select(*[ref(c) for c in df.columns]) for side in sides)
+
+
+def numbered_copies(df: DataFrame, seed: int) -> DataFrame:
+    """The rows of ``df`` with ``_h``, a hash of content and copy number.
+
+    Equal rows are counted before the shuffle; a row with very many copies is
+    written out again in chunks of bounded size by several tasks.
+    """
+    columns = [ref(c) for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _CHUNK)))
+    chunks = counted.select(*columns, "_n", chunk.alias("_c"))
+    if counted.filter(F.col("_n") > _CHUNK).limit(1).count():
+        chunks = chunks.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    last = F.least(F.col("_n"), (F.col("_c") + 1) * _CHUNK) - 1
+    copies = chunks.select(*columns, F.explode(F.sequence(F.col("_c") * _CHUNK, last)).alias("_copy"))
+    content = F.xxhash64(F.lit(seed), *columns, "_copy")
+    return copies.select(*columns, F.shiftrightunsigned(content, 1).alias("_h"))
+
+
+def _thresholds(keyed: DataFrame, wanted: dict[str, int], total: int) -> dict[str, int]:
+    """Per class the hash of the last test row.
 
     Each step counts rows per 10 bits of hash and keeps the slice holding the
     quota, until few enough rows are left to be ranked directly.
     """
     state = {k: (q, 0, _HASH_BITS) for k, q in wanted.items() if q > 0}
     rows = keyed.select("_k", "_h")
-    total = rows.count()
     while total > SELECT_ROWS and min(bits for _, _, bits in state.values()) > _STEP_BITS:
         slices = _in_slice(rows, state)
         shift = next(iter(state.values()))[2] - _STEP_BITS
@@ -98,10 +106,7 @@ def _thresholds(keyed: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int
         .filter((F.col("upto") >= F.col("_quota")) & (F.col("upto") - F.col("c") < F.col("_quota")))
         .collect()
     )
-    out = {k: (-1, 0, 0) for k in wanted}
-    for r in ranked:
-        out[r["_k"]] = (r["_h"], r["_quota"] - (r.upto - r.c), r.c)
-    return out
+    return {k: -1 for k in wanted} | {r["_k"]: r["_h"] for r in ranked}
 
 
 def _in_slice(rows: DataFrame, state: dict) -> DataFrame:
@@ -126,20 +131,3 @@ def _descend(found, state, shift):
             after[r["_k"]] = (quota - (r.upto - r.c), start + (r.s << shift), shift)
             total += r.c
     return total, after
-
-
-def _copies(equal: DataFrame, columns: list[str], count) -> DataFrame:
-    """``count`` copies of each distinct row, written in bounded chunks."""
-    one = equal.groupBy(*[ref(c) for c in columns], "_take", "_held").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    parallel = equal.sparkSession.sparkContext.defaultParallelism
-    chunks = one.select(
-        *[ref(c) for c in columns],
-        count.alias("_left"),
-        F.explode(F.sequence(F.lit(0), F.floor(count / _CHUNK).cast("int"))).alias("_chunk"),
-    ).repartition(parallel)
-    size = F.least(F.lit(_CHUNK), F.col("_left") - F.col("_chunk") * _CHUNK).cast("int")
-    return chunks.select(
-        *[ref(c) for c in columns], F.explode(F.array_repeat(F.lit(0), size)).alias("_copy")
-    ).drop("_copy")

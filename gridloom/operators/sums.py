@@ -73,19 +73,30 @@ def vector_size(df: DataFrame, column: str = "x") -> int:
     return int(first.d) if first else 0
 
 
+def first_values(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """The values of one row, as a shift for sums of squares (zero without rows)."""
+    row = df.select(*columns).first()
+    if row is None:
+        return np.zeros(len(columns))
+    values = np.concatenate([np.atleast_1d(np.asarray(v if v is not None else 0.0, float)) for v in row])
+    return np.where(np.isfinite(values), values, 0.0)
+
+
 class Moments:
     """First and second moments of x (and of targets y), weighted when asked."""
 
-    def __init__(self, packed: np.ndarray, d: int, k: int):
+    def __init__(self, packed: np.ndarray, d: int, k: int, shift: np.ndarray):
         self.d, self.k = d, k
         width = d + k
         self.n = float(packed[0])
         sums = packed[1 : 1 + width]
         second = packed[1 + width :].reshape(width, width)
-        self.mean = sums / self.n if self.n else sums
-        # Centred cross products of [x, y].
-        self.centred = second - np.outer(sums, self.mean)
-        self.raw = second
+        mean = sums / self.n if self.n else sums
+        # Centred cross products of [x, y]; the sums are of values less a shift, so
+        # that large values with a small spread keep their digits.
+        self.centred = second - np.outer(sums, mean)
+        self.mean = mean + shift
+        self.raw = self.centred + self.n * np.outer(self.mean, self.mean)
 
     @property
     def x_mean(self) -> np.ndarray:
@@ -129,6 +140,10 @@ def moments(
     targets = targets or []
     k = classes if classes else len(targets)
     width = d + k
+    shift = np.zeros(width)
+    start = first_values(df, [x] if classes else [x, *targets])
+    if len(start) in (d, width):
+        shift[: len(start)] = start
 
     def statistic(features, *rest):
         parts = [features]
@@ -139,11 +154,11 @@ def moments(
                 if classes
                 else values[:, None]
             )
-        table = np.hstack(parts)
+        table = np.hstack(parts) - shift
         w = np.asarray(rest[-1], float) if weight else np.ones(len(table))
         weighted = table * w[:, None]
         return np.concatenate([[w.sum()], weighted.sum(0), (table.T @ weighted).ravel()])
 
     columns = [x, *targets] + ([weight] if weight else [])
     packed = sum_over_rows(df, columns, statistic, 1 + width + width * width)
-    return Moments(packed, d, k)
+    return Moments(packed, d, k, shift)

@@ -84,10 +84,12 @@ class Prepared:
     def label(self):
         if self.classes is None:
             return ref(self.target)
+        # A class that only the test rows have is never predicted, but counts as a
+        # label of its own: it takes a code behind those of the training rows.
+        unseen = [c for c in self.all_classes or [] if c not in set(self.classes)]
         codes = F.create_map(
-            *[F.lit(v) for i, c in enumerate(self.classes) for v in (c, float(i))]
+            *[F.lit(v) for i, c in enumerate([*self.classes, *unseen]) for v in (c, float(i))]
         )
-        # A class that only the test rows have is never predicted.
         return F.coalesce(F.element_at(codes, ref(self.target)), F.lit(-1.0))
 
     def release(self) -> None:
@@ -117,7 +119,7 @@ def prepare_supervised(
     table = df.select(*[ref(c) for c in features], label.alias(target))
     all_classes = None
     if task == CLASSIFICATION:
-        distinct = df.select(ref(target)).dropna().distinct().limit(100_000).count()
+        distinct = df.select(ref(target)).dropna().distinct().count()
         if distinct > MAX_CLASSES:
             raise ValueError(
                 f"Target has {distinct} unique values—too many distinct classes for classification."

@@ -15,14 +15,20 @@ MISSING_TOKENS = [
 ]
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """A CSV with header. Without a schema every column gets the narrowest type
     that all its non-missing values fit: integer, decimal number, boolean, text.
 
-    Types are found by one aggregate over the file; dates stay text.
+    Types are found by one aggregate over the file; dates stay text. Line breaks
+    inside quotes belong to the value, for which a file is read as one piece;
+    ``multi_line=False`` splits large files that are known to have none.
     """
     try:
-        text = spark.read.option("header", True).option("multiLine", False).csv(path)
+        # Quoted values may hold line breaks and doubled quotes.
+        reader = spark.read.option("header", True).option("multiLine", multi_line)
+        text = reader.option("escape", '"').csv(path)
         columns = text.columns
     except Exception as error:
         raise ValueError(f"Could not read CSV: {error}") from error

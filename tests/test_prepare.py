@@ -75,6 +75,17 @@ def test_split_is_stable_and_exact(spark, monkeypatch):
     assert sorted(r.id for r in stepped.collect()) == ids
 
 
+def test_split_spreads_ten_distinct_rows(spark):
+    rows = [(i, "a" if i % 2 else "b") for i in range(10) for _ in range(400)]
+    df = spark.createDataFrame(rows, "v int, y string")
+    train, test = split.train_test_split(df, "y", 0.2)
+    counts = {r.v: r["count"] for r in test.groupBy("v").count().collect()}
+    assert sum(counts.values()) == 800 and set(counts) == set(range(10))
+    assert all(40 <= n <= 120 for n in counts.values())
+    again = split.train_test_split(df.repartition(7), "y", 0.2)[1]
+    assert {r.v: r["count"] for r in again.groupBy("v").count().collect()} == counts
+
+
 def test_split_divides_copies(spark, monkeypatch):
     monkeypatch.setattr(split, "_CHUNK", 7)
     df = spark.createDataFrame([(1, "a")] * 90 + [(2, "b")] * 10, "v int, y string")

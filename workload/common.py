@@ -75,8 +75,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df
 
 
-def embedding_columns(spark: SparkSession, sf: str, width: int) -> DataFrame:
-    """The first ``width`` entries of each embedding as columns."""
+# Entries of an embedding.
+WIDTH = 64
+
+
+def embedding_columns(spark: SparkSession, sf: str, width: int = WIDTH) -> DataFrame:
+    """The entries of each embedding as columns."""
     return table(spark, sf, "embeddings").select(
         *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i:02d}") for i in range(width)]
     )

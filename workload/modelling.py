@@ -318,33 +318,14 @@ _SQL_TWINS = set(_LINES) | {
     "gaussian_nb", "lda", "qda", "ridge_classifier", "multinomial_nb", "complement_nb",
     "bernoulli_nb", "categorical_nb",
 }
-# Long sequential fits run on the smaller table.
-_LONG = {
-    "adaboost", "extra_tree", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "mlp",
-    "random_forest",
-}
-
-
-def _supplier(spark, sf):
-    return table(spark, sf, "supplier").select(
-        "s_suppkey",
-        "s_nationkey",
-        "s_acctbal",
-        F.expr("CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END").alias("level"),
-    )
-
 
 def _register_training(spec, task):
     suffix = "" if spec.kind != "both" else f"_{task}"
 
     @query(f"train_{spec.id}{suffix}")
     def run(spark, sf):
-        if spec.id in _LONG:
-            df, target = _supplier(spark, sf), "level" if task == "classification" else "s_acctbal"
-            df = df.drop("s_acctbal" if task == "classification" else "level")
-        else:
-            df = table(spark, sf, "part").drop("p_partkey", "p_name")
-            target = "p_type" if task == "classification" else "p_retailprice"
+        df = table(spark, sf, "part").drop("p_partkey", "p_name")
+        target = "p_type" if task == "classification" else "p_retailprice"
         model = training.train(df, target, spec.id)
         return metric_rows(spark, model.metadata["metrics"])
 
@@ -359,7 +340,7 @@ for _spec in SUPERVISED:
 def _register_unsupervised(spec):
     @query(f"train_{spec.id}")
     def run(spark, sf):
-        df = embedding_columns(spark, sf, 12)
+        df = embedding_columns(spark, sf)
         if spec.id in ("nmf", "lda_topic"):
             df = df.select(*[F.abs(F.col(c)).alias(c) for c in df.columns])
         if spec.family == "anomaly":
@@ -404,7 +385,7 @@ def score_saved_model(spark, sf):
 
 @query("score_embedding")
 def score_embedding(spark, sf):
-    df = embedding_columns(spark, sf, 12)
+    df = embedding_columns(spark, sf)
     model = training.fit_unsupervised(df, "decomposition", "incremental_pca")
     return training.score(model, df).select("embedding")
 

@@ -230,6 +230,22 @@ def split_with_copies(spark, sf):
     return _sides(train, test, "l_returnflag")
 
 
+@query(
+    "split_spreads_copies",
+    """SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, true AS spread
+  FROM lineitem GROUP BY 1, 2, 3""",
+)
+def split_spreads_copies(spark, sf):
+    """The test share of every repeated row lies within five deviations of 0.2."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    train, test = train_test_split(df, "l_returnflag")
+    both = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1)))
+    n = F.count(F.lit(1))
+    return both.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(
+        n.alias("n"), (F.abs(F.avg("test") - 0.2) <= 5 * F.sqrt(0.16 / n)).alias("spread")
+    )
+
+
 @query(
     "oversample_classes",
     """WITH c AS (SELECT CASE WHEN s_nationkey < 5 THEN 'few' ELSE 'many' END AS class,

@@ -190,25 +190,15 @@ def correlation_with_gaps(spark, sf):
     )
 
 
-_E20 = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i:02d}" for i in range(20))
-
-
 @query(
     "strongest_pairs",
-    f"WITH t AS (SELECT {_E20} FROM embeddings), p AS ("
-    + union(
-        [
-            f"SELECT 'e{i:02d}' AS column_a, 'e{j:02d}' AS column_b, corr(e{i:02d}, e{j:02d}) AS r, "
-            "count(*) AS n FROM t"
-            for i in range(20)
-            for j in range(i + 1, 20)
-        ]
-    )
-    + ") SELECT column_a, column_b, round(r, 6) AS r, n FROM p "
-    "ORDER BY abs(r) DESC, column_a, column_b LIMIT 60",
+    """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+  p AS (SELECT printf('e%02d', a.i) AS column_a, printf('e%02d', b.i) AS column_b,
+    corr(a.v, b.v) AS r, count(*) AS n FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)
+  SELECT column_a, column_b, round(r, 6) AS r, n FROM p ORDER BY abs(r) DESC, column_a, column_b LIMIT 60""",
 )
 def strongest_pairs(spark, sf):
-    pairs = association.correlation_table(embedding_columns(spark, sf, 20))
+    pairs = association.correlation_table(embedding_columns(spark, sf))
     return rounded(association.strongest_pairs(pairs), "r")
 
 
@@ -568,7 +558,7 @@ def category_bars(spark, sf):
 
 @query("chart_set")
 def chart_set(spark, sf):
-    df = embedding_columns(spark, sf, 24)
+    df = embedding_columns(spark, sf)
     chosen = charts.choose_charts(df)
     rows = [
         (c, json.dumps(doc))
@@ -582,7 +572,7 @@ def chart_set(spark, sf):
 @query("profile_document")
 def profile_document(spark, sf):
     document = profile(
-        table(spark, sf, "orders").drop("o_orderdate"),
+        table(spark, sf, "orders"),
         target="o_orderstatus",
         order=["o_orderkey"],
     )
