@@ -63,7 +63,7 @@ def isolation_forest(t: Training) -> Fitted:
 
     # A pool of about twice the rows of all trees, bounded for any table.
     share = min(1.0, 2 * TREES * per_tree / t.rows)
-    pool = rows.filter(hashed() <= F.lit(int(share * (2**63 - 1))))
+    pool = rows if share == 1.0 else rows.filter(hashed() <= F.lit(int(share * 2**53) << 10))
     drawn = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
         .withColumn("order", hashed("tree"))
