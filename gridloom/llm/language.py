@@ -39,7 +39,7 @@ CHUNK_CHARS = 1_000_000
 STRENGTH = 5.0
 # Trigrams beyond this number add no certainty: neighbouring ones are not independent.
 FULL_WEIGHT = 60
-THRESHOLD = 0.8
+THRESHOLD = 0.5
 
 _BYTES = np.array([b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 MARKUP_LANG = r"""(?is)^.{0,2000}?<html[^>]*?\slang\s*=\s*["']?([a-z]+)"""
@@ -115,7 +115,8 @@ def fit_trigrams(rows: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE
         for row in sample.mapInArrow(work, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect():
             counts[languages.index(row.declared), row.bucket] = row.n
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-    unknown = 0.5 * share.mean(axis=0) + 0.5 / BUCKETS
+    # Mostly flat, so that a text of several known languages is not unknown.
+    unknown = 0.05 * share.mean(axis=0) + 0.95 / BUCKETS
     return np.log(np.vstack([share, unknown])).astype(np.float32)
 
 

@@ -21,9 +21,10 @@ splits; sums and minima combine before the shuffle.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import free_names, whole
@@ -37,6 +38,19 @@ LOOKUP_ROWS = 300_000
 PAIR = 0x0000000100000001
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """While open, shuffle files go as soon as the step that wrote them is over:
+    every step here ends in a written table that the next one reads."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def normal(line: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one blank."""
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
@@ -60,11 +74,13 @@ def signatures(lines: DataFrame) -> DataFrame:
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(PAIR))).alias(f"s{i}") for i in range(32)]
     # By occurrence: the sums of a line then never exceed its number of words.
     summed = words.groupBy("doc_id", "text_key", "line", "id").agg(F.count("*").alias("n"), *sums)
+    # Both lanes at once: 2 * ones - n - 1 + 2^30 has bit 30 set if 2 * ones > n
+    # (a text holds fewer than 2^30 words, so no lane reaches the next one).
+    middle = (F.lit((1 << 30) - 1) - F.col("n")) * F.lit((1 << 32) + 1)
     sig = F.lit(0).cast("long")
     for i in range(32):
-        low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32)
-        for bit, ones in ((i, low), (i + 32, high)):
-            sig = sig.bitwiseOR(F.when(ones * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+        ones = F.col(f"s{i}") + F.col(f"s{i}") + middle
+        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned(ones, 30).bitwiseAND(F.lit(PAIR)), i))
     return summed.select("id", sig.alias("sig")).groupBy("id").agg(F.min("sig").alias("sig"))
 
 
@@ -112,9 +128,7 @@ def similar(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     texts = checkpoint(texts)
     x, y = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("budget", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int"))
-    close = F.lit(False)
-    for band in (8, 64):
-        close |= F.expr(f"levenshtein(x, y, least(budget, {band})) >= 0")
+    close = F.expr("levenshtein(x, y, least(budget, 16)) >= 0")
     return both.filter(close | F.expr("levenshtein(x, y, budget) >= 0")).select("a", "b")
 
 
@@ -131,33 +145,33 @@ def line_groups(lines: DataFrame) -> DataFrame:
     same = nodes.join(sigs, "sig").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     first = checkpoint(similar(star.select("a", F.col("id").alias("b")).unionByName(same), lines))
     groups = components(first)
-    # Second round: members of crowded buckets and of shared signatures.
-    members = crowded.select("key", "sig").unionByName(crowded.select("key", F.col("least").alias("sig")).distinct())
-    shared = same.select(F.col("a").alias("id")).distinct().unionByName(same.select(F.col("b").alias("id")))
-    members = members.join(nodes, "sig").select("key", "sig", "id").unionByName(
-        nodes.join(shared, "id", "left_semi").select(F.xxhash64(F.lit("sig"), "sig").alias("key"), "sig", "id")
+    # Second round: members of crowded buckets and of shared signatures, of which
+    # only pairs in different groups are left.
+    placed = nodes.join(groups, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("g"))
+    buckets = crowded.select("key", "sig").unionByName(crowded.groupBy("key").agg(F.min("least").alias("sig")))
+    shared = nodes.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = buckets.unionByName(shared.select(F.xxhash64(F.lit("sig"), "sig").alias("key"), "sig"))
+    members = checkpoint(buckets.join(placed, "sig"))
+    left = members.select("key", F.col("sig").alias("sig_a"), F.col("id").alias("a"), F.col("g").alias("g_a"))
+    right = members.select("key", F.col("sig").alias("sig_b"), F.col("id").alias("b"), F.col("g").alias("g_b"))
+    rest = left.join(
+        right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & _near("sig_a", "sig_b")
     )
-    members = members.join(groups, "id", "left").select("key", "sig", "id", F.coalesce("component", "id").alias("g"))
-    members = checkpoint(members)
-    mixed = members.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
-    open_ = members.join(mixed, "key", "left_semi")
-    left = open_.select("key", F.col("sig").alias("sig_a"), F.col("id").alias("a"), F.col("g").alias("g_a"))
-    right = open_.select("key", F.col("sig").alias("sig_b"), F.col("id").alias("b"), F.col("g").alias("g_b"))
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & _near("sig_a", "sig_b"))
-    second = similar(rest.select("a", "b"), lines)
-    return components(first.unionByName(second))
-
-
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and the columns n_lines
-    and n_removed.
-
-    Lines without letters or digits are never taken out. Null texts stay null and
-    empty texts empty; a document that loses all lines has an empty text; a null id
-    counts as the smallest. Rows that repeat in id and text are one document: they
-    lose and keep the same lines. Long texts and lines are taken whole. Other
-    columns stay; earlier columns of the two added names are replaced.
-    """
+    low, high = F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high")
+    rest = checkpoint(rest.select("a", "b", low, high).distinct())
+    # One pair of every two groups is tried first; what that connects needs no more.
+    tried = rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    second = checkpoint(first.unionByName(similar(tried, lines)))
+    merged = components(second)
+    for side in ("low", "high"):
+        now = merged.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_now"))
+        rest = rest.join(now, F.col(side) == F.col(f"{side}_id"), "left").withColumn(f"{side}_now", F.coalesce(f"{side}_now", side))
+    third = similar(rest.filter("low_now <> high_now").select("a", "b"), lines)
+    return components(second.unionByName(third))
+
+
+def lost_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, lost): the numbers of the lines that each document loses."""
     spark = docs.sparkSession
     path = shared_folder(spark, "lines")
     split_lines(docs, id_col, text_col).write.option("compression", "zstd").parquet(path)
@@ -171,11 +185,24 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = nodes.groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("g", "first")
     stay = checkpoint(nodes.join(repeated.withColumnRenamed("first", "keep"), "g").select(F.col("id").alias("repeated_id"), "keep"))
     lost = places.join(lookup(stay, stay.count()), F.col("id") == F.col("repeated_id")).filter(F.struct("doc_id", "line", "text_key") != F.col("keep"))
+    return checkpoint(lost.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lost")))
+
+
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and the columns n_lines
+    and n_removed.
+
+    Lines without letters or digits are never taken out. Null texts stay null and
+    empty texts empty; a document that loses all lines has an empty text; a null id
+    counts as the smallest. Rows that repeat in id and text are one document: they
+    lose and keep the same lines. Long texts and lines are taken whole. Other
+    columns stay; earlier columns of the two added names are replaced.
+    """
+    spark = docs.sparkSession
     lost_id, lost_key, gone = free_names(docs, "lost_id", "lost_key", "lost")
-    lost = checkpoint(
-        lost.groupBy(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key)).agg(F.collect_set("line").alias(gone))
-    )
-    size = lost.agg(F.count("*") + F.sum(F.size(gone)) / 8).first()[0] or 0
+    with freed_shuffles(spark):
+        lost = lost_lines(docs, id_col, text_col).toDF(lost_id, lost_key, gone)
+        size = lost.agg(F.count("*") + F.sum(F.size(gone)) / 8).first()[0] or 0
     text = whole(text_col)
     rest = docs.drop("n_lines", "n_removed")
     both = rest.join(
