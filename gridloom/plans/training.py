@@ -220,6 +220,47 @@ def train(
         prepared.release()
 
 
+@dataclass
+class PreparedTable:
+    """A table cleaned for unsupervised runs; arrays by the wish for scaling."""
+
+    table: DataFrame
+    features: list[str]
+    config: PrepareConfig
+    rows: int
+    example: dict
+    cache: dict[bool, tuple[Preparation, Training]] = field(default_factory=dict)
+
+    def arrays(self, wants_scale: bool) -> tuple[Preparation, Training]:
+        if wants_scale not in self.cache:
+            preparation = fit_preparation(self.table, self.features, self.config, wants_scale)
+            arrays = spread_small(preparation.transform(self.table), self.rows).persist()
+            self.cache[wants_scale] = (preparation, Training(arrays, self.rows, len(self.features)))
+        return self.cache[wants_scale]
+
+    def release(self) -> None:
+        for _, training in self.cache.values():
+            training.df.unpersist()
+        self.table.unpersist()
+
+
+def prepare_unsupervised(
+    df: DataFrame, options: dict | None = None, exclude: list[str] | None = None
+) -> PreparedTable:
+    """Check the request and clean the table, once for all algorithms."""
+    config = resolve_config(options)
+    if config.imbalance != "none":
+        raise ValueError("Imbalance handling (SMOTE) is only for supervised classification.")
+    df = missing_as_null(df)
+    features = select_features(df, None, config.feature_columns, exclude)
+    table = df.select(*[ref(c) for c in features])
+    rows = table.count()
+    if rows < 5:
+        raise ValueError("Need at least 5 rows for unsupervised training.")
+    table = cache_small(table, rows)
+    return PreparedTable(table, features, config, rows, example_row(table, features))
+
+
 def fit_unsupervised(
     df: DataFrame,
     family: str,
@@ -230,26 +271,24 @@ def fit_unsupervised(
     """Fit on all rows and evaluate on the same rows."""
     if family not in registry.FAMILIES:
         raise ValueError("unsupervised_family is required when mode is unsupervised.")
+    registry.unsupervised(algorithm, family)
+    prepared = prepare_unsupervised(df, options, exclude)
+    try:
+        return fit_prepared(prepared, family, algorithm)
+    finally:
+        prepared.release()
+
+
+def fit_prepared(prepared: PreparedTable, family: str, algorithm: str) -> TrainedModel:
+    """One unsupervised run on a table that is already cleaned."""
     spec = registry.unsupervised(algorithm, family)
-    config = resolve_config(options)
-    if config.imbalance != "none":
-        raise ValueError("Imbalance handling (SMOTE) is only for supervised classification.")
-    df = missing_as_null(df)
-    features = select_features(df, None, config.feature_columns, exclude)
-    table = df.select(*[ref(c) for c in features])
-    rows = table.count()
-    if rows < 5:
-        raise ValueError("Need at least 5 rows for unsupervised training.")
-    table = cache_small(table, rows)
-    preparation = fit_preparation(table, features, config, spec.scale)
-    arrays = spread_small(preparation.transform(table), rows).persist()
-    training = Training(arrays, rows, len(features))
+    preparation, training = prepared.arrays(spec.scale)
     fitted = spec.fit(training)
     metadata = {
         "task": "unsupervised",
         "metrics": unsupervised_metrics(fitted, training, family),
-        "feature_columns": features,
-        "prediction_example_row": example_row(table, features),
+        "feature_columns": prepared.features,
+        "prediction_example_row": prepared.example,
         "label_classes": None,
         "target_column": None,
         "dataset_id": None,
@@ -258,11 +297,9 @@ def fit_unsupervised(
         "learning_mode": "unsupervised",
         "unsupervised_family": family,
         "inference_method": spec.inference,
-        "preprocess_applied": config.to_dict(),
+        "preprocess_applied": prepared.config.to_dict(),
     }
-    arrays.unpersist()
-    table.unpersist()
-    return TrainedModel(preparation, fitted, None, table.schema, metadata)
+    return TrainedModel(preparation, fitted, None, prepared.table.schema, metadata)
 
 
 def unsupervised_metrics(fitted: Fitted, training: Training, family: str) -> dict:
@@ -271,12 +308,18 @@ def unsupervised_metrics(fitted: Fitted, training: Training, family: str) -> dic
         return out | fitted.facts
     if fitted.facts.get("feature_labels"):
         return out | {
-            "cluster_metric_note": "Labels belong to features, not to rows: no row metrics."
+            "n_label_values": len(set(fitted.facts["feature_labels"])),
+            "cluster_metric_note": "Labels belong to features, not to rows: no row metrics.",
         }
-    scored = apply_model(fitted, training.df)
-    if family == "clustering":
-        return out | m.clustering_metrics(scored, training.d)
-    return out | m.anomaly_metrics(scored)
+    try:
+        scored = apply_model(fitted, training.df)
+        if family == "clustering":
+            return out | m.clustering_metrics(scored, training.d)
+        return out | m.anomaly_metrics(scored)
+    except Exception as error:
+        # The model stands without its metrics; the run says why they are missing.
+        note = "cluster_metric_note" if family == "clustering" else "anomaly_metric_note"
+        return out | {note: str(error).split("\n")[0]}
 
 
 def score(model: TrainedModel, df: DataFrame) -> DataFrame:
@@ -359,9 +402,11 @@ def compare_unsupervised(
     ids = chosen_algorithms(algorithms)
     for name in ids:
         registry.unsupervised(name, family)
-    return [
-        _attempt(name, lambda n: fit_unsupervised(df, family, n, options, exclude)) for name in ids
-    ]
+    prepared = prepare_unsupervised(df, options, exclude)
+    try:
+        return [_attempt(name, lambda n: fit_prepared(prepared, family, n)) for name in ids]
+    finally:
+        prepared.release()
 
 
 def _attempt(name, fit) -> dict:

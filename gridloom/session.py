@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a lookup table may hold before a join on it is left to shuffle.
-BROADCAST_ROWS = 200_000
+# Rows, and bytes of text, that a lookup table may hold before a join on it is
+# left to shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 # Tables up to this size are spread over the cores before heavy work.
 SPREAD_ROWS = 5_000_000
 
@@ -47,12 +48,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def bounded_lookup(table: DataFrame, rows: int) -> DataFrame:
-    """``table`` marked for broadcast when its measured row count is small.
+    """``table`` marked for broadcast when its row count and the measured size of
+    its text columns are small.
 
     A larger table is returned unmarked: the join then shuffles, and adaptive
     execution splits skewed keys.
     """
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    if rows > BROADCAST_ROWS:
+        return table
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    size = sum(table.agg(*texts).first()) if texts else 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def spread_small(df: DataFrame, rows: int) -> DataFrame:

@@ -16,7 +16,7 @@ from gridloom.functions.hints import error_hint, metric_line
 from gridloom.operators.models import trees
 from gridloom.operators.models.base import Fitted
 from gridloom.operators.prepare import Preparation
-from gridloom.plans.training import TrainedModel
+from gridloom.plans.training import TrainedModel, score
 
 RUN_SCHEMA = (
     "run_id string, dataset_id string, status string, message string, task string, "
@@ -133,3 +133,9 @@ def described(runs: DataFrame) -> DataFrame:
     return runs.withColumn("metric_line", metric_line(F.col("task"), F.col("metrics"))).withColumn(
         "hint", error_hint(F.col("message"))
     )
+
+
+def write_scores(model: TrainedModel, rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """Score ``rows`` and write them with their prediction or embedding."""
+    writer = score(model, rows).write.mode("overwrite").format(form)
+    (writer.option("header", True) if form == "csv" else writer).save(path)

@@ -460,16 +460,18 @@ def leaderboard(spark, sf):
 
 @query(
     "score_saved_model",
-    "SELECT count(*) AS n_rows, count(p_type) AS predicted FROM part",
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS prediction FROM part""",
 )
 def score_saved_model(spark, sf):
-    df = table(spark, sf, "part").drop("p_partkey", "p_name")
+    """Saved, loaded, scored into a written table; every row against its class."""
+    size = F.expr("CASE WHEN p_size > 25 THEN p_size + 50 ELSE p_size END").alias("size")
+    level = F.expr("CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END").alias("level")
+    df = table(spark, sf, "part").select("p_partkey", size, "p_retailprice", level)
+    model = training.train(df.drop("p_partkey"), "level", "lda")
     folder = shared_folder(spark, "model")
-    store.save_model(training.train(df, "p_type", "lda"), folder, "part")
-    scored = training.score(store.load_model(spark, folder), df.drop("p_type"))
-    return scored.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("predicted")
-    )
+    store.save_model(model, folder, "part")
+    store.write_scores(store.load_model(spark, folder), df.drop("level"), f"{folder}/scores")
+    return spark.read.parquet(f"{folder}/scores").select("p_partkey", "prediction")
 
 
 @query("score_embedding")
