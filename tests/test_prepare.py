@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from gridloom.operators import metrics, split
+from gridloom.operators import metrics, quality, split, sums
+from gridloom.operators.models import bayes
+from gridloom.operators.models.base import Training
 from gridloom.operators.oversample import oversample
 from gridloom.operators.prepare import (
     Preparation,
@@ -154,3 +156,28 @@ def test_json_rows(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('[{"n": 1, "t": "a"}, {"n": 2}]')
     assert tables.load_json_rows(spark, str(path), schema).count() == 2
+
+
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('a,b\n"one\ntwo ""x""",1\nthree,2\n')
+    rows = tables.load_csv(spark, str(path)).orderBy("b").collect()
+    assert [(r.a, r.b) for r in rows] == [('one\ntwo "x"', 1), ("three", 2)]
+
+
+def test_moments_keep_a_small_spread_of_large_values(spark):
+    rows = [([1.7e9 + (i % 3), float(i)], float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "x array<double>, label double")
+    found = sums.moments(df)
+    assert abs(found.covariance[0, 0] - 2 / 3) < 1e-6
+    counts, means, squares = bayes.class_sums(Training(df, 300, 2, 2), "diagonal")
+    assert list(counts) == [150, 150] and abs(squares[0, 0] / 150 - 2 / 3) < 1e-6
+    assert abs(means[0, 0] - 1.7e9 - 1) < 1e-6
+
+
+def test_leakage_of_several_columns(spark):
+    rows = [(i, i % 40, i % 7, f"c{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "row int, user_id int, other_id int, y string")
+    assert [r.column for r in quality.leakage_hints(df, "y", "classification").collect()] == ["user_id"]
+    both = {r.column: r.one_to_one for r in quality.one_to_one(df, ["user_id", "other_id"], "y").collect()}
+    assert both == {"user_id": True, "other_id": False}
