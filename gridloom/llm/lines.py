@@ -120,7 +120,7 @@ def similar(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     """The pairs (a, b) of line ids whose edit distance is at most 1 - similarity
     of the longer line. Close pairs are found within a narrow band first."""
     pairs = checkpoint(pairs.distinct())
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
     texts = (
         lines.join(lookup(ids, ids.count()), F.col("id") == F.col("wanted"), "left_semi")
         .groupBy("id").agg(F.first("norm").alias("norm"))
@@ -159,15 +159,23 @@ def line_groups(lines: DataFrame) -> DataFrame:
     )
     low, high = F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high")
     rest = checkpoint(rest.select("a", "b", low, high).distinct())
+    if rest.isEmpty():
+        return groups
     # One pair of every two groups is tried first; what that connects needs no more.
     tried = rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    second = checkpoint(first.unionByName(similar(tried, lines)))
-    merged = components(second)
+    joined = checkpoint(similar(tried, lines))
+    if joined.isEmpty():
+        merged = groups
+    else:
+        merged = components(first.unionByName(joined))
     for side in ("low", "high"):
         now = merged.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_now"))
         rest = rest.join(now, F.col(side) == F.col(f"{side}_id"), "left").withColumn(f"{side}_now", F.coalesce(f"{side}_now", side))
-    third = similar(rest.filter("low_now <> high_now").select("a", "b"), lines)
-    return components(second.unionByName(third))
+    open_ = checkpoint(rest.filter("low_now <> high_now").join(tried, ["a", "b"], "left_anti").select("a", "b"))
+    if open_.isEmpty():
+        return merged
+    third = checkpoint(similar(open_, lines))
+    return merged if third.isEmpty() else components(first.unionByName(joined).unionByName(third))
 
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
