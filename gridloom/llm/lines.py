@@ -9,9 +9,9 @@ Signatures that differ in at most three bits agree in two of five blocks
 (pigeonhole), so they meet in a join on ten keys of about 25 bits. Tables of many
 more lines take more blocks, hence longer keys, with the same result. To keep
 groups of many variants from meeting in all pairs, a first round links every
-signature to the smallest one of its bucket and contracts what is connected; the
-second round joins only what shares a bucket and still lies in different groups.
-It finds every link that is left, so the groups are exact.
+signature to the smallest one of its bucket and labels it by that; the second
+round joins only what shares a bucket under different labels. It finds every link
+that is left, so the groups are exact.
 
 Texts are normalised once and written to the shared folder; words, signatures
 and keys are what is shuffled. A bucket or line that holds a large share of the
@@ -33,7 +33,7 @@ from gridloom.session import checkpoint, shared_folder
 
 DISTANCE, SIMILARITY, BITS = 3, 0.8, 64
 # Rows of a lookup (ids, or documents that lose lines) that may be broadcast.
-LOOKUP_ROWS = 300_000
+LOOKUP_ROWS = 50_000
 # Bits i and i + 32 of a hash, each in a lane of 32 bits that cannot run over.
 PAIR = 0x0000000100000001
 
@@ -144,7 +144,8 @@ def line_groups(lines: DataFrame) -> DataFrame:
     star = crowded.filter(_near("sig", "least")).select("sig", "least").distinct().join(nodes, "sig").join(lead, "least")
     same = nodes.join(sigs, "sig").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     first = checkpoint(similar(star.select("a", F.col("id").alias("b")).unionByName(same), lines))
-    groups = components(first)
+    # Nodes that link to the same smallest node are connected: their label.
+    groups = first.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("component"))
     # Second round: members of crowded buckets and of shared signatures, of which
     # only pairs in different groups are left.
     placed = nodes.join(groups, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("g"))
@@ -159,23 +160,13 @@ def line_groups(lines: DataFrame) -> DataFrame:
     )
     low, high = F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high")
     rest = checkpoint(rest.select("a", "b", low, high).distinct())
-    if rest.isEmpty():
-        return groups
-    # One pair of every two groups is tried first; what that connects needs no more.
-    tried = rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    joined = checkpoint(similar(tried, lines))
-    if joined.isEmpty():
-        merged = groups
-    else:
-        merged = components(first.unionByName(joined))
-    for side in ("low", "high"):
-        now = merged.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_now"))
-        rest = rest.join(now, F.col(side) == F.col(f"{side}_id"), "left").withColumn(f"{side}_now", F.coalesce(f"{side}_now", side))
-    open_ = checkpoint(rest.filter("low_now <> high_now").join(tried, ["a", "b"], "left_anti").select("a", "b"))
-    if open_.isEmpty():
-        return merged
-    third = checkpoint(similar(open_, lines))
-    return merged if third.isEmpty() else components(first.unionByName(joined).unionByName(third))
+    # One pair of every two labels is tried first; labels that it connects need no
+    # more, of the others every pair is compared.
+    tried = rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("low", "high", "p.a", "p.b")
+    joined = checkpoint(tried.join(similar(tried.select("a", "b"), lines), ["a", "b"]))
+    others = rest.join(joined.select("low", "high"), ["low", "high"], "left_anti").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    others = similar(others.select("a", "b"), lines)
+    return components(first.unionByName(joined.select("a", "b")).unionByName(others))
 
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
