@@ -246,13 +246,20 @@ def near_duplicates(
     prints = checkpoint(fingerprints(docs, id_col, text_col, width))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("first")))
     groups = components(near_links(distinct.select("fp"), distinct.count(), budget))
+    return named_groups(prints, distinct, groups).select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def named_groups(prints: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of every row of ``prints`` (id, fp): the smallest id
+    of the group of its fingerprint, by ``distinct`` (fp, first) and ``groups``
+    (id, component)."""
     labelled = distinct.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(smallest, "component").select(F.col("fp").alias("named_fp"), "component_id")
-    return prints.join(named, prints.fp == named.named_fp).select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    return prints.join(named, prints.fp == named.named_fp).select("id", "fp", "component_id")
