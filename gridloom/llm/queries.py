@@ -74,7 +74,7 @@ def op7_chat_formatting(spark, sf):
 
 @query("op10_secret_scan")
 def op10_secret_scan(spark, sf):
-    found = secrets.scan_secrets(table(spark, sf, "documents"))
+    found = secrets.scan_secrets(table(spark, sf, "documents"), by_block=True)
 
     def number(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
