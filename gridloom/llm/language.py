@@ -18,6 +18,8 @@ adaptive execution in the join.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 from gridloom.llm.common import chunks, whole
 from gridloom.session import checkpoint
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
+# A declared code is taken for a language if this many rows declare it, and this
+# share of all rows with a declaration (so there are at most 1,000 languages).
+LEAST_ROWS, LEAST_SHARE = 20, 0.001
 # Rows of each declared language from which the trigram model is fitted.
 SAMPLE_ROWS = 1000
 BUCKETS = 1 << 13
@@ -42,14 +46,17 @@ FULL_WEIGHT = 60
 THRESHOLD = 0.5
 
 _BYTES = np.array([b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
-MARKUP_LANG = r"""(?is)^.{0,2000}?<html[^>]*?\slang\s*=\s*["']?([a-z]+)"""
+COMMENTS, HTML_TAG = r"(?s)<!--.*?-->", r"(?is)<html\b[^>]*>"
+MARKUP_LANG = r"""(?i)\slang\s*=\s*["']?([a-z]+)"""
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 TAGS = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
 
 
 def declared_in_markup(html: Column) -> Column:
-    """Primary language code of the ``lang`` attribute of the html tag, or null."""
-    found = F.lower(F.regexp_extract(html, MARKUP_LANG, 1))
+    """Primary language code of the ``lang`` attribute of the first html tag outside
+    comments, wherever it is, or null."""
+    tag = F.regexp_extract(F.regexp_replace(html, COMMENTS, ""), HTML_TAG, 0)
+    found = F.lower(F.regexp_extract(tag, MARKUP_LANG, 1))
     return F.when(found != "", found)
 
 
@@ -78,17 +85,34 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[good], of
 
 
-def fit_trigrams(rows: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def declared_languages(rows: DataFrame, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> list[str]:
+    """The declared codes with enough support, in alphabetical order."""
+    counts = rows.filter("declared IS NOT NULL").groupBy("declared").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(least_rows, math.ceil(least_share * total))
+    return sorted(r.declared for r in counts.filter(F.col("count") >= least).collect() if r.declared != UNKNOWN)
+
+
+def fit_trigrams(rows: DataFrame, languages, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log probability of each bucket for each language, then for unknown text.
 
     From at most ``sample_rows`` rows of each declared language: those whose text
-    has the smallest hashes. Hashes are ranked first, so texts are not shuffled;
-    copies share a hash and count once.
+    has the smallest hashes. Copies share a hash and count once. A language of many
+    rows is first cut to the share of the hashes that holds about four times the
+    sample, so what is ranked has a bounded size however common a language is.
     """
     known = rows.filter(F.col("declared").isin(*languages)).select("declared", "text", F.xxhash64("text").alias("h"))
+    found = {}
+    if languages:
+        found = {r.declared: r.n for r in known.groupBy("declared").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    near = F.lit(False)
+    for name, n in found.items():
+        share = 4 * sample_rows / max(n, 1)
+        low = F.col("h") <= int(-(1 << 63) + share * (1 << 64)) if share < 0.9 else F.lit(True)
+        near |= (F.col("declared") == name) & low
     rank = F.row_number().over(W.partitionBy("declared").orderBy("h"))
     cuts = (
-        known.select("declared", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
+        known.select("declared", "h").filter(near).distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
         .groupBy("declared").agg(F.max("h").alias("cut")).collect()
     )
     counts = np.zeros((len(languages), BUCKETS))
@@ -116,7 +140,7 @@ def fit_trigrams(rows: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE
             counts[languages.index(row.declared), row.bucket] = row.n
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     # Mostly flat, so that a text of several known languages is not unknown.
-    unknown = 0.05 * share.mean(axis=0) + 0.95 / BUCKETS
+    unknown = 0.05 * share.sum(axis=0) / max(len(languages), 1) + 0.95 / BUCKETS
     return np.log(np.vstack([share, unknown])).astype(np.float32)
 
 
@@ -159,8 +183,9 @@ def _sums(n: int) -> Column:
 
 
 def _evidence_table(rows: DataFrame, column: str, classes: int) -> DataFrame:
-    """Log of P(value | language) up to a constant, one row per value, from all rows."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(_sums(classes).alias("n"))
+    """Log of P(value | language) up to a constant, one row per value, from all rows
+    that have letters."""
+    counts = rows.filter("read").filter(F.col(column).isNotNull()).groupBy(column).agg(_sums(classes).alias("n"))
     totals = rows.filter(F.col(column).isNotNull()).agg(_sums(classes).alias("all")).first()[0]
     totals = [float(x or 0) for x in totals]
     everything = sum(totals) or 1.0
@@ -173,29 +198,37 @@ def _evidence_table(rows: DataFrame, column: str, classes: int) -> DataFrame:
             for i in range(classes)
         ]
     )
-    return counts.select(F.col(column).alias(f"{column}_value"), logs.alias(f"{column}_logs"))
+    return counts.select(F.col(column).alias(f"{column}_value"), logs.alias(f"{column}_logs"), F.col("n").alias(f"{column}_n"))
 
 
-def identify(rows: DataFrame, languages=LANGUAGES, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(rows: DataFrame, languages=None, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(key, language, probability, accepted) for every row of (key, text,
     declared, host); other columns are not read.
 
-    ``language`` is the likeliest of ``languages`` or ``und``, ties going to the
-    earlier; a row is accepted if its language is known and has a posterior of
-    ``threshold`` or more. Null and empty texts have no text evidence and are
-    judged by the rest; a missing declaration or host adds nothing; a declaration
-    that is never met with a language says little by its table. Repeated rows are
-    judged one by one, texts are read whole, an empty table gives no rows.
+    ``language`` is the likeliest of ``languages`` (by default the declared codes
+    with enough support) or ``und``, ties going to the earlier; a row is accepted
+    if its language is known and has a posterior of ``threshold`` or more. Null
+    texts and texts without letters have no text evidence, add to no table, and are
+    judged by the rest: declaration, suffix or host, as far as other rows with
+    letters share them. A row without any evidence is ``und`` and not accepted. A
+    missing declaration or host adds nothing; a declaration that is never met with
+    a language says little by its table. Repeated rows are judged one by one, texts
+    are read whole, an empty table gives no rows.
     """
-    names = [*languages, UNKNOWN]
     rows = rows.select("key", whole("text").alias("text"), F.lower("declared").alias("declared"), F.lower("host").alias("host"))
-    scored = text_scores(rows, fit_trigrams(rows, tuple(languages), sample_rows))
+    languages = declared_languages(rows) if languages is None else list(languages)
+    names = [*languages, UNKNOWN]
+    scored = text_scores(rows, fit_trigrams(rows, languages, sample_rows))
     labels = F.split("host", r"\.")
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     domain = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host"))
     # Read by four groupings and the final join: written once, narrow as it is.
-    scored = checkpoint(scored.select("*", suffix.alias("suffix"), domain.alias("domain"), _softmax(F.col("scores")).alias("p")))
+    # Text without letters has no scores and takes no part in the tables.
     n = len(names)
+    nothing = F.array(*[F.lit(0.0)] * n)
+    read = F.exists("scores", lambda s: s != 0)
+    share = F.when(read, _softmax(F.col("scores"))).otherwise(nothing)
+    scored = checkpoint(scored.select("*", suffix.alias("suffix"), domain.alias("domain"), read.alias("read"), share.alias("p")))
     whole_table = scored.agg(_sums(n).alias("n")).first()[0]
     overall = [(float(x or 0) + 1) / (sum(y or 0 for y in whole_table) + n) for x in whole_table]
     base = F.array(*[F.lit(x) for x in overall])
@@ -210,17 +243,23 @@ def identify(rows: DataFrame, languages=LANGUAGES, threshold: float = THRESHOLD,
     def without_own(counts):
         return F.zip_with(F.coalesce(counts, "p"), "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
 
+    def weight(counts):
+        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+
     def smoothed(counts, parent):
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+        total = weight(counts)
         return F.zip_with(counts, parent, lambda c, q: (c + STRENGTH * q) / (total + STRENGTH))
 
     prior = smoothed(without_own("host_n"), smoothed(without_own("domain_n"), base))
-    none = F.array(*[F.lit(0.0)] * n)
-    evidence = F.zip_with(F.coalesce("declared_logs", none), F.coalesce("suffix_logs", none), lambda a, b: a + b)
+    evidence = F.zip_with(F.coalesce("declared_logs", nothing), F.coalesce("suffix_logs", nothing), lambda a, b: a + b)
     total = F.zip_with(F.zip_with("scores", prior, lambda s, q: s + F.log(q)), evidence, lambda a, b: a + b)
-    posterior = joined.select("key", _softmax(total).alias("post"))
+    # Weights below a thousandth of a row are rounding of sums less the own share.
+    grounds = [weight(without_own(c)) > 0.001 for c in ("declared_n", "suffix_n", "host_n", "domain_n")]
+    known = F.col("read") | grounds[0] | grounds[1] | grounds[2] | grounds[3]
+    posterior = joined.select("key", known.alias("known"), _softmax(total).alias("post"))
     best = F.array_max("post")
     language = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("post", best).cast("int"))
+    language = F.when(F.col("known"), language).otherwise(UNKNOWN)
     return posterior.select(
         "key",
         language.alias("language"),

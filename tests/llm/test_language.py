@@ -32,7 +32,8 @@ def brute(scored, languages, strength=language.STRENGTH):
         w = [math.exp(v - max(x)) for v in x]
         return [v / sum(w) for v in w]
 
-    p = [softmax(r.scores) for r in scored]
+    # A text without letters has no scores and adds to no table.
+    p = [softmax(r.scores) if any(r.scores) else [0.0] * n for r in scored]
 
     def part(host, kind):
         if host is None:
@@ -59,7 +60,7 @@ def brute(scored, languages, strength=language.STRENGTH):
         prior = smooth(others(r.host, hosts, q), smooth(others(part(r.host, "domain"), domains, q), overall))
         total = [s + math.log(x) for s, x in zip(r.scores, prior)]
         for value, values in ((r.declared, [x.declared for x in scored]), (part(r.host, "suffix"), [part(h, "suffix") for h in hosts])):
-            if value is not None:
+            if value is not None and any(any(q2) for q2, v in zip(p, values) if v == value):
                 known = [(q2, v) for q2, v in zip(p, values) if v is not None]
                 alls = [sum(q2[i] for q2, _ in known) for i in range(n)]
                 mine = [sum(q2[i] for q2, v in known if v == value) for i in range(n)]
@@ -81,7 +82,8 @@ def test_fusion_against_brute_force(spark):
     scored = language.text_scores(inner, language.fit_trigrams(inner, ("de", "en"))).collect()
     want = brute(scored, ("de", "en"))
     key = lambda r: (str(r[0]), r[1:])
-    expected = sorted(((s.key, ["de", "en", "und"][w.index(max(w))], max(w)) for s, w in zip(scored, want)), key=key)
+    # The row without an id has neither letters nor company: no evidence.
+    expected = sorted(((s.key, "und" if s.key is None else ["de", "en", "und"][w.index(max(w))], max(w)) for s, w in zip(scored, want)), key=key)
     found = sorted(((r.key, r.language, r.probability) for r in got), key=key)
     assert [f[:2] for f in found] == [e[:2] for e in expected]
     assert [f[2] for f in found] == pytest.approx([e[2] for e in expected], abs=1e-6)
@@ -101,3 +103,28 @@ def test_empty_and_addresses(spark):
     first, second = language.page_rows(page, F.lit(1)).collect()
     assert (first.declared, first.host, first.text.split()) == ("pt", "a.example.de", ["a", "c"])
     assert (second.declared, second.host, second.text) == (None, None, "")
+
+
+def test_no_evidence_is_not_accepted(spark):
+    en, de = "the and of that with this have from ", "der die das und nicht mit einen auch "
+    rows = [(i, (de if i % 3 == 0 else en) * 4, "de" if i % 3 == 0 else "en", "h.com") for i in range(60)]
+    rows += [(100 + i, t, None, h) for i, (t, h) in enumerate([("123 $$$", None), ("!!! ??? 42", "lone.xyz"), ("", "zz"), (None, "zz"), ("1", "zz")])]
+    rows += [(200, "12", None, "h.com"), (201, None, "de", None), (202, "7", "xx", None)]
+    got = {r.key: r for r in language.identify(rows_of(spark, rows)).collect()}
+    assert all(got[i].language == "und" and not got[i].accepted for i in [*range(100, 105), 202])
+    assert got[200].language == "en" and got[201].language == "de" and got[201].accepted
+
+
+def test_languages_follow_the_table(spark):
+    words = {"en": "the and of that with ", "pt": "nao uma para com mais ", "xx": "zz qq "}
+    rows = [(i, words[c] * 3 + str(i), c, None) for i, c in enumerate(["en"] * 30 + ["pt"] * 25 + ["xx"] * 3)]
+    df = rows_of(spark, rows).withColumn("declared", F.lower("declared"))
+    assert language.declared_languages(df) == ["en", "pt"]
+    got = {r.key: r.language for r in language.identify(df).collect()}
+    assert all(got[i] == ("en" if i < 30 else "pt") for i in range(55))
+
+
+def test_tag_behind_a_long_comment(spark):
+    html = "<!-- <html lang='de'> " + "x" * 3000 + " -->\n<html class=y lang=fr><body>a"
+    page = spark.createDataFrame([(html,), ("<html><p lang='de'>a",)], "html string")
+    assert [r[0] for r in page.select(language.declared_in_markup(F.col("html"))).collect()] == ["fr", None]
