@@ -175,9 +175,12 @@ def feature_agglomeration(t: Training, groups: int = 8) -> Fitted:
         members[a], size[a] = members[a] + members[b], size[a] + size[b]
     kept = sorted((members[j] for j in range(t.d) if alive[j]), key=min)
     matrix = np.zeros((t.d, len(kept)))
+    labels = [0] * t.d
     for g, group in enumerate(kept):
         matrix[group, g] = 1 / len(group)
-    return _project(np.zeros(t.d), matrix, feature_labels=True)
+        for j in group:
+            labels[j] = g
+    return _project(np.zeros(t.d), matrix, feature_labels=labels)
 
 
 def gaussian_projection(t: Training) -> Fitted:
