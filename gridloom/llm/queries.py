@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, covertree, decontaminate, language, lines, quality, secrets, simhash, warc
+from gridloom.llm import bpe, chat, covertree, decontaminate, language, lines, mixing, quality, secrets, simhash, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -154,3 +154,40 @@ def op4_line_dedup(spark, sf):
         F.length("text").cast("long").alias("kept_chars"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
     )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15)) AS BIGINT) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS i FROM s
+), l AS (
+  SELECT *, ((SELECT 1.5::DOUBLE * sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r
+), f AS (
+  SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE weight * level <= cap ORDER BY i LIMIT 1)) AS target FROM l
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS turns FROM f
+), g AS (
+  SELECT *, floor(target - turns * source_size + 0.5) AS extra FROM e
+), p AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, turns, extra,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, d.key) AS words, count(*) OVER (PARTITION BY d.source, d.key) AS n
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, CAST(turns * size + CASE WHEN upto <= extra THEN size
+  WHEN upto - words < extra THEN least(size, floor((extra - upto + words) / n)) ELSE 0 END AS BIGINT) AS taken
+FROM p"""
+
+
+@query("op11_source_mixing", OP11_SQL)
+def op11_source_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
