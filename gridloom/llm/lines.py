@@ -1,28 +1,28 @@
 """Fuzzy line deduplication. DataFrame functions only.
 
-Every line is normalised and signed with a 64-bit SimHash of its words. Equal
-normalised lines are one node. Two nodes link if their signatures differ in at
-most three bits and their edit similarity is 0.8 or more; of every connected
-group the first occurrence (smallest document id, then line number) stays.
-
-Signatures that differ in at most three bits agree in two of five blocks
-(pigeonhole), so they meet in a join on ten keys of about 25 bits. Tables of many
-more lines take more blocks, hence longer keys, with the same result. To keep
-groups of many variants from meeting in all pairs, a first round links every
-signature to the smallest one of its bucket and labels it by that; the second
-round joins only what shares a bucket under different labels. It finds every link
-that is left, so the groups are exact.
-
-Texts are normalised once and written to the shared folder; words, signatures
-and keys are what is shuffled. A bucket or line that holds a large share of the
-rows is the larger side of a join on a shuffled key, which adaptive execution
-splits; sums and minima combine before the shuffle.
+Every line is normalised and signed with a SimHash in eight blocks: a word's hash
+deals it to a block, and the block's 64 bits are voted by its words alone. A
+replaced word changes two blocks at most, so lines that differ in a few words agree
+in a block (pigeonhole); a SimHash of all words together flips bits all over the
+signature instead, and loses most such lines. Words that are found all over the
+table do not vote, and a block of a single word is no key, so blocks select.
+
+Two lines link if they agree in a block and their edit similarity is 0.8 or more;
+of every connected group the first occurrence (smallest document id, then line
+number) stays. Members of a block key meet in rounds of stars, not in pairs: all
+are compared with one of them, those that link are one group, and the next round
+compares what is left with the next one. Once few pairs of different groups are
+left, these are compared; cheap bounds of the edit distance go first.
+
+Texts are normalised once and written to the shared folder. Distinct lines are
+shuffled once by id, and their words are summed there. A key or line that holds a
+large share of the rows is the larger side of a join on a shuffled key, which
+adaptive execution splits; counts and minima combine before the shuffle.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,14 @@ from gridloom.llm.common import free_names, whole
 from gridloom.llm.components import components
 from gridloom.session import checkpoint, shared_folder
 
-DISTANCE, SIMILARITY, BITS = 3, 0.8, 64
+SIMILARITY, BLOCKS, LEAST_WORDS = 0.8, 8, 2
+# A word that is found more often than in this share of the lines, and this number
+# of times, does not vote. There are at most 100 such words for each word of an
+# average line.
+COMMON_SHARE, COMMON_TIMES = 0.01, 100
+# Letters whose numbers bound the edit distance from below, and the rounds of stars
+# before the pairs that are left are compared, or their number for each member.
+CLASSES, ROUNDS, PAIRS_LEFT = ("aou", "eiy", "nrst", "dlmc"), 8, 2
 # Rows of a lookup (ids, or documents that lose lines) that may be broadcast.
 LOOKUP_ROWS = 50_000
 # Bits i and i + 32 of a hash, each in a lane of 32 bits that cannot run over.
@@ -66,14 +73,22 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("id"), "norm")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(id, sig) of every distinct line: bit i is one if it is set in more than
-    half of the hashes of the words, repeats included."""
-    words = lines.select("doc_id", "text_key", "line", "id", F.explode(F.split("norm", " ")).alias("w"))
-    words = words.select("doc_id", "text_key", "line", "id", F.xxhash64("w").alias("h"))
+def common_words(lines: DataFrame) -> DataFrame:
+    """(common): the words that do not vote."""
+    counts = lines.select(F.explode(F.split("norm", " ")).alias("common")).groupBy("common").count()
+    least = max(COMMON_TIMES, int(COMMON_SHARE * lines.count()))
+    return checkpoint(counts.filter(F.col("count") > least).select("common"))
+
+
+def signatures(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """(id, block, n, sig) of every distinct line: bit i of a block is one if it is
+    set in more than half of the hashes of its n words, repeats included."""
+    words = lines.groupBy("id").agg(F.first("norm").alias("norm")).select("id", F.explode(F.split("norm", " ")).alias("w"))
+    words = words.join(lookup(common, common.count()), F.col("w") == F.col("common"), "left_anti").select("id", F.xxhash64("w").alias("h"))
+    words = words.withColumn("block", F.col("h").bitwiseAND(BLOCKS - 1))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(PAIR))).alias(f"s{i}") for i in range(32)]
-    # By occurrence: the sums of a line then never exceed its number of words.
-    summed = words.groupBy("doc_id", "text_key", "line", "id").agg(F.count("*").alias("n"), *sums)
+    # Rows are dealt by id already: no further shuffle.
+    summed = words.groupBy("id", "block").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= LEAST_WORDS)
     # Both lanes at once: 2 * ones - n - 1 + 2^30 has bit 30 set if 2 * ones > n
     # (a text holds fewer than 2^30 words, so no lane reaches the next one).
     middle = (F.lit((1 << 30) - 1) - F.col("n")) * F.lit((1 << 32) + 1)
@@ -81,33 +96,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     for i in range(32):
         ones = F.col(f"s{i}") + F.col(f"s{i}") + middle
         sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned(ones, 30).bitwiseAND(F.lit(PAIR)), i))
-    return summed.select("id", sig.alias("sig")).groupBy("id").agg(F.min("sig").alias("sig"))
-
-
-def block_masks(count: int, distance: int = DISTANCE) -> list[int]:
-    """Masks of the blocks that must agree: ``distance`` blocks may differ, the
-    others make up a key whose length follows the number of signatures."""
-    agree = 2
-    while agree < 5 and BITS * agree // (agree + distance) < max(count, 1).bit_length() + 3:
-        agree += 1
-    n = agree + distance
-    cuts = [BITS * i // n for i in range(n + 1)]
-    parts = [sum(1 << b for b in range(cuts[i], cuts[i + 1])) for i in range(n)]
-    return [sum(c) for c in combinations(parts, agree)]
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def keyed(sigs: DataFrame, masks: list[int]) -> DataFrame:
-    """(key, sig): a row for every mask; the key also tells the masks apart."""
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)]))
-    return sigs.select("sig", rows.alias("r")).select(F.xxhash64("r.m", F.col("sig").bitwiseAND(F.col("r.mask"))).alias("key"), "sig")
-
-
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+    return summed.select("id", "block", "n", sig.alias("sig"))
 
 
 def lookup(table: DataFrame, rows: int) -> DataFrame:
@@ -116,57 +105,101 @@ def lookup(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= LOOKUP_ROWS else table
 
 
-def similar(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def letter_counts(norm: Column) -> list[Column]:
+    """n_chars and the number of letters of each class."""
+    size = F.length(norm)
+    return [size.alias("n_chars"), *[(size - F.length(F.translate(norm, c, ""))).alias(f"c{i}") for i, c in enumerate(CLASSES)]]
+
+
+def may_be_similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
+    """Whether the letter counts of ``a`` and ``b`` (column prefixes) leave an edit
+    distance within the budget: no letter class, nor all of them and the rest
+    together, may need more letters added or taken away."""
+    size = [F.col(f"{x}n_chars") for x in (a, b)]
+    counts = [[F.col(f"{x}c{i}") for i in range(len(CLASSES))] for x in (a, b)]
+    gaps = [x - y for x, y in zip(*counts)]
+    gaps.append(size[0] - size[1] - sum(gaps[1:], gaps[0]))
+    budget = F.greatest(*size) * (1 - similarity) + 1e-9
+    more = sum([F.greatest(g, F.lit(0)) for g in gaps[1:]], F.greatest(gaps[0], F.lit(0)))
+    less = sum([F.greatest(-g, F.lit(0)) for g in gaps[1:]], F.greatest(-gaps[0], F.lit(0)))
+    return (more <= budget) & (less <= budget)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of line ids whose edit distance is at most 1 - similarity
-    of the longer line. Close pairs are found within a narrow band first."""
-    pairs = checkpoint(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = (
-        lines.join(lookup(ids, ids.count()), F.col("id") == F.col("wanted"), "left_semi")
-        .groupBy("id").agg(F.first("norm").alias("norm"))
-    )
-    texts = checkpoint(texts)
-    x, y = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("budget", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int"))
-    close = F.expr("levenshtein(x, y, least(budget, 16)) >= 0")
-    return both.filter(close | F.expr("levenshtein(x, y, budget) >= 0")).select("a", "b")
+    of the longer line. Close pairs are found within narrow bands first."""
+    x, y = (texts.select(F.col("id").alias(i), F.col("norm").alias(t)) for i, t in (("a", "x"), ("b", "y")))
+    both = pairs.distinct().join(x, "a").join(y, "b")
+    both = both.withColumn("budget", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int"))
+    bands = [F.expr(f"budget > {n} AND levenshtein(x, y, {n}) >= 0") for n in (16, 64, 256)]
+    close = bands[0] | bands[1] | bands[2] | F.expr("levenshtein(x, y, budget) >= 0")
+    return both.filter(close).select("a", "b")
+
+
+def key_members(sigs: DataFrame) -> DataFrame:
+    """(key, id) of the block keys that two lines or more share."""
+    keys = sigs.select(F.xxhash64("block", "n", "sig").alias("key"), "id")
+    ends = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    return keys.join(ends.select("key"), "key")
+
+
+def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return members.withColumn("g", F.col("id"))
+    return members.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
+
+
+def line_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect all lines that links of ``members`` (key, id and
+    letter counts) connect; ``texts`` is (id, norm)."""
+    links, groups = None, None
+    most = PAIRS_LEFT * members.count()
+    for turn in range(ROUNDS + 1):
+        placed = _grouped(members, groups)
+        sizes = placed.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        square = F.sum(F.col("n").cast("double") * F.col("n"))
+        spread = sizes.groupBy("key").agg(
+            F.count("*").alias("groups"),
+            ((F.sum("n").cast("double") * F.sum("n") - square) / 2).alias("pairs"),
+            F.min(F.struct("first", "g")).alias("hub"),
+        )
+        spread = checkpoint(spread.filter("groups > 1").select("key", "pairs", F.col("hub.first").alias("hub"), F.col("hub.g").alias("hub_g")))
+        pairs = spread.agg(F.sum("pairs")).first()[0]
+        if not pairs:
+            break
+        placed = checkpoint(placed.join(spread.select("key", "hub", "hub_g"), "key"))
+        if turn < ROUNDS and (turn == 0 or pairs > most):
+            # Every member of another group against the smallest line of the key.
+            hubs = placed.filter("id = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("n_chars", *[f"c{i}" for i in range(len(CLASSES))])])
+            tried = placed.filter("g <> hub_g").join(hubs, "key").filter(may_be_similar("h_", ""))
+            found = similar(tried.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts)
+            # The hub has met all others; links join groups for the next round.
+            members = placed.filter("id <> hub").select(*members.columns)
+        else:
+            sides = [placed.select("key", *[F.col(c).alias(f"{p}{c}") for c in placed.columns if c != "key"]) for p in ("l_", "r_")]
+            met = sides[0].join(sides[1], "key").filter((F.col("l_id") < F.col("r_id")) & (F.col("l_g") != F.col("r_g")) & may_be_similar("l_", "r_"))
+            found = similar(met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), texts)
+            members = None
+        found = checkpoint(found)
+        links = found if links is None else checkpoint(links.unionByName(found))
+        if members is None:
+            break
+        groups = checkpoint(components(links).select("id", F.col("component").alias("g")))
+    return links
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """(id, component) of every line id that links to another."""
-    nodes = checkpoint(signatures(lines))
-    sigs = checkpoint(nodes.groupBy("sig").agg(F.min("id").alias("lead")))
-    keys = keyed(sigs, block_masks(sigs.count()))
-    least = keys.groupBy("key").agg(F.min("sig").alias("least"))
-    # What stays here shares a bucket with another signature.
-    crowded = checkpoint(keys.join(least, "key").filter("sig <> least").select("key", "sig", "least"))
-    lead = sigs.select(F.col("sig").alias("least"), F.col("lead").alias("a"))
-    star = crowded.filter(_near("sig", "least")).select("sig", "least").distinct().join(nodes, "sig").join(lead, "least")
-    same = nodes.join(sigs, "sig").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    first = checkpoint(similar(star.select("a", F.col("id").alias("b")).unionByName(same), lines))
-    # Nodes that link to the same smallest node are connected: their label.
-    groups = first.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("component"))
-    # Second round: members of crowded buckets and of shared signatures, of which
-    # only pairs in different groups are left.
-    placed = nodes.join(groups, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("g"))
-    buckets = crowded.select("key", "sig").unionByName(crowded.groupBy("key").agg(F.min("least").alias("sig")))
-    shared = nodes.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = buckets.unionByName(shared.select(F.xxhash64(F.lit("sig"), "sig").alias("key"), "sig"))
-    members = checkpoint(buckets.join(placed, "sig"))
-    left = members.select("key", F.col("sig").alias("sig_a"), F.col("id").alias("a"), F.col("g").alias("g_a"))
-    right = members.select("key", F.col("sig").alias("sig_b"), F.col("id").alias("b"), F.col("g").alias("g_b"))
-    rest = left.join(
-        right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & _near("sig_a", "sig_b")
-    )
-    low, high = F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high")
-    rest = checkpoint(rest.select("a", "b", low, high).distinct())
-    # One pair of every two labels is tried first; labels that it connects need no
-    # more, of the others every pair is compared.
-    tried = rest.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("low", "high", "p.a", "p.b")
-    joined = checkpoint(tried.join(similar(tried.select("a", "b"), lines), ["a", "b"]))
-    others = rest.join(joined.select("low", "high"), ["low", "high"], "left_anti").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    others = similar(others.select("a", "b"), lines)
-    return components(first.unionByName(joined.select("a", "b")).unionByName(others))
+    sigs = checkpoint(signatures(lines, common_words(lines)))
+    members = checkpoint(key_members(sigs))
+    ids = checkpoint(members.select(F.col("id").alias("wanted")).distinct())
+    texts = lines.join(lookup(ids, ids.count()), F.col("id") == F.col("wanted"), "left_semi")
+    texts = checkpoint(texts.groupBy("id").agg(F.first("norm").alias("norm")))
+    members = checkpoint(members.join(texts.select("id", *letter_counts(F.col("norm"))), "id"))
+    links = line_links(members, texts)
+    if links is None:
+        return ids.select(F.col("wanted").alias("id"), F.col("wanted").alias("component")).limit(0)
+    return components(links)
 
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,7 +224,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with repeated lines taken out of the text, and the columns n_lines
     and n_removed.
 
-    Lines without letters or digits are never taken out. Null texts stay null and
+    Lines without letters or digits are never taken out. Lines of common words
+    alone, or with fewer than two other words in every block, go only as equals. Null texts stay null and
     empty texts empty; a document that loses all lines has an empty text; a null id
     counts as the smallest. Rows that repeat in id and text are one document: they
     lose and keep the same lines. Long texts and lines are taken whole. Other

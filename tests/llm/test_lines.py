@@ -1,8 +1,11 @@
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import lines
 
@@ -11,11 +14,20 @@ def normal(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip()
 
 
-def sign(norm):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
+def sign(hashes):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def block_keys(names, common=()):
+    """The blocks (number, words, signature) of every line."""
+    out = []
+    for name in names:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in name.split(" ") if w not in common]
+        blocks = [[h for h in hashes if h % 8 == b] for b in range(8)]
+        out.append({(b, len(x), sign(x)) for b, x in enumerate(blocks) if len(x) > 1})
+    return out
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -34,10 +46,12 @@ def brute(docs):
             if normal(line):
                 nodes.setdefault(normal(line), []).append((i if i is not None else -1, n, text))
     names = list(nodes)
-    group, sigs = list(range(len(names))), [sign(x) for x in names]
+    times = Counter(w for name, places in nodes.items() for w in name.split(" ") for _ in set(places))
+    most = max(100, int(0.01 * sum(len(set(p)) for p in nodes.values())))
+    group, keys = list(range(len(names))), block_keys(names, {w for w, n in times.items() if n > most})
     for a in range(len(names)):
         for b in range(a):
-            if (sigs[a] ^ sigs[b]).bit_count() <= 3 and group[a] != group[b]:
+            if keys[a] & keys[b] and group[a] != group[b]:
                 longer = max(len(names[a]), len(names[b]))
                 if distance(names[a], names[b]) <= longer * 0.2 + 1e-9:
                     low, high = sorted((group[a], group[b]))
@@ -82,15 +96,76 @@ def test_against_brute_force(spark, corpus):
     assert sum(r.n_removed for r in got) > 3000
 
 
-def test_every_pair_within_the_distance_shares_a_key():
-    random.seed(1)
-    for count in (10, 10**9, 10**12):
-        masks = lines.block_masks(count)
-        for _ in range(300):
-            flips = 0
-            for bit in random.sample(range(64), 3):
-                flips |= 1 << bit
-            assert any(flips & m == 0 for m in masks)
+def bit_distance(a, b):
+    """Myers' edit distance with whole numbers as bit vectors."""
+    where = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = mask, 0
+    for c in b:
+        eq = where.get(c, 0)
+        cross = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = down | ~(cross | up) & mask, up & cross
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & mask, fall << 1 & mask
+        up, down = fall | ~(eq | down | rise) & mask, rise & (eq | down)
+    return score
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    """Lines of the table that share three words in a row, however often."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    every = [normal(x) for t in docs for x in t.split("\n") if normal(x)]
+    names = sorted(set(every))
+    runs = {}
+    for i, name in enumerate(names):
+        words = name.split(" ")
+        for k in range(max(len(words) - 2, 1)):
+            runs.setdefault(tuple(words[k : k + 3]), set()).add(i)
+    pairs = {p for same in runs.values() if len(same) <= 400 for p in combinations(sorted(same), 2)}
+    letters = [Counter(n) for n in names]
+    near = []
+    for i, j in pairs:
+        budget = int(max(len(names[i]), len(names[j])) * 0.2 + 1e-9)
+        if max((letters[i] - letters[j]).total(), (letters[j] - letters[i]).total()) <= budget and bit_distance(names[i], names[j]) <= budget:
+            near.append((i, j))
+    times = Counter(w for name in every for w in name.split(" "))
+    keys = block_keys(names, {w for w, n in times.items() if n > max(100, int(0.01 * len(every)))})
+    met = sum(bool(keys[i] & keys[j]) for i, j in near)
+    assert len(near) > 300 and met >= 0.9 * len(near)
+
+
+def test_bounds_of_the_edit_distance(spark):
+    random.seed(9)
+    rows = []
+    for _ in range(400):
+        a = "".join(random.choices("aeioudlmcnrst xyz", k=random.randint(1, 30)))
+        b = "".join(random.choice("aenrst ") if random.random() < 0.15 else c for c in a if random.random() > 0.1) or "a"
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "x string, y string")
+    sides = [c.alias(p + n) for p, t in (("l_", "x"), ("r_", "y")) for c, n in zip(lines.letter_counts(F.col(t)), ["n_chars", "c0", "c1", "c2", "c3"])]
+    got = df.select("x", "y", *sides).withColumn("may", lines.may_be_similar("l_", "r_")).collect()
+    near = [distance(r.x, r.y) <= max(len(r.x), len(r.y)) * 0.2 + 1e-9 for r in got]
+    assert all(r.may for r, n in zip(got, near) if n) and sum(near) > 50 and not all(r.may for r in got)
+    assert [bit_distance(r.x, r.y) for r in got] == [distance(r.x, r.y) for r in got]
+
+
+@pytest.mark.parametrize("rounds,left", [(8, 0), (1, 2), (0, 0)])
+def test_links_do_not_depend_on_the_rounds(spark, monkeypatch, rounds, left):
+    random.seed(12)
+    base = ["w%d" % i for i in range(40)]
+    names = {" ".join(base)}
+    while len(names) < 60:
+        words = random.choice(sorted(names)).split(" ")
+        words[random.randrange(8, 40)] = "v%d" % random.randrange(900)
+        names.add(" ".join(words))
+    names = sorted(names)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+    monkeypatch.setattr(lines, "ROUNDS", rounds)
+    monkeypatch.setattr(lines, "PAIRS_LEFT", left)
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(df).collect()}
+    assert got == dict(enumerate(brute(list(enumerate(names)))))
 
 
 def test_empty_table(spark):
