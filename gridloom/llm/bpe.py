@@ -53,11 +53,20 @@ NEW_CAPITALS = {
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def _class(kind: str, more) -> str:
-    """The inside of a character class for a Unicode category's first letter."""
-    ranges, start = list(more), None
-    for code in range(sys.maxunicode + 2):
-        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] == kind
+BASIC = 0xFFFF
+# Texts within the first plane are cut by a pattern of that plane alone: classes
+# with characters beyond it are many times slower at every character outside them.
+BEYOND = re.compile("[\U00010000-\U0010ffff]").search
+RARE_CAPITALS = re.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]").search
+BASIC_CAPITALS = re.compile("[" + "".join(chr(c) for c in NEW_CAPITALS if c <= BASIC) + "]").search
+
+
+def _class(kind: str, more, most: int) -> str:
+    """The inside of a character class for a Unicode category's first letter, up to
+    a code point."""
+    ranges, start = [(a, min(b, most)) for a, b in more if a <= most], None
+    for code in range(most + 2):
+        inside = code <= most and unicodedata.category(chr(code))[0] == kind
         if inside and start is None:
             start = code
         elif not inside and start is not None:
@@ -66,6 +75,12 @@ def _class(kind: str, more) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in sorted(ranges))
 
 
+def word_pattern(most: int = sys.maxunicode) -> str:
+    """The pattern of words in texts without a character above ``most``."""
+    letter, digit = _class("L", NEW_LETTERS, most), _class("N", NEW_DIGITS, most)
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{SPACES}{letter}{digit}]+"
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -87,6 +102,7 @@ class Vocabulary:
     inner: np.ndarray
     final: np.ndarray
     words: str
+    basic_words: str
 
     @staticmethod
     def read(path: str) -> Vocabulary:
@@ -110,7 +126,6 @@ class Vocabulary:
         for used in (left, right):
             np.minimum.at(first, used, np.arange(len(pairs)))
         letters = byte_letters()
-        letter, digit = _class("L", NEW_LETTERS), _class("N", NEW_DIGITS)
         return Vocabulary(
             tokens=tokens,
             specials=specials,
@@ -120,7 +135,8 @@ class Vocabulary:
             one_at_a_time=(first[made] < np.arange(len(pairs))),
             inner=np.array([vocabulary[c] for c in letters], np.int64),
             final=np.array([vocabulary[c + suffix] for c in letters], np.int64),
-            words=f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{SPACES}{letter}{digit}]+",
+            words=word_pattern(),
+            basic_words=word_pattern(BASIC),
         )
 
 
@@ -178,7 +194,7 @@ class Coder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.find = re.compile(v.words).findall
+        self.find, self.find_basic = re.compile(v.words).findall, re.compile(v.basic_words).findall
         self.memo: dict[str, bytes] = {}
         names = "|".join(map(re.escape, sorted(v.specials, key=len, reverse=True)))
         self.special = re.compile(f"({names})") if names else None
@@ -189,6 +205,16 @@ class Coder:
             return [text]
         return self.special.split(text)
 
+    def _words(self, text: str) -> list[str]:
+        """Lower-case words of a normalised text."""
+        if text.isascii():
+            return self.find_basic(text.lower())
+        beyond = BEYOND(text)
+        if (RARE_CAPITALS if beyond else BASIC_CAPITALS)(text):
+            text = text.translate(NEW_CAPITALS)
+        # Lower case stays within the plane of its capital.
+        return (self.find if beyond else self.find_basic)(text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         found, fresh = [], set()
         for text in texts:
@@ -197,10 +223,7 @@ class Coder:
                 if i % 2:
                     parts.append(part)
                     continue
-                part = unicodedata.normalize("NFC", part)
-                if not part.isascii():
-                    part = part.translate(NEW_CAPITALS)
-                parts.append(self.find(part.lower()))
+                parts.append(self._words(unicodedata.normalize("NFC", part)))
                 fresh.update(parts[-1])
             found.append(parts)
         fresh -= self.memo.keys()
