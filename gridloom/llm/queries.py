@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, covertree, decontaminate, language, lines, mixing, quality, secrets, simhash, warc
+from gridloom.llm import alignment, bpe, chat, covertree, decontaminate, language, lines, mixing, quality, secrets, simhash, spelling, warc
 from gridloom.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 from gridloom.session import shared_folder
 
@@ -191,3 +191,14 @@ FROM p"""
 @query("op11_source_mixing", OP11_SQL)
 def op11_source_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, sf):
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_and_score(table(spark, sf, "documents"), *files)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf):
+    return spelling.spelling_variants(table(spark, sf, "documents"))
