@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,23 +38,57 @@ PAIR_ROWS = 1_000_000
 B_BITS = 32
 
 
+# Fixed value: how byte-level files of this kind cut a text into words.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Longer texts go through the slower of two equal coders, which takes any length.
+LONG_TEXT = 1_000_000
+
+
 class ByteLevel:
-    """A byte-level BPE file (JSON); control strings in texts are plain text."""
+    """A byte-level BPE file (JSON); control strings in texts are plain text.
+
+    Where the ids follow the order of the merges - a token's id is then its rank -
+    the faster coder by ranks gives the same ids.
+    """
 
     def __init__(self, content: bytes):
         self.coder = tokenizers.Tokenizer.from_str(content.decode("utf-8"))
         self.coder.encode_special_tokens = True
         letter = {c: b for b, c in enumerate(byte_letters())}
         size = max(self.coder.get_vocab(True).values()) + 1
-        added = {t["id"] for t in json.loads(content)["added_tokens"]}
+        file = json.loads(content)
+        added = {t["id"] for t in file["added_tokens"]}
         names = [self.coder.id_to_token(i) or "" for i in range(size)]
         self.bytes = [
             t.encode() if i in added or any(c not in letter for c in t) else bytes(letter[c] for c in t) for i, t in enumerate(names)
         ]
 
+        self.ranked = self._by_ranks(file, added)
+
+    def _by_ranks(self, file: dict, added: set[int]) -> tiktoken.Encoding | None:
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        plain = (
+            made == list(range(256, 256 + len(made)))
+            and sorted(self.bytes[:256]) == [bytes([b]) for b in range(256)]
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex", True)
+            and not cut.get("add_prefix_space")
+            and file.get("normalizer") is None
+            and not model.get("ignore_merges")
+        )
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in added}
+        return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if plain else None
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of the texts with a space before them."""
-        return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if self.ranked is None:
+            return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [
+            self.ranked.encode_ordinary(" " + t) if len(t) <= LONG_TEXT else self.coder.encode(" " + t, add_special_tokens=False).ids
+            for t in texts
+        ]
 
 
 class Pieces:
@@ -82,7 +118,8 @@ def coalesce(a_starts, a_ends, b_starts, b_ends) -> tuple[np.ndarray, np.ndarray
     The intervals of one side are sorted, not empty and do not overlap each other.
     """
     starts, ends = np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends])
-    order = np.lexsort((np.arange(len(starts)) >= len(a_starts), starts))
+    # Stable: of equal starts, A comes first.
+    order = np.lexsort((starts,))
     reach = np.maximum.accumulate(ends[order])
     breaks = np.r_[False, starts[order][1:] >= reach[:-1]] if len(order) else np.zeros(0, bool)
     group = np.empty(len(order), np.int64)
@@ -106,7 +143,7 @@ class Side:
 
 def _side(found: list[list[int]], sizes: np.ndarray) -> Side:
     n = np.array([len(x) for x in found], np.int64)
-    ids = np.fromiter((i for x in found for i in x), np.int64, int(n.sum()))
+    ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
     ends = np.cumsum(sizes[ids])
     return Side(ids, np.repeat(np.arange(len(found)), n), ends - sizes[ids], ends)
 
@@ -118,9 +155,10 @@ class Aligner:
         self.coders = (first, second)
         self.sizes = [np.array([len(b) for b in c.bytes], np.int64) for c in self.coders]
         numbers = [str(i).encode() for i in range(max(map(len, self.sizes)))]
-        self.digits = np.frombuffer(b"".join(numbers), np.uint8)
+        # Decimal digits of every id, with room for a mark behind them.
         self.widths = np.array([len(x) for x in numbers], np.int64)
-        self.places = np.cumsum(self.widths) - self.widths
+        width = int(self.widths.max(initial=0)) + 1
+        self.digits = np.frombuffer(b"".join(x.ljust(width) for x in numbers), np.uint8).reshape(-1, width)
 
     def tokens(self, texts: list[str]) -> list[list[list[int]]]:
         """Ids of both sides; none where a text is empty or bytes do not agree."""
@@ -144,11 +182,10 @@ class Aligner:
         mark[at_a[np.arange(len(ga)) + 1 == upto_a[ga]]] = ord("|")
         mark[at_b[np.arange(len(gb)) + 1 == upto_b[gb]]] = ord(";")
         more = np.r_[text[1:] == text[:-1], False] if total else np.zeros(0, bool)
-        widths = self.widths[ids]
+        widths, out = self.widths[ids], self.digits[ids]
+        out[np.arange(total), widths] = mark
+        out = out[np.arange(out.shape[1]) < (widths + more)[:, None]]
         ends = np.cumsum(widths + more)
-        out = np.empty(int(ends[-1]) if total else 0, np.uint8)
-        out[ranges(ends - widths - more, widths)] = self.digits[ranges(self.places[ids], widths)]
-        out[ends[more] - 1] = mark[more]
         last = np.cumsum(np.bincount(text, minlength=n))
         offsets = np.r_[0, np.r_[0, ends][last]].astype(np.int32)
         return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
@@ -160,14 +197,15 @@ class Aligner:
         ga, gb, i, j = coalesce(a.starts, a.ends, b.starts, b.ends)
         firsts = np.r_[True, ga[1:] != ga[:-1]] if len(ga) else np.zeros(0, bool)
         per_text = [np.bincount(x, minlength=n) for x in (a.text, b.text, a.text[firsts], a.text[i])]
-        # Pairs of ids by text: sorted, then counted as runs.
-        pair = a.ids[i] << B_BITS | b.ids[j]
-        order = np.lexsort((pair, a.text[i]))
-        pair, text = pair[order], a.text[i][order]
-        runs = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]) if len(pair) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[runs, len(pair)])
-        offsets = np.r_[0, np.cumsum(np.bincount(text[runs], minlength=n))].astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(pair[runs], pa.int64()), pa.array(times, pa.int32())], ["pair", "n"])
+        # Pairs of ids by text: sorted, then counted as runs. Text, A id and B id
+        # make one number: texts of a chunk x vocabularies stay below 2^62.
+        first, second = (len(x) for x in self.sizes)
+        key = np.sort((a.text[i] * first + a.ids[i]) * second + b.ids[j])
+        runs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        times, key = np.diff(np.r_[runs, len(key)]), key[runs]
+        text, pair = key // (first * second), (key // second % first) << B_BITS | key % second
+        offsets = np.r_[0, np.cumsum(np.bincount(text, minlength=n))].astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(pair, pa.int64()), pa.array(times, pa.int32())], ["pair", "n"])
         return [
             *[pa.array(x, pa.int64()) for x in per_text],
             self._written(a, b, ga, gb, n),
