@@ -18,8 +18,10 @@ from gridloom.functions.columns import (
     ref,
 )
 from gridloom.operators.describe import aggregate_by_column
+from gridloom.operators.neighbours import build_index, distinct_points, nearest
 from gridloom.operators.ordering import exact_quantiles, with_positions
 from gridloom.operators.sums import sum_over_rows
+from gridloom.session import bounded_lookup, checkpoint
 
 MATRIX_COLUMNS = 18
 TOP_PAIRS = 60
@@ -298,6 +300,92 @@ def _rows_within(radii: DataFrame) -> DataFrame:
     return radii.join(counted, "point")
 
 
+def information_continuous(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """Mutual information with a numeric target (Kraskov 2004, first estimator, k=3).
+
+    Numbers are taken as they are, text as the place of its level among the sorted
+    levels; both sides are scaled by their deviation. The third nearest row in the
+    larger of the two differences gives every row its radius; ``neighbours`` finds it
+    without comparing all rows, with the features far apart on an axis of their own,
+    so that one index serves them all. Rows within the radius of one side alone are
+    differences of two running totals. Copies count as rows; no jitter is added, so
+    results repeat exactly. A row on the radius itself does not count, also where
+    rounding would move it inside.
+    """
+    long = _against_number(df, target, features)
+    facts = long.groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{name}_{c}") for c in "xy" for name, f in (("std", F.stddev_pop), ("low", F.min), ("high", F.max))],
+    )
+    # One row for each feature.
+    facts = {r.slot: r.asDict() for r in facts.collect()}
+    scale = {s: [r[f"std_{c}"] or 1.0 for c in "xy"] for s, r in facts.items()}
+    reach = max([(r[f"high_{c}"] - r[f"low_{c}"]) / scale[s][i] for s, r in facts.items() for i, c in enumerate("xy")], default=0.0)
+    gap = 4.0 * reach + 1.0
+
+    def per_slot(value) -> Column:
+        pairs = [F.lit(v) for s in facts for v in (s, float(value(s)))]
+        return F.element_at(F.create_map(*pairs), F.col("slot"))
+
+    if not facts:
+        return df.sparkSession.createDataFrame([], "column string, mutual_info double")
+    place = F.array(
+        F.col("slot") * F.lit(gap), F.col("x") / per_slot(lambda s: scale[s][0]), F.col("y") / per_slot(lambda s: scale[s][1])
+    )
+    index = build_index(distinct_points(long.select(place.alias("x"))), metric="maximum")
+    near = nearest(index, index.points.select(F.col("pid").alias("qid"), "x"), NEIGHBOURS + 1)
+    # Rows as near as the k-th other one: the row itself and its copies come first.
+    radius = F.aggregate(
+        "near",
+        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("r")),
+        lambda a, e: F.when(a["seen"] > NEIGHBOURS, a).otherwise(F.struct((a["seen"] + e["w"]).alias("seen"), e["distance"].alias("r"))),
+    )["r"]
+    points = index.points.join(near.withColumnRenamed("qid", "pid"), "pid").select(
+        F.round(F.get("x", F.lit(0)) / gap).cast("int").alias("column"),
+        F.col("pid").alias("point"),
+        "w",
+        (radius * (1 - 1e-9)).alias("radius"),
+        F.get("x", F.lit(1)).alias("x"),
+        F.get("x", F.lit(2)).alias("y"),
+    )
+    points = checkpoint(points)
+    by_x = _rows_within(points.drop("y")).select("point", F.col("column").alias("slot"), "w", F.col("m").alias("m_x"))
+    by_y = _rows_within(points.select("column", "point", "w", "radius", F.col("y").alias("x"))).select("point", F.col("m").alias("m_y"))
+    weight, n = F.col("w"), F.sum("w")
+    k = F.least(F.lit(NEIGHBOURS), n - 1).cast("bigint")
+    total = digamma(n) + digamma(k) - F.sum(weight * (digamma(F.col("m_x")) + digamma(F.col("m_y")))) / n
+    out = by_x.join(by_y, "point").groupBy("slot").agg(F.greatest(total, F.lit(0.0)).alias("mutual_info"))
+    names = F.element_at(F.create_map(*[F.lit(v) for i, c in enumerate(features) for v in (i, c)]), F.col("slot"))
+    return out.select(names.alias("column"), "mutual_info")
+
+
+def _against_number(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """(slot, x, y) of every row with a target, ``slot`` being the feature's place."""
+    numeric = [c for c in features if c in numeric_columns(df)]
+    text = [c for c in features if c not in numeric]
+    y = as_number(target)
+    usable = df.filter(y.isNotNull())
+    slot = F.substring("name", 2, 10).cast("int").alias("slot")
+    parts = []
+    if numeric:
+        names = [f"f{features.index(c)}" for c in numeric]
+        narrow = usable.select(y.alias("y"), *[as_number(c).alias(f) for c, f in zip(numeric, names)])
+        parts.append(narrow.unpivot(["y"], names, "name", "x").filter(F.col("x").isNotNull()).select(slot, "x", "y"))
+    if text:
+        names = [f"f{features.index(c)}" for c in text]
+        narrow = usable.select(y.alias("y"), *[as_class(c).alias(f) for c, f in zip(text, names)])
+        long = narrow.unpivot(["y"], names, "name", "level")
+        # Levels of all rows, as those without a target have a place, too.
+        every = df.select(*[as_class(c).alias(f) for c, f in zip(text, names)]).unpivot([], names, "name", "level")
+        placed = with_positions(every.distinct(), ["name", "level"])
+        first = placed.groupBy("name").agg(F.min("position").alias("first"))
+        codes = placed.join(F.broadcast(first), "name").select("name", "level", (F.col("position") - F.col("first")).cast("double").alias("x"))
+        codes = checkpoint(codes)
+        coded = long.join(bounded_lookup(codes, codes.count()), ["name", "level"])
+        parts.append(coded.select(slot, "x", "y"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def information_binned(df: DataFrame, target: str, features: list[str], rows: int) -> DataFrame:
     """Mutual information with a numeric target on a grid of quantile bins.
 
@@ -394,7 +482,7 @@ def feature_target_association(df: DataFrame, target: str, task: str) -> DataFra
         enough = [c for c in numeric if pearson[c][0] >= 5]
         usable = enough + (text if y_rows >= 5 else [])
         if usable:
-            parts.append(information_binned(df, target, usable, rows))
+            parts.append(information_continuous(df, target, usable))
         short = {c for c in numeric + text if c not in usable}
     facts = spark.createDataFrame(
         [

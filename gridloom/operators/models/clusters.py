@@ -6,19 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.clustering import (
-    BisectingKMeans,
-    GaussianMixture,
-    KMeans,
-    PowerIterationClustering,
-)
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.operators.models.base import (
-    SCORERS,
     SEED,
     Fitted,
     Training,
@@ -26,6 +20,9 @@ from gridloom.operators.models.base import (
     numeric_output,
     scorer,
 )
+from gridloom.operators.eigen import leading_vectors, normalised
+from gridloom.operators.merging import cut, merge_points
+from gridloom.operators.models.nearest import lookup
 from gridloom.operators.neighbours import (
     build_index,
     distances,
@@ -33,9 +30,13 @@ from gridloom.operators.neighbours import (
     nearest,
     within,
 )
+from gridloom.operators.ordering import with_positions
 from gridloom.operators.sums import batch_array, sum_over_rows
+from gridloom.session import checkpoint
 
 CLUSTERS = 8
+# Micro-cluster centres that travel with the tasks; more are a table to look up in.
+CENTRES = 4_096
 
 
 def _count(t: Training, wanted: int) -> int:
@@ -52,37 +53,28 @@ def gaussian_mixture(t: Training) -> Fitted:
 
 
 def agglomerative(t: Training) -> Fitted:
-    """Hierarchical clusters, top down.
-
-    Spark starts each division at the centre plus noise in proportion to the
-    centre's length, so centred data are moved away from the origin first.
-    """
-    m = t.x_moments
-    shift = 5 * np.sqrt(np.diag(m.covariance)) - m.x_mean
-    moved = Training(_shifted(t.df, shift), t.rows, t.d)
-    model = BisectingKMeans(k=_count(t, CLUSTERS), seed=SEED).fit(moved.vectors)
-    return Fitted("shifted", {"shift": shift}, model=model)
-
+    """Ward's clusters: mergers of mutual nearest partners, cut at the wanted number.
 
-def _shifted(df, shift):
-    steps = F.array(*[F.lit(float(v)) for v in shift])
-    return df.withColumn("x", F.zip_with("x", steps, lambda a, b: a + b))
-
-
-@scorer("shifted")
-def _shifted_score(fitted, df):
-    kept = df.withColumn("_kept", F.col("x"))
-    out = SCORERS["spark"](fitted, _shifted(kept, arrays(fitted.params)["shift"]))
-    return out.withColumn("x", F.col("_kept")).drop("_kept")
+    Copies of a position are one cluster from the start, as their union costs
+    nothing, so there are at most as many clusters as positions."""
+    points = distinct_points(t.df.select("x")).persist()
+    merges = merge_points(points.withColumn("ss", F.lit(0.0)))
+    names = _dense(cut(points, merges, _count(t, CLUSTERS)))
+    labels = points.join(names, F.col("pid") == F.col("id")).select("x", F.col("cluster").cast("double").alias("prediction"))
+    return Fitted("labels", table=labels)
 
 
 @scorer("centres")
 def _centres(fitted, df):
-    centres = arrays(fitted.params)["centres"]
+    p = arrays(fitted.params)
+    centres, labels = p["centres"], p.get("labels")
     norms = (centres**2).sum(1)
-    return df.withColumn(
-        "prediction", numeric_output(lambda x: (norms - 2 * x @ centres.T).argmin(1))("x")
-    )
+
+    def near(x):
+        found = (norms - 2 * x @ centres.T).argmin(1)
+        return found if labels is None else labels[found]
+
+    return df.withColumn("prediction", numeric_output(near)("x"))
 
 
 def mini_batch_kmeans(t: Training, slices: int = 20, rounds: int = 2) -> Fitted:
@@ -115,56 +107,54 @@ def mini_batch_kmeans(t: Training, slices: int = 20, rounds: int = 2) -> Fitted:
     return Fitted("centres", {"centres": centres})
 
 
-def birch(t: Training, threshold: float = 0.5, limit: int = 2000) -> Fitted:
-    """Micro-clusters per partition (count, sum, squares), then weighted k-means
-    over their centres. A partition that runs out of room widens its radius."""
-    d = t.d
-
-    def summarise(batches):
-        radius, counts, sums = threshold, np.zeros(0), np.zeros((0, d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch_array(batch.column(0))
-            counts, sums = _absorb(counts, sums, np.ones(len(x)), x, radius)
-            while len(counts) > limit:
-                radius *= 1.5
-                counts, sums = _absorb(np.zeros(0), np.zeros((0, d)), counts, sums, radius)
-        if len(counts):
-            flat = pa.array(list(sums / counts[:, None]), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [flat, pa.array(counts, pa.float64())], names=["x", "weight"]
-            )
+def birch(t: Training, threshold: float = 0.5) -> Fitted:
+    """Micro-clusters of a radius within the threshold, then Ward's clusters of
+    their centres; a row belongs to its nearest centre's cluster.
 
-    micro = (
-        t.df.select("x")
-        .mapInArrow(summarise, "x array<double>, weight double")
-        .select(array_to_vector("x").alias("features"), "weight")
-        .persist()
-    )
-    k = max(1, min(CLUSTERS, micro.count()))
-    model = KMeans(k=k, seed=SEED, weightCol="weight").fit(micro)
-    micro.unpersist()
-    return Fitted("centres", {"centres": np.array(model.clusterCenters())})
-
-
-def _absorb(counts, sums, new_counts, new_sums, radius):
-    """Add entries to the micro-cluster within reach, else open new ones."""
-    for start in range(0, len(new_counts), 512):
-        c, s = new_counts[start : start + 512], new_sums[start : start + 512]
-        while len(c):
-            if len(counts):
-                centres, x = sums / counts[:, None], s / c[:, None]
-                gap = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
-                near = gap.argmin(1)
-                inside = gap[np.arange(len(x)), near] <= radius**2
-                np.add.at(counts, near[inside], c[inside])
-                np.add.at(sums, near[inside], s[inside])
-                c, s = c[~inside], s[~inside]
-            if len(c):
-                counts, sums = np.append(counts, c[0]), np.vstack([sums, s[:1]])
-                c, s = c[1:], s[1:]
-    return counts, sums
+    Rows are first summed (count, sum, squares) in grid cells too small to exceed
+    the radius, then the sums merge with their nearest as long as the union stays
+    within it. Neither depends on how the rows are dealt out, and there is no limit
+    on the number of micro-clusters.
+    """
+    micro = checkpoint(micro_clusters(t, threshold))
+    merges = merge_points(micro.select("pid", "x", F.lit(1.0).alias("w"), F.lit(0.0).alias("ss")))
+    names = _dense(cut(micro, merges, min(_count(t, CLUSTERS), micro.count())))
+    labelled = micro.join(names, F.col("pid") == F.col("id")).select("pid", "x", "w", F.array(F.col("cluster").cast("double")).alias("payload"))
+    if micro.count() <= CENTRES:
+        rows = sorted(labelled.collect(), key=lambda r: r.pid)
+        return Fitted("centres", {"centres": np.array([r.x for r in rows]), "labels": np.array([r.payload[0] for r in rows])})
+    return Fitted("nearest_centre", table=labelled)
+
+
+def micro_clusters(t: Training, threshold: float) -> DataFrame:
+    """(pid, x, w): centres and sizes of the micro-clusters."""
+    # No two rows of a cell are further apart than twice the threshold.
+    side = 2 * threshold / math.sqrt(t.d)
+    key = F.transform("x", lambda v: F.floor(v / side))
+    # Sums are of the distances from the cell's corner, which keeps their digits.
+    inside = F.zip_with("x", "key", lambda v, k: v - k * side)
+    rows = t.df.select("x", key.alias("key")).select("key", inside.alias("r"))
+    sums = [F.sum(F.get("r", F.lit(i))).alias(f"s{i}") for i in range(t.d)]
+    squares = F.sum(F.aggregate("r", F.lit(0.0), lambda a, v: a + v * v)).alias("q")
+    cells = rows.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("w"), squares, *sums)
+    mean = F.array(*[F.col(f"s{i}") / F.col("w") for i in range(t.d)])
+    cells = cells.select("key", "w", "q", mean.alias("m"))
+    spread = F.col("q") - F.col("w") * F.aggregate("m", F.lit(0.0), lambda a, v: a + v * v)
+    cells = with_positions(cells.select("key", "w", F.greatest(spread, F.lit(0.0)).alias("ss"), "m"), ["key"])
+    centre = F.zip_with("key", "m", lambda k, m: k * side + m)
+    cells = checkpoint(cells.select(F.col("position").alias("pid"), centre.alias("x"), "w", "ss"))
+    groups = cut(cells, merge_points(cells, radius=threshold))
+    joined = cells.join(groups, F.col("pid") == F.col("id"))
+    total = [F.sum(F.get("x", F.lit(i)) * F.col("w")).alias(f"s{i}") for i in range(t.d)]
+    merged = joined.groupBy("component").agg(F.sum("w").alias("w"), *total)
+    return merged.select(F.col("component").alias("pid"), F.array(*[F.col(f"s{i}") / F.col("w") for i in range(t.d)]).alias("x"), "w")
+
+
+@scorer("nearest_centre")
+def _nearest_centre(fitted, df):
+    """The label of the nearest of any number of centres."""
+    found = lookup(fitted, df, 1).withColumn("prediction", F.get(F.get("near", F.lit(0))["payload"], F.lit(0)))
+    return found.drop("near")
 
 
 def _digamma(values: np.ndarray) -> np.ndarray:
@@ -319,39 +309,41 @@ def _forest(eps: float):
 
 def _dense(parts):
     """Components numbered 0, 1, … by their smallest id."""
-    from gridloom.operators.ordering import with_positions
-
     order = with_positions(parts.select("component").distinct(), ["component"])
     return parts.join(order, "component").select("id", F.col("position").alias("cluster"))
 
 
-def spectral(t: Training, neighbours: int = 10) -> Fitted:
-    """Power iteration on the RBF affinities of each position's neighbours.
-
-    A position without any affinity belongs to no cluster and is labelled -1."""
-    points = distinct_points(t.df.select("x"))
+def affinities(points: DataFrame, neighbours: int) -> DataFrame:
+    """(src, dst, weight): RBF affinities of each position and its nearest ones, once
+    for each pair; the kernel width of one suits standardised features."""
     index = build_index(points)
-    near = nearest(
-        index, index.points.select(F.col("pid").alias("qid"), "x"), neighbours + 1
-    )
-    pairs = (
-        near.select("qid", F.explode("near").alias("n"))
-        .filter(F.col("qid") != F.col("n.pid"))
-        .select(
-            F.least("qid", "n.pid").alias("src"),
-            F.greatest("qid", "n.pid").alias("dst"),
-            # The kernel width of one suits standardised features.
-            F.exp(-F.col("n.distance") * F.col("n.distance")).alias("weight"),
-        )
-        .groupBy("src", "dst")
-        .agg(F.max("weight").alias("weight"))
-        .filter(F.col("weight") > 0)
-        .persist()
+    near = nearest(index, index.points.select(F.col("pid").alias("qid"), "x"), neighbours + 1)
+    pairs = near.select("qid", F.explode("near").alias("n")).filter(F.col("qid") != F.col("n.pid"))
+    pairs = pairs.select(
+        F.least("qid", "n.pid").alias("src"),
+        F.greatest("qid", "n.pid").alias("dst"),
+        F.exp(-F.col("n.distance") * F.col("n.distance")).alias("weight"),
     )
-    k = _count(t, CLUSTERS)
-    found = PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(pairs)
+    return pairs.groupBy("src", "dst").agg(F.max("weight").alias("weight")).filter(F.col("weight") > 0)
+
+
+def spectral(t: Training, neighbours: int = 10, groups: int = CLUSTERS) -> Fitted:
+    """K-means in the leading eigenvectors of the normalised affinities of each
+    position's neighbours.
+
+    A position without any affinity belongs to no cluster and is labelled -1."""
+    points = distinct_points(t.df.select("x")).persist()
+    edges = checkpoint(affinities(points, neighbours))
+    k = _count(t, groups)
+    entries, degrees = normalised(edges)
+    if edges.isEmpty():
+        return Fitted("labels", table=points.select("x", F.lit(-1.0).alias("prediction")))
+    vectors, _ = leading_vectors(entries, k)
+    placed = vectors.join(degrees, "id").select("id", F.transform("v", lambda v: v / F.sqrt("degree")).alias("x"))
+    placed = placed.withColumn("features", array_to_vector("x")).persist()
+    found = KMeans(k=k, seed=SEED, initSteps=10, maxIter=100).fit(placed).transform(placed).select("id", "prediction")
     labelled = points.join(found, F.col("pid") == F.col("id"), "left").select(
-        "x", F.coalesce(F.col("cluster"), F.lit(-1)).cast("double").alias("prediction")
+        "x", F.coalesce(F.col("prediction"), F.lit(-1)).cast("double").alias("prediction")
     )
     return Fitted("labels", table=labelled)
 

@@ -5,7 +5,11 @@ Rows enter only through sums; every solve is on a features-by-features matrix.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.models.base import (
@@ -17,6 +21,7 @@ from gridloom.operators.models.base import (
 )
 from gridloom.operators.ordering import exact_quantiles
 from gridloom.operators.sums import sum_over_rows
+from gridloom.session import checkpoint
 
 FOURIER_WIDTH = 256
 
@@ -292,33 +297,47 @@ def kernel_support_regression(t: Training, tube: float = 0.1) -> Fitted:
 # --- robust regression from small subsets -----------------------------------
 
 
-def _drawn_subsets(t: Training, subsets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A fixed number of d+1 row subsets, drawn in one bounded top-k. Rows are
-    drawn one by one, not by content, so copies do not stand together."""
-    size = t.d + 1
-    rows = (
-        t.df.select("x", "label")
-        .orderBy(F.rand(SEED))
-        .limit(subsets * size)
-        .collect()
-    )
-    count = len(rows) // size
-    x = np.array([r.x for r in rows[: count * size]], float)
-    y = np.array([r.label for r in rows[: count * size]], float)
-    if count < subsets and len(rows) > size:
-        # A small table: reshuffle its rows for more subsets.
-        draw = np.random.default_rng(SEED)
-        all_x = np.array([r.x for r in rows], float)
-        all_y = np.array([r.label for r in rows], float)
-        pick = np.array([draw.choice(len(rows), size, replace=False) for _ in range(subsets)])
-        x, y, count = all_x[pick.ravel()], all_y[pick.ravel()], subsets
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    return x.reshape(count, size, size), y.reshape(count, size)
-
+def drawn_subsets(t: Training, subsets: int) -> DataFrame:
+    """(rows): about ``subsets`` groups of d + 1 rows (h, x, label), drawn by hash.
 
-def _subset_lines(t: Training, subsets: int) -> np.ndarray:
-    x, y = _drawn_subsets(t, subsets)
-    return (np.linalg.pinv(x) @ y[:, :, None])[:, :, 0]
+    Every row has a number; in each round the hash of number and round deals it to a
+    group of twice the size wanted on average, of which the smallest hashes stay. A
+    small table has many rounds; of a large one, each row takes part in one round at
+    most, and only rows that take part are moved. Copies are rows of their own.
+    """
+    size = t.d + 1
+    wanted = 2 * subsets * size
+    rounds = max(1, math.ceil(wanted / max(t.rows, 1)))
+    key = F.xxhash64(F.lit(SEED), F.monotonically_increasing_id())
+    rows = t.df.select("x", "label").withColumn("key", key)
+    if wanted < t.rows:
+        rows = rows.filter(F.col("key") < int(-(1 << 63) + wanted / t.rows * (1 << 64)))
+    # Numbers hold once they are written.
+    rows = checkpoint(rows)
+    groups = max(1, subsets // rounds)
+    turns = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    turns = turns.withColumn("h", F.xxhash64("key", "round")).withColumn("g", F.pmod("h", F.lit(groups)))
+    # A group holds about twice d + 1 rows at any size of the table.
+    gathered = turns.groupBy("round", "g").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("h").alias("h"), "x", "label"))).alias("rows"))
+    return gathered.filter(F.size("rows") >= size).select(F.slice("rows", 1, size).alias("rows"))
+
+
+def subset_lines(t: Training, subsets: int) -> DataFrame:
+    """(x, y): the line through each subset, weights and intercept as ``x``."""
+    d = t.d
+
+    def fit(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0).flatten()
+            x = rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d + 1, d)
+            y = rows.field(2).to_numpy(zero_copy_only=False).reshape(-1, d + 1, 1)
+            lines = np.linalg.pinv(np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)) @ y
+            yield pa.RecordBatch.from_arrays([pa.array(list(lines[:, :, 0]), pa.list_(pa.float64()))], names=["x"])
+
+    rows = drawn_subsets(t, subsets).select(F.transform("rows", lambda r: F.struct(r["h"], r["x"].alias("x"), r["label"].cast("double").alias("label"))).alias("rows"))
+    return checkpoint(rows.mapInArrow(fit, "x array<double>"))
 
 
 def consensus_regression(t: Training, trials: int = 200) -> Fitted:
@@ -326,7 +345,10 @@ def consensus_regression(t: Training, trials: int = 200) -> Fitted:
     median = exact_quantiles(t.df, ["label"], [0.5], rows=t.rows)["label"][0]
     spread = t.df.select(F.abs(F.col("label") - median).alias("gap"))
     limit = exact_quantiles(spread, ["gap"], [0.5], rows=t.rows)["gap"][0]
-    lines = _subset_lines(t, trials)
+    # A bounded number of lines, tried on all rows at once.
+    lines = np.array([r.x for r in subset_lines(t, trials).collect()], float)
+    if not len(lines):
+        raise ValueError("RANSAC could not find a valid consensus set: too few rows.")
 
     def inliers(x, y):
         x = np.column_stack([x, np.ones(len(x))])
@@ -346,15 +368,37 @@ def consensus_regression(t: Training, trials: int = 200) -> Fitted:
     return _coefficients(np.linalg.lstsq(gram, packed[size * size :], rcond=1e-12)[0])
 
 
-def spatial_median_regression(t: Training) -> Fitted:
-    """Theil–Sen: the spatial median of lines through many small subsets."""
-    subsets = int(min(10_000, 20_000_000 / (t.d + 1) ** 2))
-    lines = _subset_lines(t, max(subsets, 50))
-    centre = np.median(lines, axis=0)
-    for _ in range(256):
-        distance = np.linalg.norm(lines - centre, axis=1).clip(min=1e-12)
-        after = (lines / distance[:, None]).sum(0) / (1 / distance).sum()
-        if np.abs(after - centre).max() < 1e-6 * max(1.0, np.abs(centre).max()):
-            break
-        centre = after
-    return _coefficients(centre)
+def spatial_median(points: DataFrame, d: int, passes: int = 300, tolerance: float = 1e-3) -> np.ndarray:
+    """The point with the least sum of distances to the points ``x``: means weighted
+    by the inverse distance to the last one, a pass over the rows each. A point that
+    the last one coincides with pulls by its own weight only (Vardi & Zhang 2000)."""
+    middles = [F.percentile_approx(F.get("x", F.lit(i)), 0.5, F.lit(1000)) for i in range(d)]
+    at = np.array([float(v) for v in points.agg(*middles).first()])
+    for _ in range(passes):
+        def pull(x, at=at):
+            gap = np.sqrt(((x - at) ** 2).sum(1))
+            away = gap > 1e-12
+            weight = 1 / gap[away]
+            return np.concatenate([[(~away).sum(), weight.sum()], weight @ x[away]])
+
+        packed = sum_over_rows(points, ["x"], pull, d + 2)
+        if packed[1] == 0:
+            return at
+        target = packed[2:] / packed[1]
+        force = np.sqrt((((target - at) * packed[1]) ** 2).sum())
+        stay = min(1.0, packed[0] / force) if force > 0 else 1.0
+        after = (1 - stay) * target + stay * at
+        moved = np.sqrt(((after - at) ** 2).sum())
+        at = after
+        if moved < tolerance * max(1e-12, np.sqrt((at**2).sum())):
+            return at
+    return at
+
+
+def spatial_median_regression(t: Training, subsets: int = 10_000) -> Fitted:
+    """Theil–Sen: the spatial median of the lines through many small subsets. The
+    driver holds one line at a time."""
+    lines = subset_lines(t, subsets)
+    if lines.isEmpty():
+        raise ValueError("Theil-Sen needs more rows than features.")
+    return _coefficients(spatial_median(lines, t.d + 1))

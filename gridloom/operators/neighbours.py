@@ -1,18 +1,21 @@
 """Exact nearest neighbours and radius joins without comparing all pairs.
 
 Points are first reduced to distinct positions with a count, so that copies cost
-nothing. Space is cut into at most 4,096 cells of about equal size by quantile
-splits along the widest axes. A query looks into its own cell, which bounds how
-far its neighbours can be, and then only into cells whose bounding box is
-nearer than that bound. Cells are processed in blocks of bounded size on both
-sides, so a crowded cell becomes many tasks instead of one.
+nothing. Space is cut in two levels: at most 4,096 cells of about equal size by
+quantile splits along the widest axes, whose boxes travel with the tasks; and, in
+larger tables, parts of every cell that is still crowded, cut along the part's own
+widest axis until all hold a bounded number of points. The parts' boxes are a
+table. A query looks into its own part, which bounds how far its neighbours can be,
+and then only into parts whose bounding box is nearer than that bound: cells by
+their boxes, their parts by a join on the cell. Parts are processed in blocks of
+bounded size on both sides, so the number of points that a query is compared with
+does not follow the number of points.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,11 @@ from pyspark.sql.window import Window
 
 from gridloom.operators.ordering import with_positions
 from gridloom.operators.sums import batch_array, moments, vector_size
+from gridloom.session import bounded_lookup, checkpoint
 
 CELL_POINTS = 2_000
+# Cells, and then parts, with more points than this are cut further.
+CROWDED_POINTS = 8_000
 FANOUT = 4
 MAX_LEVELS = 6
 BLOCK_ROWS = 4_000
@@ -50,10 +56,16 @@ class Index:
     low: np.ndarray
     high: np.ndarray
     sizes: np.ndarray
+    # Largest difference of an axis ("maximum") or straight distance ("euclidean").
+    metric: str = "euclidean"
+    # (cell, part, n, low, high) of all parts, and how crowded ones were cut.
+    parts: DataFrame | None = None
+    part_cuts: list[DataFrame] = field(default_factory=list)
+    cached: DataFrame | None = None
 
     def __getstate__(self):
-        # The geometry travels to the tasks, the points do not.
-        return self.__dict__ | {"points": None}
+        # The geometry travels to the tasks, the tables do not.
+        return self.__dict__ | {"points": None, "parts": None, "part_cuts": [], "cached": None}
 
     @property
     def cells(self) -> int:
@@ -71,8 +83,15 @@ class Index:
         for j in range(x.shape[1]):
             value = x[:, j][:, None]
             gap = np.maximum(np.maximum(self.low[:, j] - value, value - self.high[:, j]), 0)
-            total += gap * gap
-        return np.sqrt(total)
+            total = np.maximum(total, gap) if self.metric == "maximum" else total + gap * gap
+        return total if self.metric == "maximum" else np.sqrt(total)
+
+    def place(self, queries: DataFrame) -> DataFrame:
+        """``queries`` (x) with their ``cell`` and ``part``."""
+        placed = _mapped(queries, self.cell_of, "cell", "bigint").withColumn("part", F.lit(1).cast("bigint"))
+        for cuts in self.part_cuts:
+            placed = _descended(placed, cuts)
+        return placed
 
 
 def _mapped(df: DataFrame, function, column: str, kind: str) -> DataFrame:
@@ -83,8 +102,9 @@ def _mapped(df: DataFrame, function, column: str, kind: str) -> DataFrame:
     return df.withColumn(column, apply("x"))
 
 
-def build_index(points: DataFrame) -> Index:
-    """Cells over the points by repeated quantile cuts, a level per pass."""
+def build_index(points: DataFrame, metric: str = "euclidean") -> Index:
+    """Cells over the points by repeated quantile cuts, a level per pass, and parts
+    of the cells that are crowded."""
     points = points.persist()
     n, d = points.count(), vector_size(points)
     levels = 0
@@ -95,7 +115,7 @@ def build_index(points: DataFrame) -> Index:
         spread = np.diag(moments(points, d=d).covariance)
         widest = [int(j) for j in np.argsort(-spread)]
         axes = [widest[i % d] for i in range(levels)]
-    index = Index(points, [], [], np.zeros((1, d)), np.zeros((1, d)), np.zeros(1))
+    index = Index(points, [], [], np.zeros((1, d)), np.zeros((1, d)), np.zeros(1), metric, cached=points)
     for level, axis in enumerate(axes):
         placed = _mapped(points, index.cell_of, "cell", "bigint")
         found = (
@@ -116,7 +136,12 @@ def build_index(points: DataFrame) -> Index:
         index.axes, index.cuts = axes[: level + 1], cuts
     cells = FANOUT**levels
     index.low, index.high, index.sizes = _boxes(points, index, cells, d)
-    index.points = _mapped(points, index.cell_of, "cell", "bigint")
+    index.points = index.place(points)
+    if index.sizes.max(initial=0) > CROWDED_POINTS:
+        _cut_crowded(index, d)
+    else:
+        rows = [(c, 1, int(n)) for c, n in enumerate(index.sizes) if n > 0]
+        index.parts = points.sparkSession.createDataFrame(rows, "cell bigint, part bigint, n bigint")
     return index
 
 
@@ -155,61 +180,146 @@ def _boxes(points, index, cells, d):
     return low, high, sizes
 
 
-def _blocks(index: Index, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Apply ``work(queries, points)`` to every block of queries placed in a cell
-    and every block of that cell's points."""
-    spark = queries.sparkSession
-    counts = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}
-    plan = [
-        (
-            int(c),
-            max(1, math.ceil(index.sizes[c] / BLOCK_ROWS)),
-            max(1, math.ceil(counts[c] / BLOCK_ROWS)),
+def _part_boxes(points: DataFrame, d: int) -> DataFrame:
+    low, high = (F.array(*[f(F.get("x", F.lit(i))) for i in range(d)]) for f in (F.min, F.max))
+    return points.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"))
+
+
+def _descended(placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of a part that was cut move to its child: four times the part's number
+    and how many cut points lie below their value."""
+    names = [F.col(c) for c in placed.columns if c != "part"]
+    cuts = bounded_lookup(cuts.select("cell", "part", "axis", "cuts"), cuts.count())
+    value = F.get("x", F.col("axis"))
+    below = F.size(F.filter("cuts", lambda c: c < value))
+    child = F.when(F.col("axis").isNull(), F.col("part")).otherwise(F.col("part") * FANOUT + below)
+    return placed.join(cuts, ["cell", "part"], "left").select(*names, child.alias("part"))
+
+
+def _cut_crowded(index: Index, d: int) -> None:
+    """Cut parts along their widest axis until none is crowded.
+
+    Positions are distinct, so a crowded part has an axis with a spread, and a cut
+    below its largest value leaves points on both sides.
+    """
+    while True:
+        boxes = checkpoint(_part_boxes(index.points, d))
+        wide = boxes.filter(F.col("n") > CROWDED_POINTS)
+        spread = F.zip_with("high", "low", lambda a, b: a - b)
+        axis = F.array_position(spread, F.array_max(spread)).cast("int") - 1
+        wide = wide.select("cell", "part", axis.alias("axis"), F.get("low", axis).alias("least"), F.get("high", axis).alias("most"))
+        wide = checkpoint(wide)
+        rows = wide.count()
+        if not rows:
+            index.parts = boxes
+            return
+        values = index.points.join(bounded_lookup(wide, rows), ["cell", "part"])
+        shares = F.array(*[F.lit((j + 1) / FANOUT) for j in range(FANOUT - 1)])
+        found = values.groupBy("cell", "part", "axis", "least", "most").agg(
+            F.percentile_approx(F.get("x", F.col("axis")), shares, F.lit(1000)).alias("q")
         )
-        for c in counts
-        if index.sizes[c] > 0
-    ]
-    # One row per cell (at most 4,096).
-    table = F.broadcast(spark.createDataFrame(plan, "cell bigint, pblocks int, qblocks int"))
-    left = queries.join(table, "cell").select(
-        "cell",
+        inner = F.array_distinct(F.filter("q", lambda v: v < F.col("most")))
+        middle = F.array((F.col("least") + F.col("most")) / 2)
+        cuts = found.select("cell", "part", "axis", F.when(F.size(inner) > 0, inner).otherwise(middle).alias("cuts"))
+        index.part_cuts.append(checkpoint(cuts))
+        index.points = checkpoint(_descended(index.points, index.part_cuts[-1]))
+
+
+def _box_distance(metric: str):
+    """Distance of a row's ``x`` to its box (``low``, ``high``)."""
+    gaps = F.zip_with(
+        F.zip_with("low", "x", lambda a, v: F.greatest(a - v, F.lit(0.0))),
+        F.zip_with("x", "high", lambda v, b: F.greatest(v - b, F.lit(0.0))),
+        lambda a, b: F.greatest(a, b),
+    )
+    if metric == "maximum":
+        return F.array_max(gaps)
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
+
+
+def near_boxes(index: Index, queries: DataFrame, facts: list[str], bounds: Callable) -> DataFrame:
+    """``queries`` (x and ``facts``) once for each part whose box is within their
+    bound; ``bounds`` gives it from arrays of the facts, by query and cell."""
+
+    @F.pandas_udf("array<struct<cell:bigint,bound:double>>")
+    def cells(x: pd.Series, *values: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        gaps = index.box_distance(np.stack(x.to_numpy()))
+        bound = np.broadcast_to(bounds(*[v.to_numpy() for v in values]), gaps.shape)
+        close = (gaps <= bound) & (index.sizes > 0)
+        out = []
+        for row, limit in zip(close, bound):
+            at = np.nonzero(row)[0]
+            out.append([{"cell": int(c), "bound": float(b)} for c, b in zip(at, limit[at])])
+        return pd.Series(out)
+
+    near = queries.withColumn("_near", F.explode(cells("x", *facts)))
+    near = near.select(*queries.columns, F.col("_near.cell").alias("cell"), F.col("_near.bound").alias("_bound"))
+    if not index.part_cuts:
+        return near.withColumn("part", F.lit(1).cast("bigint")).drop("_bound")
+    boxes = bounded_lookup(index.parts.select("cell", "part", "low", "high"), index.parts.count())
+    return near.join(boxes, "cell").filter(_box_distance(index.metric) <= F.col("_bound")).drop("low", "high", "_bound")
+
+
+def release(index: Index) -> None:
+    """Free what the index holds in memory."""
+    if index.cached is not None:
+        index.cached.unpersist()
+
+
+def block_work(index: Index, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """Apply ``work(queries, points)`` to every block of queries placed in a part
+    and every block of that part's points."""
+    keys = ["cell", "part"]
+    counts = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked"))
+    plan = index.parts.select(*keys, "n").join(counts, keys)
+    plan = checkpoint(
+        plan.select(
+            *keys,
+            F.ceil(F.col("n") / BLOCK_ROWS).alias("pblocks"),
+            F.ceil(F.col("asked") / BLOCK_ROWS).alias("qblocks"),
+        )
+    )
+    plan = bounded_lookup(plan, plan.count())
+    # Queries may come from the points: the aliases tell the two sides apart.
+    left = queries.join(plan, keys).select(
+        *[F.col(c).alias(c) for c in keys],
         F.pmod(F.xxhash64("qid"), F.col("qblocks")).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("pblocks") - 1)).alias("pb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pblocks") - 1)).alias("pb"),
         "qid",
         F.col("x").alias("qx"),
-        *[c for c in ("bound",) if c in queries.columns],
+        *[c for c in queries.columns if c not in (*keys, "qid", "x")],
     )
-    right = index.points.join(table, "cell").select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qb"),
+    right = index.points.join(plan, keys).select(
+        *keys,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qblocks") - 1)).alias("qb"),
         F.pmod(F.xxhash64("pid"), F.col("pblocks")).alias("pb"),
         "pid",
         "x",
         "w",
         "payload",
     )
-    right = right.withColumn("qb", F.col("qb").cast("bigint"))
-    left = left.withColumn("pb", F.col("pb").cast("bigint"))
-    keys = ["cell", "qb", "pb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+    blocks = [*keys, "qb", "pb"]
+    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(work, schema)
 
 
-def distances(q: np.ndarray, p: np.ndarray):
+def distances(q: np.ndarray, p: np.ndarray, metric: str = "euclidean"):
     """Row ranges of the queries with their exact distances to all points."""
     step = max(1, int(4_000_000 / max(1, p.size)))
     for start in range(0, len(q), step):
-        part = q[start : start + step]
-        yield start, np.sqrt(((part[:, None, :] - p[None, :, :]) ** 2).sum(2))
+        gaps = q[start : start + step][:, None, :] - p[None, :, :]
+        yield start, np.abs(gaps).max(2) if metric == "maximum" else np.sqrt((gaps**2).sum(2))
 
 
-def _nearest_in_block(k: int):
+def _nearest_in_block(k: int, metric: str):
     def work(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"qid": [], "near": []})
         q, p = np.stack(queries.qx.to_numpy()), np.stack(points.x.to_numpy())
         pid, w, payload = points.pid.to_numpy(), points.w.to_numpy(), points.payload.to_numpy()
         keep, near = min(k, len(p)), []
-        for _, gaps in distances(q, p):
+        for _, gaps in distances(q, p, metric):
             for row in gaps:
                 # All points as near as the k-th, then the smallest ids of equals.
                 limit = np.partition(row, keep - 1)[keep - 1]
@@ -232,30 +342,23 @@ def nearest(index: Index, queries: DataFrame, k: int) -> DataFrame:
     ``queries`` has ``qid`` and ``x``. Equal distances are ordered by ``pid``.
     """
     schema = f"qid bigint, near {NEAR}"
-    own = _mapped(queries.select("qid", "x"), index.cell_of, "cell", "bigint")
-    first = _blocks(index, own, _nearest_in_block(k), schema)
-    first = _merged(first, k).persist()
-    if index.cells == 1:
+    work = _nearest_in_block(k, index.metric)
+    own = index.place(queries.select("qid", "x"))
+    first = _merged(block_work(index, own, work, schema), k).persist()
+    if index.cells == 1 and not index.part_cuts:
         return first
     bound = F.when(F.size("near") >= k, F.element_at("near", -1)["distance"]).otherwise(
         F.lit(float("inf"))
     )
-    # A query whose own cell is empty has no list yet: it is left unbounded.
-    limits = own.join(first.select("qid", bound.alias("bound")), "qid", "left").select(
-        "qid", "x", F.coalesce("bound", F.lit(float("inf"))).alias("bound")
+    # A query whose own part is empty has no list yet: it is left unbounded.
+    limits = own.withColumnsRenamed({"cell": "own_cell", "part": "own_part"}).join(
+        first.select("qid", bound.alias("bound")), "qid", "left"
     )
-
-    @F.pandas_udf("array<bigint>")
-    def others(x: pd.Series, bound: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        table = np.stack(x.to_numpy())
-        close = (index.box_distance(table) <= bound.to_numpy()[:, None]) & (index.sizes > 0)
-        close[np.arange(len(table)), index.cell_of(table)] = False
-        return pd.Series([np.nonzero(row)[0] for row in close])
-
-    further = limits.withColumn("cell", F.explode(others("x", "bound"))).select("qid", "x", "cell")
-    second = _blocks(index, further, _nearest_in_block(k), schema)
+    limits = limits.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    further = near_boxes(index, limits, ["bound"], lambda bound: bound[:, None])
+    elsewhere = (F.col("cell") != F.col("own_cell")) | (F.col("part") != F.col("own_part"))
+    further = further.filter(elsewhere).select("qid", "x", "cell", "part")
+    second = block_work(index, further, work, schema)
     return _merged(first.unionByName(second), k)
 
 
@@ -273,13 +376,6 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
 
 def within(index: Index, queries: DataFrame, radius: float, work: Callable, schema: str):
     """Apply ``work`` to all blocks that can hold pairs within ``radius``."""
-
-    @F.pandas_udf("array<bigint>")
-    def cells(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        close = (index.box_distance(np.stack(x.to_numpy())) <= radius) & (index.sizes > 0)
-        return pd.Series([np.nonzero(row)[0] for row in close])
-
-    placed = queries.withColumn("cell", F.explode(cells("x")))
-    return _blocks(index, placed, work, schema)
+    limits = queries.select("qid", "x").withColumn("bound", F.lit(float(radius)))
+    placed = near_boxes(index, limits, ["bound"], lambda bound: bound[:, None]).drop("bound")
+    return block_work(index, placed, work, schema)

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridloom.operators import neighbours
+from gridloom.operators import eigen, merging, neighbours
 from gridloom.operators.components import connected_components
 from gridloom.operators.models import bayes, clusters, decomposition, linear, native, registry
 from gridloom.operators.models.base import Training, apply_model
@@ -106,6 +107,142 @@ def test_neighbours_are_exact(spark, monkeypatch, cell_points, block_rows):
         assert [e.distance for e in r.near] == pytest.approx(expected.tolist(), abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "maximum"])
+def test_crowded_cells_are_cut(spark, monkeypatch, metric):
+    for name, value in (("CELL_POINTS", 30), ("MAX_LEVELS", 1), ("CROWDED_POINTS", 25), ("BLOCK_ROWS", 10)):
+        monkeypatch.setattr(neighbours, name, value)
+    draw = np.random.default_rng(8)
+    # Most positions differ in one axis of three, by whole numbers.
+    x = np.vstack([draw.normal(size=(120, 3)), np.column_stack([np.ones(90), np.zeros(90), np.arange(90)]), np.tile([[5.0, 5, 5]], (40, 1))])
+    index = neighbours.build_index(neighbours.distinct_points(rows_of(spark, x).select("x")), metric)
+    assert index.part_cuts and max(r.n for r in index.parts.collect()) <= 25
+    asked = np.vstack([draw.normal(size=(30, 3)) * 3, x[:20], [[100.0, -50, 3]]])
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid bigint, x array<double>")
+    found = {r.qid: [e.distance for e in r.near] for r in neighbours.nearest(index, queries, 7).collect()}
+    gaps = np.abs(asked[:, None] - np.unique(x, axis=0)[None])
+    gaps = gaps.max(2) if metric == "maximum" else np.sqrt((gaps**2).sum(2))
+    for i, row in enumerate(np.sort(gaps, axis=1)[:, :7]):
+        assert found[i] == pytest.approx(row.tolist(), abs=1e-12)
+
+
+def test_work_of_a_query_does_not_follow_the_table(spark, monkeypatch):
+    for name, value in (("CELL_POINTS", 40), ("MAX_LEVELS", 1), ("CROWDED_POINTS", 40)):
+        monkeypatch.setattr(neighbours, name, value)
+    draw = np.random.default_rng(5)
+    compared = []
+    for n in (500, 4000):
+        index = neighbours.build_index(neighbours.distinct_points(rows_of(spark, draw.uniform(size=(n, 2))).select("x")))
+        points = index.points.select(F.col("pid").alias("qid"), "x").withColumn("bound", F.lit(1 / np.sqrt(n)))
+        near = neighbours.near_boxes(index, points, ["bound"], lambda bound: bound[:, None])
+        pairs = near.join(index.parts.select("cell", "part", "n"), ["cell", "part"]).agg(F.sum("n")).first()[0]
+        compared.append(pairs / n)
+    assert compared[1] < 1.3 * compared[0]
+
+
+def ward_labels(x, k):
+    """Ward's clusters by merging the cheapest pair again and again."""
+    cost = ((x[:, None] - x[None]) ** 2).sum(2) / 2
+    np.fill_diagonal(cost, np.inf)
+    size, label = np.ones(len(x)), np.arange(len(x))
+    for _ in range(len(x) - k):
+        a, b = np.unravel_index(np.argmin(cost), cost.shape)
+        row = ((size[a] + size) * cost[a] + (size[b] + size) * cost[b] - size * cost[a, b]) / (size[a] + size[b] + size)
+        row[[a, b]] = np.inf
+        cost[a], cost[:, a] = row, row
+        cost[b], cost[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        label[label == b] = a
+    return label.tolist()
+
+
+def same_groups(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def labels_of(fitted, x, df):
+    found = {tuple(r.x): r.prediction for r in apply_model(fitted, df).collect()}
+    return [found[tuple(v)] for v in x]
+
+
+@pytest.mark.parametrize("small", [2_000, 60])
+def test_ward_clusters(spark, monkeypatch, small):
+    monkeypatch.setattr(merging, "SMALL", small)
+    if small < 100:
+        for name, value in (("CELL_POINTS", 30), ("MAX_LEVELS", 1), ("CROWDED_POINTS", 40), ("BLOCK_ROWS", 25)):
+            monkeypatch.setattr(neighbours, name, value)
+    draw = np.random.default_rng(3)
+    x = np.vstack([draw.normal(size=(100, 3)), draw.normal(size=(70, 3)) + 3, draw.normal(size=(30, 3)) * 4])
+    t = task(spark, x)
+    assert same_groups(labels_of(clusters.agglomerative(t), x, t.df), ward_labels(x, 8))
+
+
+def test_equal_distances_merge_in_few_rounds():
+    rows = [Row(pid=i, x=[float(i)], w=1.0, ss=0.0) for i in range(512)]
+    merges = merging._merge_small(rows, None)
+    assert len(merges) == 511 and len({m[1] for m in merges}) == 511
+    cost = np.sort([m[2] for m in merges])
+    assert cost[0] == 0.5 and (cost[:150] == 0.5).all()
+
+
+def test_micro_clusters_do_not_depend_on_the_partitions(spark):
+    draw = np.random.default_rng(4)
+    x = np.vstack([draw.normal(size=(300, 2)) * 2, draw.normal(size=(100, 2)) * 0.05 + 9])
+    found = []
+    for parts in (1, 7):
+        t = task(spark, x)
+        t = Training(t.df.repartition(parts), t.rows, t.d)
+        found.append(sorted((round(r.w), [round(v, 9) for v in r.x]) for r in clusters.micro_clusters(t, 0.5).collect()))
+    assert found[0] == found[1] and sum(w for w, _ in found[0]) == 400 and 10 < len(found[0]) < 300
+    # Every micro-cluster keeps within the radius: rows are nearer to some centre.
+    centres = np.array([c for _, c in found[0]])
+    assert np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2)).min(1).max() <= 1.0
+
+
+def test_leading_vectors_and_rings(spark):
+    draw = np.random.default_rng(3)
+    angle, radius = draw.uniform(0, 2 * np.pi, 200), np.repeat([1.0, 3.0], 100)
+    x = np.column_stack([radius * np.cos(angle), radius * np.sin(angle)]) + draw.normal(size=(200, 2)) * 0.03
+    t = task(spark, x)
+    edges = clusters.affinities(neighbours.distinct_points(t.df.select("x")), 10).collect()
+    weights = np.zeros((200, 200))
+    for e in edges:
+        weights[e.src, e.dst] = weights[e.dst, e.src] = e.weight
+    matrix = weights / np.sqrt(np.outer(weights.sum(1), weights.sum(1)))
+    vectors, values = eigen.leading_vectors(eigen.normalised(spark.createDataFrame(edges))[0], 5)
+    assert values == pytest.approx(np.linalg.eigvalsh(matrix)[::-1][:5], abs=1e-6)
+    v = np.zeros((200, 5))
+    for r in vectors.collect():
+        v[r.id] = r.v
+    assert np.abs(matrix @ v - v * values).max() < 1e-3 and np.abs(v.T @ v - np.eye(5)).max() < 1e-6
+    labels = labels_of(clusters.spectral(t, groups=2), x, t.df)
+    assert len(set(labels[:100])) == len(set(labels[100:])) == 1 and labels[0] != labels[150]
+
+
+def test_theil_sen_and_ransac_with_outliers(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(400, 3))
+    y = x @ [2.0, -1.0, 0.5] + 4 + draw.normal(size=400) * 0.05
+    y[::7] += 60
+    t = task(spark, x, y)
+    for fit in (linear.spatial_median_regression, linear.consensus_regression):
+        p = fit(t).params
+        assert np.ravel(p["weights"]) == pytest.approx([2.0, -1.0, 0.5], abs=0.1) and p["intercept"] == pytest.approx(4, abs=0.3)
+    lines = linear.subset_lines(t, 500)
+    assert 400 <= lines.count() <= 500 and linear.subset_lines(t, 20).count() <= 20
+    points = draw.normal(size=(300, 2)) * [1, 5] + 3
+    middle = linear.spatial_median(rows_of(spark, points), 2, tolerance=1e-9)
+    away = points - middle
+    assert np.abs((away / np.sqrt((away**2).sum(1))[:, None]).sum(0)).max() < 1e-3
+
+
+def test_feature_groups(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(200, 8))
+    x = base[:, np.arange(20) % 8] + draw.normal(size=(200, 20)) * 0.01
+    fitted = decomposition.feature_agglomeration(task(spark, x))
+    assert fitted.facts["feature_labels"] == [j % 8 for j in range(20)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "src bigint, dst bigint")
     nodes = spark.createDataFrame([(i,) for i in list(range(21)) + [30, 31, 40]], "id bigint")

@@ -172,3 +172,35 @@ def test_profile_document(spark, sf):
     assert document["distribution_charts"]["target"]["kind"] == "categorical"
     with pytest.raises(ValueError, match="is not in the CSV"):
         profile(df, target="nope")
+
+
+def digamma_of(n):
+    out = 0.0
+    while n < 30:
+        out, n = out - 1 / n, n + 1
+    return out + np.log(n) - 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+
+
+def test_information_with_a_number_equals_all_pairs(spark):
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=250)
+    y = x + draw.normal(size=250) * 0.3
+    levels = draw.choice(["a", "b", "c"], 250)
+    steps = draw.integers(0, 6, 250).astype(float)
+    rows = [(float(a), float(b), str(c), float(d) if i % 9 else None) for i, (a, b, c, d) in enumerate(zip(x, y, levels, steps))]
+    rows += [(1.0, None, "d", 2.0), *rows[:30], *rows[:30], *rows[:30], *rows[:5]]
+    df = spark.createDataFrame(rows, "x double, y double, c string, s double")
+    got = {r.column: r.mutual_info for r in association.information_continuous(df, "y", ["x", "c", "s"]).collect()}
+    code = {"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}
+    for name, value in (("x", lambda r: r[0]), ("c", lambda r: code[r[2]]), ("s", lambda r: r[3])):
+        both = np.array([(value(r), r[1]) for r in rows if r[1] is not None and value(r) is not None])
+        both = both / both.std(0)
+        gaps = np.abs(both[:, None] - both[None])
+        away = gaps.max(2)
+        np.fill_diagonal(away, np.inf)
+        radius = np.sort(away, axis=1)[:, 2] * (1 - 1e-9)
+        inside = (gaps <= radius[:, None, None]).sum(1)
+        n = len(both)
+        want = digamma_of(n) + digamma_of(3) - np.mean([digamma_of(a) + digamma_of(b) for a, b in inside])
+        assert got[name] == pytest.approx(max(want, 0), abs=1e-9)
+    assert got["x"] > 0.5

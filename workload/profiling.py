@@ -472,6 +472,33 @@ def information_nearest(spark, sf):
     return rounded(found, "mutual_info")
 
 
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+# All pairs of rows: each row's third nearest in the larger difference, then the
+# rows within that radius on either side.
+_KRASKOV = f"""(WITH c AS (SELECT {{x}}::DOUBLE AS x, o_totalprice AS y FROM orders),
+  v AS (SELECT row_number() OVER () AS id, x / (SELECT stddev_pop(x) FROM c) AS x,
+    y / (SELECT stddev_pop(y) FROM c) AS y FROM c),
+  r AS (SELECT a.id, any_value(a.x) AS x, any_value(a.y) AS y,
+    min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] * (1 - 1e-9) AS r
+    FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id),
+  m AS (SELECT r.id, count(*) FILTER (abs(r.x - v.x) <= r) AS m_x,
+    count(*) FILTER (abs(r.y - v.y) <= r) AS m_y FROM r, v GROUP BY r.id)
+  SELECT '{{c}}' AS "column", round(greatest({_psi('count(*)')} + {_psi('3')}
+  - avg({_psi('m_x')}) - avg({_psi('m_y')}), 0), 6) AS mutual_info FROM m)"""
+_CODED = "(dense_rank() OVER (ORDER BY {c}::VARCHAR) - 1)"
+_CONTINUOUS = union(
+    [
+        "SELECT * FROM " + _KRASKOV.replace("{x}", c if c.endswith("key") else _CODED.replace("{c}", c)).replace("{c}", c)
+        for c in _ORDERS
+    ]
+)
+
+
+@query("information_continuous", _CONTINUOUS)
+def information_continuous(spark, sf):
+    return rounded(association.information_continuous(table(spark, sf, "orders"), "o_totalprice", _ORDERS), "mutual_info")
+
+
 @query("information_binned")
 def information_binned(spark, sf):
     df = table(spark, sf, "orders").drop("o_orderdate")
@@ -500,11 +527,15 @@ def association_ranking(spark, sf):
     )
 
 
-@query("feature_target_association")
+@query(
+    "feature_target_association",
+    f"""SELECT i."column", CASE i."column" WHEN 'o_orderkey' THEN round(corr(o_orderkey, o_totalprice), 6)
+    WHEN 'o_custkey' THEN round(corr(o_custkey, o_totalprice), 6) END AS pearson_r, mutual_info, NULL AS note
+  FROM ({_CONTINUOUS}) i, orders GROUP BY i."column", mutual_info""",
+)
 def feature_target_association(spark, sf):
-    return association.feature_target_association(
-        table(spark, sf, "orders").drop("o_orderdate"), "o_totalprice", "regression"
-    )
+    found = association.feature_target_association(table(spark, sf, "orders"), "o_totalprice", "regression")
+    return rounded(found, "pearson_r", "mutual_info")
 
 
 def _bins(column: str, source: str) -> str:
