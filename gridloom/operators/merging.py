@@ -35,16 +35,14 @@ def _tie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(2)).astype(np.int64)
 
 
-def cheapest(x, w, ss, ids, y, v, tt, others, radius=None):
-    """(cost, tie, partner) of the cheapest union of every row with another id;
-    the cost is infinite where none is allowed."""
+def cheapest(x, w, ids, y, v, others):
+    """(cost, tie, partner) of the cheapest union of every row with another id; the
+    cost is infinite where there is none."""
     cost, tie, partner = np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
     for start, gaps in distances(x, y):
         part = slice(start, start + len(gaps))
         own = w[part][:, None]
         union = gaps**2 * (own * v[None] / (own + v[None]))
-        if radius is not None:
-            union = np.where(ss[part][:, None] + tt[None] + union <= radius**2 * (own + v[None]), union, np.inf)
         union[ids[part][:, None] == others[None]] = np.inf
         low = union.min(1)
         row, at = np.nonzero(union == low[:, None])
@@ -56,7 +54,7 @@ def cheapest(x, w, ss, ids, y, v, tt, others, radius=None):
     return cost, tie, partner
 
 
-def _search(index: Index, radius: float | None) -> DataFrame:
+def _search(index: Index) -> DataFrame:
     """(qid, cost, tie, pid): the cheapest partner of every point of the index."""
 
     def work(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -64,36 +62,29 @@ def _search(index: Index, radius: float | None) -> DataFrame:
             return pd.DataFrame({"qid": [], "cost": [], "tie": [], "pid": []})
         ids, others = q.qid.to_numpy(), p.pid.to_numpy()
         found = cheapest(
-            np.stack(q.qx.to_numpy()), q.qw.to_numpy(float), q.qss.to_numpy(float), ids,
-            np.stack(p.x.to_numpy()), p.w.to_numpy(float), np.array([s[0] for s in p.payload]), others, radius,
+            np.stack(q.qx.to_numpy()), q.qw.to_numpy(float), ids, np.stack(p.x.to_numpy()), p.w.to_numpy(float), others,
         )
         return pd.DataFrame({"qid": ids, "cost": found[0], "tie": found[1], "pid": found[2]})
 
-    queries = index.points.select(
-        F.col("pid").alias("qid"), "x", F.col("w").alias("qw"), F.get("payload", F.lit(0)).alias("qss"), "cell", "part"
-    )
+    queries = index.points.select(F.col("pid").alias("qid"), "x", F.col("w").alias("qw"), "cell", "part")
     first = block_work(index, queries, work, FOUND)
     first = checkpoint(_best(first))
     if index.cells == 1 and not index.part_cuts:
         return first
-    least, most = np.ones(index.cells), np.ones(index.cells)
-    for row in index.points.groupBy("cell").agg(F.min("w").alias("least"), F.max("w").alias("most")).collect():
-        least[row.cell], most[row.cell] = row.least, row.most
+    least = np.ones(index.cells)
+    for row in index.points.groupBy("cell").agg(F.min("w").alias("least")).collect():
+        least[row.cell] = row.least
 
     def bounds(cost: np.ndarray, w: np.ndarray) -> np.ndarray:
         """How far a cheaper partner can be, by query and cell."""
         w = w[:, None]
-        bound = np.sqrt(cost[:, None] * (w + least) / (w * least))
-        if radius is not None:
-            spread = [(w + v) / np.sqrt(w * v) for v in (least, most)]
-            bound = np.minimum(bound, radius * np.maximum(*spread))
-        return bound * (1 + 1e-9)
+        return np.sqrt(cost[:, None] * (w + least) / (w * least)) * (1 + 1e-9)
 
     known = queries.withColumnsRenamed({"cell": "own_cell", "part": "own_part"}).join(first.select("qid", "cost"), "qid", "left")
     known = known.withColumn("cost", F.coalesce("cost", F.lit(float("inf"))))
     further = near_boxes(index, known, ["cost", "qw"], bounds)
     elsewhere = (F.col("cell") != F.col("own_cell")) | (F.col("part") != F.col("own_part"))
-    further = further.filter(elsewhere).select("qid", "x", "qw", "qss", "cell", "part")
+    further = further.filter(elsewhere).select("qid", "x", "qw", "cell", "part")
     return _best(first.unionByName(block_work(index, further, work, FOUND)))
 
 
@@ -103,72 +94,54 @@ def _best(found: DataFrame) -> DataFrame:
 
 
 def _merged(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``points`` (pid, x, w, ss) after the mergers ``pairs`` (keep, gone, cost)."""
-    to = pairs.select(F.col("gone").alias("pid"), F.col("keep"), "cost")
-    moved = points.join(to, "pid", "left").withColumn("pid", F.coalesce("keep", "pid")).drop("keep")
-    moved = moved.withColumn("gone", F.col("cost").isNotNull()).withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    """``points`` (pid, x, w) after the mergers ``pairs`` (keep, gone)."""
+    to = pairs.select(F.col("gone").alias("pid"), "keep")
+    moved = points.join(to, "pid", "left").withColumn("gone", F.col("keep").isNotNull())
     # At most two rows each.
-    both = moved.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("gone", "x", "w", "ss", "cost"))).alias("m"))
+    both = moved.groupBy(F.coalesce("keep", "pid").alias("pid")).agg(F.sort_array(F.collect_list(F.struct("gone", "x", "w"))).alias("m"))
     one, two = F.get("m", F.lit(0)), F.get("m", F.lit(1))
-    w = one["w"] + F.coalesce(two["w"], F.lit(0))
+    w = one["w"] + F.coalesce(two["w"], F.lit(0.0))
     middle = F.zip_with(one["x"], two["x"], lambda a, b: (a * one["w"] + b * two["w"]) / (one["w"] + two["w"]))
-    return both.select(
-        "pid",
-        F.coalesce(middle, one["x"]).alias("x"),
-        w.alias("w"),
-        (one["ss"] + F.coalesce(two["ss"] + two["cost"], F.lit(0.0))).alias("ss"),
-    )
+    return both.select("pid", F.coalesce(middle, one["x"]).alias("x"), w.alias("w"))
 
 
-def _merge_small(rows: list, radius: float | None) -> list[tuple]:
+def _merge_small(rows: list) -> list[tuple]:
     """(keep, gone, cost) of all mergers of a bounded number of clusters."""
     ids = np.array([r.pid for r in rows], np.int64)
-    x = np.array([r.x for r in rows], float)
-    w, ss = np.array([r.w for r in rows], float), np.array([r.ss for r in rows], float)
+    x, w = np.array([r.x for r in rows], float), np.array([r.w for r in rows], float)
     out = []
     while len(ids) > 1:
-        cost, _, partner = cheapest(x, w, ss, ids, x, w, ss, ids, radius)
-        place = {int(i): k for k, i in enumerate(ids)}
-        other = np.array([place.get(int(p), -1) for p in partner])
-        able = np.isfinite(cost)
-        keep = np.array([k for k in range(len(ids)) if able[k] and other[other[k]] == k and ids[k] < ids[other[k]]], int)
-        if not len(keep):
-            break
+        cost, _, partner = cheapest(x, w, ids, x, w, ids)
+        order = np.argsort(ids)
+        other = order[np.searchsorted(ids[order], partner)]
+        keep = np.flatnonzero((other[other] == np.arange(len(ids))) & (ids < ids[other]))
         gone = other[keep]
         out += list(zip(ids[keep].tolist(), ids[gone].tolist(), cost[keep].tolist()))
         total = w[keep] + w[gone]
         x[keep] = (x[keep] * w[keep, None] + x[gone] * w[gone, None]) / total[:, None]
-        ss[keep] += ss[gone] + cost[keep]
         w[keep] = total
         rest = np.ones(len(ids), bool)
         rest[gone] = False
-        ids, x, w, ss = ids[rest], x[rest], w[rest], ss[rest]
+        ids, x, w = ids[rest], x[rest], w[rest]
     return out
 
 
-def merge_points(points: DataFrame, radius: float | None = None, small: int | None = None) -> DataFrame:
-    """(keep, gone, cost): all mergers of ``points`` (pid, x, w, ss), down to one
-    cluster, or while a union's mean squared distance to its centre stays within
-    ``radius``. A cluster keeps the smaller id; every id is ``gone`` once at most."""
+def merge_points(points: DataFrame, small: int | None = None) -> DataFrame:
+    """(keep, gone, cost): all mergers of ``points`` (pid, x, w), down to one cluster.
+    A cluster keeps the smaller id, so every id but one is ``gone`` once."""
     small = SMALL if small is None else small
     spark, found = points.sparkSession, []
-    points = checkpoint(points.select("pid", "x", F.col("w").cast("double").alias("w"), F.col("ss").cast("double").alias("ss")))
-    while True:
-        if points.count() <= small:
-            found.append(spark.createDataFrame(_merge_small(points.collect(), radius), "keep bigint, gone bigint, cost double"))
-            break
-        index = build_index(points.select("pid", "x", "w", F.array("ss").alias("payload")))
-        nearest = checkpoint(_search(index, radius))
+    points = checkpoint(points.select("pid", "x", F.col("w").cast("double").alias("w")))
+    while points.count() > small:
+        index = build_index(points.withColumn("payload", F.array(F.lit(None).cast("double"))))
+        nearest = checkpoint(_search(index))
         back = nearest.select(F.col("qid").alias("pid"), F.col("pid").alias("qid"))
         pairs = nearest.join(back, ["qid", "pid"]).filter("qid < pid")
-        pairs = checkpoint(pairs.select(F.col("qid").alias("keep"), F.col("pid").alias("gone"), "cost"))
-        if pairs.isEmpty():
-            break
-        found.append(pairs)
-        points = checkpoint(_merged(points, pairs))
+        found.append(checkpoint(pairs.select(F.col("qid").alias("keep"), F.col("pid").alias("gone"), "cost")))
+        points = checkpoint(_merged(points, found[-1]))
         neighbours.release(index)
-    out = found[0] if found else spark.createDataFrame([], "keep bigint, gone bigint, cost double")
-    for more in found[1:]:
+    out = spark.createDataFrame(_merge_small(points.collect()), "keep bigint, gone bigint, cost double")
+    for more in found:
         out = out.unionByName(more)
     return checkpoint(out)
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +47,41 @@ def kmeans(t: Training) -> Fitted:
     return Fitted("spark", model=KMeans(k=_count(t, CLUSTERS), seed=SEED).fit(t.vectors))
 
 
-def gaussian_mixture(t: Training) -> Fitted:
-    model = GaussianMixture(k=_count(t, CLUSTERS), seed=SEED, maxIter=100, tol=1e-3)
-    return Fitted("spark", model=model.fit(t.vectors))
+def gaussian_mixture(t: Training, passes: int = 100, tolerance: float = 1e-3) -> Fitted:
+    """Full-covariance mixture by expectation and maximisation, started from k-means
+    clusters, so that groups far apart begin apart. A pass is one sum over the rows."""
+    d = t.d
+    start = np.array(KMeans(k=_count(t, CLUSTERS), seed=SEED).fit(t.vectors).clusterCenters())
+    k, shift = len(start), t.x_moments.x_mean
+    params, previous = None, -np.inf
+    for _ in range(passes + 1):
+        def expect(x, params=params):
+            if params is None:
+                nearest = ((start**2).sum(1) - 2 * x @ start.T).argmin(1)
+                shares, fit = np.eye(k)[nearest], 0.0
+            else:
+                scores = np.column_stack([o - 0.5 * (((x - c) @ p) * (x - c)).sum(1) for c, p, o in zip(*params)])
+                top = scores.max(1, keepdims=True)
+                shares = np.exp(scores - top)
+                norm = shares.sum(1, keepdims=True)
+                shares, fit = shares / norm, (top + np.log(norm)).sum()
+            away = x - shift
+            cross = [(away.T @ (away * shares[:, j : j + 1])).ravel() for j in range(k)]
+            return np.concatenate([[fit], shares.sum(0), (shares.T @ away).ravel(), *cross])
+
+        packed = sum_over_rows(t.df, ["x"], expect, 1 + k + k * d + k * d * d)
+        fit = packed[0] / t.rows
+        if params is not None and abs(fit - previous) < tolerance:
+            break
+        previous = fit if params is not None else -np.inf
+        counts = packed[1 : 1 + k] + 1e-10
+        means = packed[1 + k : 1 + k + k * d].reshape(k, d) / counts[:, None]
+        cross = packed[1 + k + k * d :].reshape(k, d, d) / counts[:, None, None]
+        covariances = cross - means[:, :, None] * means[:, None, :] + 1e-6 * np.eye(d)
+        offsets = np.log(counts / t.rows) - 0.5 * (np.linalg.slogdet(covariances)[1] + d * math.log(2 * math.pi))
+        params = (means + shift, np.linalg.inv(covariances), offsets)
+    centres, precisions, offsets = params
+    return Fitted("gaussian_argmax", {"centres": centres, "precisions": precisions, "offsets": offsets})
 
 
 def agglomerative(t: Training) -> Fitted:
@@ -58,7 +90,7 @@ def agglomerative(t: Training) -> Fitted:
     Copies of a position are one cluster from the start, as their union costs
     nothing, so there are at most as many clusters as positions."""
     points = distinct_points(t.df.select("x")).persist()
-    merges = merge_points(points.withColumn("ss", F.lit(0.0)))
+    merges = merge_points(points)
     names = _dense(cut(points, merges, _count(t, CLUSTERS)))
     labels = points.join(names, F.col("pid") == F.col("id")).select("x", F.col("cluster").cast("double").alias("prediction"))
     return Fitted("labels", table=labels)
@@ -111,13 +143,12 @@ def birch(t: Training, threshold: float = 0.5) -> Fitted:
     """Micro-clusters of a radius within the threshold, then Ward's clusters of
     their centres; a row belongs to its nearest centre's cluster.
 
-    Rows are first summed (count, sum, squares) in grid cells too small to exceed
-    the radius, then the sums merge with their nearest as long as the union stays
-    within it. Neither depends on how the rows are dealt out, and there is no limit
-    on the number of micro-clusters.
+    Micro-clusters are the rows' sums in the cells of a grid. They do not depend on
+    how rows are dealt out or ordered, and there is no limit on their number; groups
+    that a cell border cuts are put together again by Ward's first mergers.
     """
     micro = checkpoint(micro_clusters(t, threshold))
-    merges = merge_points(micro.select("pid", "x", F.lit(1.0).alias("w"), F.lit(0.0).alias("ss")))
+    merges = merge_points(micro.select("pid", "x", F.lit(1.0).alias("w")))
     names = _dense(cut(micro, merges, min(_count(t, CLUSTERS), micro.count())))
     labelled = micro.join(names, F.col("pid") == F.col("id")).select("pid", "x", "w", F.array(F.col("cluster").cast("double")).alias("payload"))
     if micro.count() <= CENTRES:
@@ -127,27 +158,19 @@ def birch(t: Training, threshold: float = 0.5) -> Fitted:
 
 
 def micro_clusters(t: Training, threshold: float) -> DataFrame:
-    """(pid, x, w): centres and sizes of the micro-clusters."""
-    # No two rows of a cell are further apart than twice the threshold.
+    """(pid, x, w): centre and size of every grid cell that holds rows."""
+    # No two rows of a cell are further apart than twice the threshold, so their
+    # mean squared distance to the centre is within its square.
     side = 2 * threshold / math.sqrt(t.d)
     key = F.transform("x", lambda v: F.floor(v / side))
     # Sums are of the distances from the cell's corner, which keeps their digits.
     inside = F.zip_with("x", "key", lambda v, k: v - k * side)
     rows = t.df.select("x", key.alias("key")).select("key", inside.alias("r"))
     sums = [F.sum(F.get("r", F.lit(i))).alias(f"s{i}") for i in range(t.d)]
-    squares = F.sum(F.aggregate("r", F.lit(0.0), lambda a, v: a + v * v)).alias("q")
-    cells = rows.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("w"), squares, *sums)
+    cells = rows.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("w"), *sums)
     mean = F.array(*[F.col(f"s{i}") / F.col("w") for i in range(t.d)])
-    cells = cells.select("key", "w", "q", mean.alias("m"))
-    spread = F.col("q") - F.col("w") * F.aggregate("m", F.lit(0.0), lambda a, v: a + v * v)
-    cells = with_positions(cells.select("key", "w", F.greatest(spread, F.lit(0.0)).alias("ss"), "m"), ["key"])
-    centre = F.zip_with("key", "m", lambda k, m: k * side + m)
-    cells = checkpoint(cells.select(F.col("position").alias("pid"), centre.alias("x"), "w", "ss"))
-    groups = cut(cells, merge_points(cells, radius=threshold))
-    joined = cells.join(groups, F.col("pid") == F.col("id"))
-    total = [F.sum(F.get("x", F.lit(i)) * F.col("w")).alias(f"s{i}") for i in range(t.d)]
-    merged = joined.groupBy("component").agg(F.sum("w").alias("w"), *total)
-    return merged.select(F.col("component").alias("pid"), F.array(*[F.col(f"s{i}") / F.col("w") for i in range(t.d)]).alias("x"), "w")
+    centre = F.zip_with("key", mean, lambda k, m: k * side + m)
+    return with_positions(cells.select("key", "w", centre.alias("x")), ["key"]).select(F.col("position").alias("pid"), "x", "w")
 
 
 @scorer("nearest_centre")

@@ -8,7 +8,7 @@ text columns with very many levels).
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +170,18 @@ class Preparation:
     text: list[TextPlan] = field(default_factory=list)
     # (column, value, code) of the vocabularies too large to inline.
     vocabulary: DataFrame | None = None
+    # Whether numbers are clipped, also where the fitted rows gave no bounds.
+    clipping: bool = False
+
+    def refitted_clips(self, df: DataFrame) -> Preparation:
+        """This preparation with the clip bounds of the rows of ``df`` instead of
+        those of the fitted rows; medians, scales, bins and codes stay."""
+        names = [p.column for p in [*self.binned, *self.plain]]
+        if not self.clipping or not names:
+            return self
+        clips = clip_bounds(df, names, exact_quantiles(df, names, [0.25, 0.75]))
+        again = [[replace(p, clip=clips[p.column]) for p in plans] for plans in (self.binned, self.plain)]
+        return replace(self, binned=again[0], plain=again[1])
 
     @property
     def feature_names(self) -> list[str]:
@@ -206,6 +218,7 @@ class Preparation:
             "binned": [asdict(p) for p in self.binned],
             "plain": [asdict(p) for p in self.plain],
             "text": [asdict(p) for p in self.text],
+            "clipping": self.clipping,
         }
 
     @classmethod
@@ -219,6 +232,7 @@ class Preparation:
             [number(e) for e in data["plain"]],
             [TextPlan(**e) for e in data["text"]],
             vocabulary,
+            data.get("clipping", False),
         )
 
 
@@ -247,25 +261,26 @@ def fit_preparation(
     binned = [plans[c] for c in numbers if c in specs]
     _fit_bins(table, binned, specs, rows)
     coded, vocabulary = _fit_text(table, text)
-    return Preparation(binned, plain, coded, vocabulary)
+    return Preparation(binned, plain, coded, vocabulary, config.numeric_outliers == "clip_iqr")
+
+
+def clip_bounds(df: DataFrame, numbers: list[str], quartiles: dict) -> dict:
+    """IQR fences by column; none with fewer than four values or without a spread."""
+    counts = aggregate_by_column(df, numbers, lambda c: [F.count(as_number(c))])
+    out = {}
+    for c, found in quartiles.items():
+        q1, q3 = found[0], found[-1]
+        fenced = counts[c][0] >= 4 and q3 - q1 > 0
+        out[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if fenced else None
+    return out
 
 
 def _numeric_plans(table, numbers, config, rows):
     """Median and clip bounds. Clipping at the IQR fences never moves a median."""
     quartiles = exact_quantiles(table, numbers, [0.25, 0.5, 0.75], rows=rows)
-    clipping = config.numeric_outliers == "clip_iqr"
-    counts = (
-        aggregate_by_column(table, numbers, lambda c: [F.count(as_number(c))]) if clipping else {}
-    )
-    plans = {}
-    for c, (q1, median, q3) in quartiles.items():
-        clip = None
-        if clipping and counts[c][0] >= 4 and q3 - q1 > 0:
-            reach = 1.5 * (q3 - q1)
-            clip = (q1 - reach, q3 + reach)
-        # A column without any value is filled with zero.
-        plans[c] = NumericPlan(c, 0.0 if median is None else median, clip)
-    return plans
+    clips = clip_bounds(table, numbers, quartiles) if config.numeric_outliers == "clip_iqr" else {}
+    # A column without any value is filled with zero.
+    return {c: NumericPlan(c, 0.0 if q[1] is None else q[1], clips.get(c)) for c, q in quartiles.items()}
 
 
 def _filled_table(table, plans):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -322,14 +322,21 @@ def unsupervised_metrics(fitted: Fitted, training: Training, family: str) -> dic
         return out | {note: str(error).split("\n")[0]}
 
 
-def score(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """``df`` with a ``prediction`` column, or ``embedding`` as JSON text."""
+def score(model: TrainedModel, df: DataFrame, refit_on_batch: bool = False) -> DataFrame:
+    """``df`` with a ``prediction`` column, or ``embedding`` as JSON text.
+
+    Outliers are clipped at the fences of the training rows, or with
+    ``refit_on_batch`` at those of the rows of ``df``: one row is then never clipped,
+    and a row's prediction depends on the others.
+    """
     if model.metadata["inference_method"] == "none":
         raise ValueError(
             "This unsupervised model was fit without a way to score new rows "
             "(e.g. DBSCAN, agglomerative, spectral). Use an algorithm with "
             "predict or transform (KMeans, GMM, PCA, isolation forest, …)."
         )
+    if refit_on_batch:
+        model = replace(model, preparation=model.preparation.refitted_clips(missing_as_null(df)))
     return _scored(model, df)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,8 +96,17 @@ def approximate_rows(spark: SparkSession, path: str) -> int:
 
 
 def load_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of objects, or one object; JSON lines work as well."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON array of objects, one object, or an object on every line.
+
+    Files whose first line is a whole object are read line by line, and split; an
+    array, or an object over several lines, is read as one piece.
+    """
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    try:
+        by_line = first is not None and isinstance(json.loads(first.value), dict)
+    except ValueError:
+        by_line = False
+    return spark.read.schema(schema).option("multiLine", not by_line).json(path)
 
 
 def rows_to_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:

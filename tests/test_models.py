@@ -177,8 +177,8 @@ def test_ward_clusters(spark, monkeypatch, small):
 
 
 def test_equal_distances_merge_in_few_rounds():
-    rows = [Row(pid=i, x=[float(i)], w=1.0, ss=0.0) for i in range(512)]
-    merges = merging._merge_small(rows, None)
+    rows = [Row(pid=i, x=[float(i)], w=1.0) for i in range(512)]
+    merges = merging._merge_small(rows)
     assert len(merges) == 511 and len({m[1] for m in merges}) == 511
     cost = np.sort([m[2] for m in merges])
     assert cost[0] == 0.5 and (cost[:150] == 0.5).all()
@@ -193,9 +193,25 @@ def test_micro_clusters_do_not_depend_on_the_partitions(spark):
         t = Training(t.df.repartition(parts), t.rows, t.d)
         found.append(sorted((round(r.w), [round(v, 9) for v in r.x]) for r in clusters.micro_clusters(t, 0.5).collect()))
     assert found[0] == found[1] and sum(w for w, _ in found[0]) == 400 and 10 < len(found[0]) < 300
-    # Every micro-cluster keeps within the radius: rows are nearer to some centre.
-    centres = np.array([c for _, c in found[0]])
-    assert np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2)).min(1).max() <= 1.0
+    # Cells of a side of twice the radius over the root of the width.
+    keys = np.floor(x * np.sqrt(2))
+    cells, of = np.unique(keys, axis=0, return_inverse=True)
+    want = sorted((int((of.ravel() == c).sum()), np.round(x[of.ravel() == c].mean(0), 9).tolist()) for c in range(len(cells)))
+    assert [w for w, _ in want] == [w for w, _ in found[0]]
+    assert np.sort([c for _, c in want], axis=0) == pytest.approx(np.sort([c for _, c in found[0]], axis=0), abs=1e-8)
+    radius = [np.sqrt(((x[of.ravel() == c] - x[of.ravel() == c].mean(0)) ** 2).sum(1).mean()) for c in range(len(cells))]
+    assert max(radius) <= 0.5
+    labels = labels_of(clusters.birch(task(spark, x)), x, task(spark, x).df)
+    assert len(set(labels)) == 8
+
+
+def test_more_centres_than_travel_with_the_tasks(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 2)) * 2
+    t = task(spark, x)
+    few = labels_of(clusters.birch(t), x, t.df)
+    monkeypatch.setattr(clusters, "CENTRES", 3)
+    assert labels_of(clusters.birch(t), x, t.df) == few
 
 
 def test_leading_vectors_and_rings(spark):

@@ -432,16 +432,44 @@ def _metrics_only(spec):
 
 
 # Topics, independent sources and dictionary atoms are found up to order, sign or
-# mixture, mixtures and spectral clusters up to a local optimum: their metrics are
-# reported.
+# mixture, variational mixtures up to a local optimum: their metrics are reported.
 _METRICS_ONLY = {
-    "lda_topic", "fast_ica", "kernel_pca", "dictionary_learning", "gaussian_mixture",
-    "bayesian_gaussian_mixture", "spectral", "feature_agglomeration",
+    "lda_topic", "fast_ica", "kernel_pca", "dictionary_learning", "bayesian_gaussian_mixture", "spectral",
 }
+
+
+@query("train_feature_agglomeration", "SELECT 'x' || lpad(i::VARCHAR, 2, '0') AS feature, i % 8 AS cluster FROM range(24) r(i), part GROUP BY 1, 2")
+def train_feature_agglomeration(spark, sf):
+    """Columns that follow one of eight others up to a small remainder."""
+    key = F.col("p_partkey")
+    base = [F.xxhash64(key, F.lit(i % 8)) / F.lit(float(1 << 63)) for i in range(24)]
+    rest = [F.xxhash64(key, F.lit(i + 100)) / F.lit(float(1 << 63)) for i in range(24)]
+    df = table(spark, sf, "part").select(*[(a + 0.05 * b).alias(f"x{i:02d}") for i, (a, b) in enumerate(zip(base, rest))])
+    model = training.fit_unsupervised(df, "clustering", "feature_agglomeration")
+    rows = list(zip(df.columns, model.fitted.facts["feature_labels"]))
+    return spark.createDataFrame(rows, "feature string, cluster bigint")
+
+
+@query(
+    "micro_clusters",
+    """SELECT round(avg(l_quantity * 10 + l_discount), 6) AS x, round(avg(l_suppkey * 10 + l_tax), 6) AS y,
+  count(*)::DOUBLE AS w FROM lineitem
+  GROUP BY floor((l_quantity * 10 + l_discount) / (1 / sqrt(2.0))), floor((l_suppkey * 10 + l_tax) / (1 / sqrt(2.0)))""",
+)
+def micro_clusters(spark, sf):
+    """Micro-clusters of thousands of groups."""
+    x = [F.col("l_quantity") * 10 + F.col("l_discount"), F.col("l_suppkey") * 10 + F.col("l_tax")]
+    df = table(spark, sf, "lineitem").select(*[c.cast("double").alias(n) for c, n in zip(x, "xy")])
+    t = numbers(df, df.columns)
+    found = clusters.micro_clusters(t, 0.5)
+    t.df.unpersist()
+    return rounded(found.select(F.get("x", F.lit(0)).alias("x"), F.get("x", F.lit(1)).alias("y"), "w"), "x", "y")
+
+
 for _spec in UNSUPERVISED:
     if _spec.id in _METRICS_ONLY:
         _metrics_only(_spec)
-    elif _spec.id not in ("pca", "dbscan"):
+    elif _spec.id not in ("pca", "dbscan", "feature_agglomeration"):
         {"clustering": _clustering, "anomaly": _anomaly, "decomposition": _decomposition}[_spec.family](_spec)
 
 
