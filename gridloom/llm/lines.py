@@ -9,10 +9,11 @@ table do not vote, and a block of a single word is no key, so blocks select.
 
 Two lines link if they agree in a block and their edit similarity is 0.8 or more;
 of every connected group the first occurrence (smallest document id, then line
-number) stays. Members of a block key meet in rounds of stars, not in pairs: all
-are compared with one of them, those that link are one group, and the next round
-compares what is left with the next one. Once few pairs of different groups are
-left, these are compared; cheap bounds of the edit distance go first.
+number) stays. Members of a block key meet in rounds of stars, not in pairs. First every
+line is compared with one other, the smallest that it shares a key with, and those
+that link are one group; then all members of a key are compared with one of another
+group, and the next round takes the next one. Once few pairs of different groups
+are left, these are compared; cheap bounds of the edit distance go first.
 
 Texts are normalised once and written to the shared folder. Distinct lines are
 shuffled once by id, and their words are summed there. A key or line that holds a
@@ -23,6 +24,8 @@ adaptive execution splits; counts and minima combine before the shuffle.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,8 +134,8 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     x, y = (texts.select(F.col("id").alias(i), F.col("norm").alias(t)) for i, t in (("a", "x"), ("b", "y")))
     both = pairs.distinct().join(x, "a").join(y, "b")
     both = both.withColumn("budget", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int"))
-    bands = [F.expr(f"budget > {n} AND levenshtein(x, y, {n}) >= 0") for n in (16, 64, 256)]
-    close = bands[0] | bands[1] | bands[2] | F.expr("levenshtein(x, y, budget) >= 0")
+    bands = [F.expr(f"budget > {n} AND levenshtein(x, y, {n}) >= 0") for n in (16, 64, 256, 1024, 4096)]
+    close = reduce(or_, bands) | F.expr("levenshtein(x, y, budget) >= 0")
     return both.filter(close).select("a", "b")
 
 
@@ -152,9 +155,15 @@ def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
 def line_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that connect all lines that links of ``members`` (key, id and
     letter counts) connect; ``texts`` is (id, norm)."""
-    links, groups = None, None
-    most = PAIRS_LEFT * members.count()
+    size = members.count()
+    least = members.groupBy("key").agg(F.min("id").alias("a"))
+    first = members.join(least, "key").filter("a <> id").groupBy("id").agg(F.min("a").alias("a"))
+    links = checkpoint(similar(first.select("a", F.col("id").alias("b")), texts))
+    groups, found = None, links
     for turn in range(ROUNDS + 1):
+        if found.count() * 50 > size:
+            # Links join groups; so few that little would change do not.
+            groups = checkpoint(components(links).select("id", F.col("component").alias("g")))
         placed = _grouped(members, groups)
         sizes = placed.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("id").alias("first"))
         square = F.sum(F.col("n").cast("double") * F.col("n"))
@@ -168,23 +177,22 @@ def line_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         if not pairs:
             break
         placed = checkpoint(placed.join(spread.select("key", "hub", "hub_g"), "key"))
-        if turn < ROUNDS and (turn == 0 or pairs > most):
-            # Every member of another group against the smallest line of the key.
-            hubs = placed.filter("id = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("n_chars", *[f"c{i}" for i in range(len(CLASSES))])])
-            tried = placed.filter("g <> hub_g").join(hubs, "key").filter(may_be_similar("h_", ""))
-            found = similar(tried.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts)
-            # The hub has met all others; links join groups for the next round.
-            members = placed.filter("id <> hub").select(*members.columns)
-        else:
+        last = turn == ROUNDS or pairs <= PAIRS_LEFT * size
+        if last:
             sides = [placed.select("key", *[F.col(c).alias(f"{p}{c}") for c in placed.columns if c != "key"]) for p in ("l_", "r_")]
             met = sides[0].join(sides[1], "key").filter((F.col("l_id") < F.col("r_id")) & (F.col("l_g") != F.col("r_g")) & may_be_similar("l_", "r_"))
-            found = similar(met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), texts)
-            members = None
-        found = checkpoint(found)
-        links = found if links is None else checkpoint(links.unionByName(found))
-        if members is None:
+            tried = met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+        else:
+            # Every member of another group against the smallest line of the key,
+            # which has then met all others and goes.
+            hubs = placed.filter("id = hub").select("key", *[F.col(c).alias(f"h_{c}") for c in ("n_chars", *[f"c{i}" for i in range(len(CLASSES))])])
+            met = placed.filter("g <> hub_g").join(hubs, "key").filter(may_be_similar("h_", ""))
+            tried = met.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+            members = placed.filter("id <> hub").select(*members.columns)
+        found = checkpoint(similar(tried, texts))
+        links = checkpoint(links.unionByName(found))
+        if last:
             break
-        groups = checkpoint(components(links).select("id", F.col("component").alias("g")))
     return links
 
 
@@ -196,10 +204,7 @@ def line_groups(lines: DataFrame) -> DataFrame:
     texts = lines.join(lookup(ids, ids.count()), F.col("id") == F.col("wanted"), "left_semi")
     texts = checkpoint(texts.groupBy("id").agg(F.first("norm").alias("norm")))
     members = checkpoint(members.join(texts.select("id", *letter_counts(F.col("norm"))), "id"))
-    links = line_links(members, texts)
-    if links is None:
-        return ids.select(F.col("wanted").alias("id"), F.col("wanted").alias("component")).limit(0)
-    return components(links)
+    return components(line_links(members, texts))
 
 
 def lost_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
