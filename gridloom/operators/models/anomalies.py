@@ -287,20 +287,28 @@ def _one_class(fitted, df):
 # --- elliptic envelope ----------------------------------------------------------
 
 
+# Rows that the first starts are tried on, their number, and how many of them are
+# carried on with all rows.
+START_ROWS, STARTS, CARRIED = 1_500, 500, 10
+
+
 def elliptic_envelope(t: Training, contamination: float = 0.05, passes: int = 30) -> Fitted:
-    """Minimum covariance determinant by concentration steps over all rows."""
-    m, d = t.x_moments, t.d
+    """Minimum covariance determinant (Rousseeuw & Van Driessen 1999): many starts
+    from d + 1 rows each are concentrated on a bounded sample, the best of them on
+    all rows, and the best of these until the determinant stays."""
+    d = t.d
     share = min(1.0, 0.5 * (t.rows + d + 1) / t.rows)
-    centre, covariance, before = m.x_mean, m.covariance, np.inf
+    found = _sample_starts(t, share)
+    for _ in range(2):
+        found = _concentrated(t, found, share)
+    centre, covariance = min(found, key=lambda f: _log_size(f[1]))
+    before = _log_size(covariance)
     for _ in range(passes):
-        precision = np.linalg.pinv(covariance, hermitian=True)
-        limit = _distance_quantile(t, centre, precision, share)
-        kept = _kept_moments(t, centre, precision, limit)
-        centre, covariance = kept
-        size = np.linalg.slogdet(covariance + 1e-12 * np.eye(d))[1]
+        after = _concentrated(t, [(centre, covariance)], share)[0]
+        size = _log_size(after[1])
         if before - size < 1e-6:
             break
-        before = size
+        (centre, covariance), before = after, size
     # Rescale to the median distance, then keep all rows within the 97.5 % ring.
     precision = np.linalg.pinv(covariance, hermitian=True)
     median = _distance_quantile(t, centre, precision, 0.5)
@@ -314,6 +322,65 @@ def elliptic_envelope(t: Training, contamination: float = 0.05, passes: int = 30
     )
 
 
+def _log_size(covariance) -> float:
+    return float(np.linalg.slogdet(covariance + 1e-12 * np.eye(len(covariance)))[1])
+
+
+def _sample_starts(t, share):
+    """The best (centre, covariance) of starts from few rows, after two
+    concentration steps on a sample of bounded size each, and then until they stay."""
+    rows = t.df.select("x").orderBy(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id())).limit(START_ROWS)
+    x = np.array([r.x for r in rows.collect()], float)
+    draw, half = np.random.default_rng(SEED), max(int(math.ceil(share * len(x))), 1)
+    ridge = 1e-9 * np.diag(x.var(0) + 1e-12)
+
+    def step(centre, covariance):
+        gap = x - centre
+        kept = x[np.argsort(((gap @ np.linalg.pinv(covariance + ridge, hermitian=True)) * gap).sum(1), kind="stable")[:half]]
+        return kept.mean(0), np.cov(kept.T, bias=True).reshape(t.d, t.d)
+
+    found = []
+    for _ in range(STARTS if len(x) > t.d + 1 else 1):
+        few = x[draw.choice(len(x), min(t.d + 1, len(x)), replace=False)]
+        start = step(*step(few.mean(0), np.cov(few.T, bias=True).reshape(t.d, t.d)))
+        found.append((_log_size(start[1]), start))
+    best = [start for _, start in sorted(found, key=lambda f: f[0])[:CARRIED]]
+    for i, start in enumerate(best):
+        for _ in range(20):
+            after = step(*start)
+            if _log_size(start[1]) - _log_size(after[1]) < 1e-6:
+                break
+            start = after
+        best[i] = start
+    return best
+
+
+def _concentrated(t, starts, share):
+    """One concentration step of every start over all rows: two passes."""
+    precisions = [np.linalg.pinv(c, hermitian=True) for _, c in starts]
+    gaps = t.df.select(*[_distance(m, p)("x").alias(f"g{i}") for i, ((m, _), p) in enumerate(zip(starts, precisions))])
+    limits = exact_quantiles(gaps, gaps.columns, [share], rows=t.rows)
+    limits = [limits[f"g{i}"][0] for i in range(len(starts))]
+    d = t.d
+    size = 1 + d + d * d
+
+    def statistic(x):
+        out = []
+        for (m, _), p, limit in zip(starts, precisions, limits):
+            gap = x - m
+            gap = gap[((gap @ p) * gap).sum(1) <= limit]
+            out.append(np.concatenate([[len(gap)], gap.sum(0), (gap.T @ gap).ravel()]))
+        return np.concatenate(out)
+
+    packed = sum_over_rows(t.df, ["x"], statistic, size * len(starts)).reshape(len(starts), size)
+    after = []
+    for (m, _), row in zip(starts, packed):
+        n = max(row[0], 1.0)
+        shift = row[1 : 1 + d] / n
+        after.append((m + shift, row[1 + d :].reshape(d, d) / n - np.outer(shift, shift)))
+    return after
+
+
 def _distance(centre, precision):
     return numeric_output(lambda x: (((x - centre) @ precision) * (x - centre)).sum(1))
 

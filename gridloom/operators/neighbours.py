@@ -56,8 +56,9 @@ class Index:
     low: np.ndarray
     high: np.ndarray
     sizes: np.ndarray
-    # Largest difference of an axis ("maximum") or straight distance ("euclidean").
-    metric: str = "euclidean"
+    # Largest difference of an axis ("maximum"), straight distance ("euclidean"), or
+    # straight with codes: (axes that are numbers, width of a differing code).
+    metric: str | tuple[int, float] = "euclidean"
     # (cell, part, n, low, high) of all parts, and how crowded ones were cut.
     parts: DataFrame | None = None
     part_cuts: list[DataFrame] = field(default_factory=list)
@@ -83,6 +84,8 @@ class Index:
         for j in range(x.shape[1]):
             value = x[:, j][:, None]
             gap = np.maximum(np.maximum(self.low[:, j] - value, value - self.high[:, j]), 0)
+            if isinstance(self.metric, tuple) and j >= self.metric[0]:
+                gap = np.where(gap > 0, self.metric[1], 0.0)
             total = np.maximum(total, gap) if self.metric == "maximum" else total + gap * gap
         return total if self.metric == "maximum" else np.sqrt(total)
 
@@ -102,7 +105,7 @@ def _mapped(df: DataFrame, function, column: str, kind: str) -> DataFrame:
     return df.withColumn(column, apply("x"))
 
 
-def build_index(points: DataFrame, metric: str = "euclidean") -> Index:
+def build_index(points: DataFrame, metric: str | tuple[int, float] = "euclidean") -> Index:
     """Cells over the points by repeated quantile cuts, a level per pass, and parts
     of the cells that are crowded."""
     points = points.persist()
@@ -225,7 +228,7 @@ def _cut_crowded(index: Index, d: int) -> None:
         index.points = checkpoint(_descended(index.points, index.part_cuts[-1]))
 
 
-def _box_distance(metric: str):
+def _box_distance(metric):
     """Distance of a row's ``x`` to its box (``low``, ``high``)."""
     gaps = F.zip_with(
         F.zip_with("low", "x", lambda a, v: F.greatest(a - v, F.lit(0.0))),
@@ -234,6 +237,8 @@ def _box_distance(metric: str):
     )
     if metric == "maximum":
         return F.array_max(gaps)
+    if isinstance(metric, tuple):
+        gaps = F.transform(gaps, lambda g, j: F.when((j >= metric[0]) & (g > 0), F.lit(float(metric[1]))).otherwise(g))
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
 
 
@@ -304,15 +309,17 @@ def block_work(index: Index, queries: DataFrame, work: Callable, schema: str) ->
     return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(work, schema)
 
 
-def distances(q: np.ndarray, p: np.ndarray, metric: str = "euclidean"):
+def distances(q: np.ndarray, p: np.ndarray, metric: str | tuple[int, float] = "euclidean"):
     """Row ranges of the queries with their exact distances to all points."""
     step = max(1, int(4_000_000 / max(1, p.size)))
     for start in range(0, len(q), step):
         gaps = q[start : start + step][:, None, :] - p[None, :, :]
+        if isinstance(metric, tuple):
+            gaps[:, :, metric[0] :] = np.where(gaps[:, :, metric[0] :] != 0, metric[1], 0.0)
         yield start, np.abs(gaps).max(2) if metric == "maximum" else np.sqrt((gaps**2).sum(2))
 
 
-def _nearest_in_block(k: int, metric: str):
+def _nearest_in_block(k: int, metric):
     def work(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"qid": [], "near": []})

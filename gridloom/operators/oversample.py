@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.functions.columns import as_class, categorical_columns, numeric_columns, ref
 from gridloom.operators.neighbours import build_index, distinct_points, nearest
+from gridloom.operators.ordering import with_positions
+from gridloom.session import bounded_lookup, checkpoint
 
 SEED = 42
+# New rows of one position that one task writes at most.
+CHUNK = 100_000
 
 
 def oversample(train: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -62,99 +64,80 @@ def _mismatch_width(table, numbers, sizes):
 
 
 def _synthetic(rows, numbers, text, width, k, wanted, size):
-    """``wanted`` new rows of one class."""
-    levels = {c: _levels(rows, c) for c in text}
+    """``wanted`` new rows of one class.
+
+    Positions are the numbers, then a code for each text column; a differing code
+    adds the same whatever the codes are, so there may be any number of levels.
+    """
+    coded, tables = rows, []
     place = [ref(c).cast("double") for c in numbers]
-    for c in text:
-        place.extend(_indicators(c, levels[c], width))
-    points = distinct_points(rows.select(F.array(*place).alias("x"), *[ref(c) for c in text]))
-    index = build_index(points)
+    for i, c in enumerate(text):
+        levels, step = _codes(rows, c, i, width)
+        coded = coded.join(bounded_lookup(levels, levels.count()), ref(c).cast("string") == F.col(f"_level{i}"))
+        place.append(F.col(f"_code{i}") * step)
+        tables.append((levels, step))
+    points = distinct_points(coded.select(F.array(*place).alias("x")))
+    index = build_index(points, (len(numbers), width) if text else "euclidean")
     queries = index.points.select(F.col("pid").alias("qid"), "x")
     # One more than k: the list holds the row's own position as well.
     near = nearest(index, queries, k + 1)
+    around = _neighbour_places(index, near, k)
     # New rows in proportion to the copies: the difference of a rounded running
     # total, which adds up to exactly ``wanted``.
     upto = lambda total: F.floor(total / F.lit(float(size)) * wanted)
-    seeded = index.points.join(near, F.col("pid") == F.col("qid")).select(
-        "pid",
-        "x",
-        "w",
-        "near",
-        (upto(F.col("upto")) - upto(F.col("upto") - F.col("w"))).cast("int").alias("made"),
-    )
-    jobs = seeded.filter("made > 0").select(
-        "pid", "x", "w", "near", F.explode(F.sequence(F.lit(1), F.col("made"))).alias("copy")
-    )
-    n = len(numbers)
-    schema = T.StructType(
-        [T.StructField(c, T.DoubleType()) for c in numbers]
-        + [T.StructField(c, T.StringType()) for c in text]
-    )
-
-    def draw(batches):
-        for batch in batches:
-            made = []
-            for pid, x, w, near, copy in zip(
-                batch.pid, batch.x, batch.w, batch.near, batch["copy"]
-            ):
-                random = np.random.default_rng([SEED, pid, copy])
-                around = [e for e in near if e["pid"] != pid or w > 1][:k] or list(near)
-                other = around[random.integers(len(around))]
-                made.append((x, np.asarray(other["x"]), random.uniform(), around))
-            yield _rows(made, n, numbers, text, levels)
-
-    located = _with_positions_of(jobs, index)
-    return located.mapInPandas(draw, schema)
-
-
-def _with_positions_of(jobs, index):
-    """Neighbour entries with the neighbour's coordinates."""
-    flat = jobs.select("pid", "x", "w", "copy", F.posexplode("near").alias("place", "e"))
-    points = index.points.select(F.col("pid").alias("npid"), F.col("x").alias("nx"))
-    return (
-        flat.join(points, F.col("e.pid") == F.col("npid"))
-        .groupBy("pid", "copy")
-        .agg(
-            F.first("x").alias("x"),
-            F.first("w").alias("w"),
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "place", F.col("e.pid").alias("pid"), F.col("nx").alias("x"),
-                    )
-                )
-            ).alias("near"),
-        )
+    seeded = index.points.join(around, "pid").select(
+        "pid", "x", "around", (upto(F.col("upto")) - upto(F.col("upto") - F.col("w"))).alias("made")
     )
+    jobs = _spread(seeded.filter("made > 0"))
+    pick = F.pmod(F.xxhash64(F.lit(SEED), "pid", "copy"), F.size("around")).cast("int")
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "pid", "copy"), 11) / F.lit(float(1 << 53))
+    drawn = jobs.select("x", "around", share.alias("share"), F.get("around", pick).alias("other"))
+    columns = []
+    for i, c in enumerate(numbers):
+        own, far = F.get("x", F.lit(i)), F.get("other", F.lit(i))
+        columns.append((own + F.col("share") * (far - own)).alias(c))
+    for i, c in enumerate(text):
+        columns.append(_most_frequent(len(numbers) + i).alias(f"_place{i}"))
+    out = drawn.select(*columns)
+    for i, (c, (levels, step)) in enumerate(zip(text, tables)):
+        named = levels.select(F.col(f"_level{i}").alias(c), (F.col(f"_code{i}") * step).alias(f"_place{i}"))
+        out = out.join(bounded_lookup(named, named.count()), f"_place{i}").drop(f"_place{i}")
+    return out
 
 
-def _levels(rows, column):
-    found = rows.select(ref(column).cast("string")).distinct().limit(2001).collect()
-    if len(found) > 2000:
-        raise ValueError(f"SMOTE: column {column!r} has more than 2000 levels.")
-    return sorted(r[0] for r in found)
-
-
-def _indicators(column, levels, width):
-    # Two indicators differ on a mismatch: half the squared width each.
-    side = width / np.sqrt(2)
-    return [
-        F.when(ref(column).cast("string") == level, F.lit(float(side))).otherwise(0.0)
-        for level in levels
-    ]
-
-
-def _rows(made, n, numbers, text, levels):
-    columns = {}
-    for i, c in enumerate(numbers):
-        columns[c] = [x[i] + u * (o[i] - x[i]) for x, o, u, _ in made]
-    at = n
-    for c in text:
-        size = len(levels[c])
-        part = slice(at, at + size)
-        columns[c] = [
-            levels[c][int(np.argmax(sum(np.asarray(e["x"])[part] > 0 for e in around)))]
-            for _, _, _, around in made
-        ]
-        at += size
-    return pd.DataFrame(columns)
+def _codes(rows, column, i, width):
+    """(level, code) of a text column, and the step between codes: their spread is
+    that of a mismatch, so that cells are cut along the numbers first."""
+    found = rows.select(ref(column).cast("string").alias(f"_level{i}")).distinct()
+    levels = checkpoint(with_positions(found, [f"_level{i}"]).withColumnRenamed("position", f"_code{i}"))
+    return levels, width / max(levels.count(), 1)
+
+
+def _neighbour_places(index, near, k):
+    """(pid, around): the places of up to ``k`` neighbours of every position, without
+    its own unless it has copies or no neighbour."""
+    flat = near.select(F.col("qid").alias("pid"), F.posexplode("near").alias("rank", "e"))
+    others = index.points.select(F.col("pid").alias("npid"), F.col("x").alias("nx"), F.col("w").alias("nw"))
+    # At most k + 1 entries each.
+    entry = F.struct("rank", ((F.col("npid") != F.col("pid")) | (F.col("nw") > 1)).alias("usable"), F.col("nx").alias("x"))
+    listed = flat.join(others, F.col("e.pid") == F.col("npid")).groupBy("pid").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    usable = F.slice(F.filter("all", lambda e: e["usable"]), 1, k)
+    return listed.select("pid", F.transform(F.when(F.size(usable) > 0, usable).otherwise(F.col("all")), lambda e: e["x"]).alias("around"))
+
+
+def _spread(seeded):
+    """Every position once for each new row; a position with very many of them is
+    first cut into chunks that go to several tasks."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("made") - 1) / CHUNK)))
+    chunks = seeded.withColumn("chunk", chunk)
+    if seeded.filter(F.col("made") > CHUNK).limit(1).count():
+        chunks = chunks.repartition(seeded.sparkSession.sparkContext.defaultParallelism)
+    last = F.least(F.col("made"), (F.col("chunk") + 1) * CHUNK) - 1
+    return chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk", "made")
+
+
+def _most_frequent(axis):
+    """The code that most neighbours share; of equal numbers the smallest."""
+    codes = F.transform("around", lambda x: F.get(x, F.lit(axis)))
+    counted = F.transform(codes, lambda c: F.struct(F.size(F.filter(codes, lambda d: d == c)).alias("n"), (-c).alias("minus")))
+    return -F.array_max(counted)["minus"]

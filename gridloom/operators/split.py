@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.columns import as_class, ref
 from gridloom.operators.target import MAX_CLASSES, class_distribution
-from gridloom.session import cache_small
+from gridloom.session import BROADCAST_ROWS, cache_small, checkpoint
 
 # Hash values the last selection step may compare one by one.
 SELECT_ROWS = 500_000
@@ -36,8 +36,8 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with the smallest hashes per class are the test set.
 
-    Equal rows are grouped and their copies numbered; the hash covers the row's
-    content, the copy's number and the seed. So every row is drawn by itself,
+    Copies of a row are numbered; the hash covers the row's content, the copy's
+    number and the seed. So every row is drawn by itself,
     copies spread over both sides, and the split does not depend on partitioning
     or row order. Per class only the hash at the quota is looked for; the split
     itself is then a filter.
@@ -65,10 +65,30 @@ def train_test_split(
 def numbered_copies(df: DataFrame, seed: int) -> DataFrame:
     """The rows of ``df`` with ``_h``, a hash of content and copy number.
 
-    Equal rows are counted before the shuffle; a row with very many copies is
-    written out again in chunks of bounded size by several tasks.
+    Hashes of the rows are counted first. A row whose hash is single has copy number
+    zero and stays where it is; only rows of repeated hashes move, to be counted in
+    full. If these are too many for a lookup, all rows are counted.
     """
     columns = [ref(c) for c in df.columns]
+    key = F.xxhash64(F.lit("row"), *columns)
+    repeated = df.select(key.alias("_r")).groupBy("_r").count().filter("count > 1").select("_r")
+    repeated = checkpoint(repeated)
+    rows = repeated.count()
+    if rows > BROADCAST_ROWS:
+        return _counted_copies(df, seed)
+    content = F.xxhash64(F.lit(seed), *columns, F.lit(0).cast("long"))
+    marked = F.shiftrightunsigned(content, 1).alias("_h")
+    if not rows:
+        return df.select(*columns, marked)
+    lookup = F.broadcast(repeated)
+    single = df.join(lookup, key == F.col("_r"), "left_anti").select(*columns, marked)
+    return single.unionByName(_counted_copies(df.join(lookup, key == F.col("_r"), "left_semi"), seed))
+
+
+def _counted_copies(df: DataFrame, seed: int) -> DataFrame:
+    """Equal rows are counted before the shuffle; a row with very many copies is
+    written out again in chunks of bounded size by several tasks."""
+    columns = [ref(c) for c in df.columns]
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _CHUNK)))
     chunks = counted.select(*columns, "_n", chunk.alias("_c"))

@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridloom.operators import eigen, merging, neighbours
+from gridloom.operators import eigen, merging, neighbours, prepare
 from gridloom.operators.components import connected_components
-from gridloom.operators.models import bayes, clusters, decomposition, linear, native, registry
+from gridloom.operators.models import anomalies, bayes, clusters, decomposition, linear, native, registry
 from gridloom.operators.models.base import Training, apply_model
 from gridloom.plans import training
 from gridloom.sources import store
@@ -251,6 +251,34 @@ def test_theil_sen_and_ransac_with_outliers(spark):
     assert np.abs((away / np.sqrt((away**2).sum(1))[:, None]).sum(0)).max() < 1e-3
 
 
+def test_envelope_with_many_outliers_in_one_place(spark):
+    draw = np.random.default_rng(11)
+    x = np.vstack([draw.normal(size=(420, 3)), draw.normal(size=(180, 3)) * 0.3 + [6, 6, 0]])
+    fitted = anomalies.elliptic_envelope(task(spark, x), contamination=0.3)
+    assert np.abs(fitted.params["centre"]).max() < 0.3
+    labels = labels_of(fitted, x, task(spark, x).df)
+    assert all(v == -1 for v in labels[420:]) and sum(v == -1 for v in labels[:420]) <= 2
+
+
+def test_mixture_starts_apart(spark):
+    draw = np.random.default_rng(12)
+    centres = draw.permutation([[10.0 * i, 10.0 * (i * 5 % 8)] for i in range(8)])
+    x = np.vstack([c + draw.normal(size=(40, 2)) * (0.2 + 0.1 * i) for i, c in enumerate(centres)])
+    t = task(spark, x)
+    assert same_groups(labels_of(clusters.gaussian_mixture(t), x, t.df), np.repeat(np.arange(8), 40).tolist())
+
+
+def test_clip_bounds_of_the_batch(spark):
+    rows = [(float(i), "a") for i in range(20)] + [(500.0, "b")]
+    df = spark.createDataFrame(rows, "v double, c string")
+    fitted = prepare.fit_preparation(df, ["v", "c"], prepare.resolve_config({"numeric_outliers": "clip_iqr"}))
+    one = df.filter("v = 500")
+    first = lambda p, d: p.transform(d).first().x[0]
+    assert first(fitted, one) < 50 and first(fitted.refitted_clips(one), one) == 500
+    assert first(prepare.Preparation.from_dict(fitted.to_dict()).refitted_clips(one), one) == 500
+    assert fitted.refitted_clips(df).to_dict() == fitted.to_dict()
+
+
 def test_feature_groups(spark):
     draw = np.random.default_rng(2)
     base = draw.normal(size=(200, 8))

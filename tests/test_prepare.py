@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from gridloom.operators import metrics, quality, split, sums
+from gridloom.operators import metrics, neighbours, quality, split, sums
+from gridloom.operators import oversample as oversampling
 from gridloom.operators.models import bayes
 from gridloom.operators.models.base import Training
 from gridloom.operators.oversample import oversample
@@ -88,6 +89,17 @@ def test_split_spreads_ten_distinct_rows(spark):
     assert {r.v: r["count"] for r in again.groupBy("v").count().collect()} == counts
 
 
+def test_split_does_not_depend_on_how_copies_are_found(spark, monkeypatch):
+    rows = [(i % 70, "a" if i % 3 else None) for i in range(200)] + [(900 + i, "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "v int, c string")
+    found = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(split, "BROADCAST_ROWS", most)
+        _, test = split.train_test_split(df, "v", stratify=False)
+        found.append(sorted(map(str, test.collect())))
+    assert found[0] == found[1] and len(found[0]) == 52
+
+
 def test_split_divides_copies(spark, monkeypatch):
     monkeypatch.setattr(split, "_CHUNK", 7)
     df = spark.createDataFrame([(1, "a")] * 90 + [(2, "b")] * 10, "v int, y string")
@@ -122,6 +134,34 @@ def test_oversample_text(spark):
     assert small.count() == 30 and [r.t for r in small.select("t").distinct().collect()] == ["w"]
 
 
+def test_oversample_any_number_of_levels(spark):
+    rows = [(float(i), "big", f"t{i}") for i in range(3000)] + [(5000.0 + i, "small", f"s{i // 3:04d}") for i in range(2100 * 3 // 3)]
+    made = oversample(spark.createDataFrame(rows, "a double, y string, t string"), "y", ["a", "t"])
+    small = made.filter("y = 'small'")
+    assert small.count() == 3000 and small.filter("t not like 's%'").count() == 0 and small.select("t").distinct().count() <= 700
+
+
+def test_oversample_hot_position(spark, monkeypatch):
+    monkeypatch.setattr(oversampling, "CHUNK", 10)
+    rows = [(float(i), "x", "big") for i in range(200)] + [(1.5, "m", "small")] * 9 + [(9.5, "n", "small")]
+    made = oversample(spark.createDataFrame(rows, "a double, t string, y string"), "y", ["a", "t"])
+    small = made.filter("y = 'small'").collect()
+    assert len(small) == 200 and all(1.5 <= r.a <= 9.5 and r.t in "mn" for r in small)
+    assert len({r.a for r in small}) > 50
+
+
+def test_mixed_distance(spark):
+    draw = np.random.default_rng(1)
+    x = np.column_stack([draw.normal(size=(300, 2)), draw.integers(0, 40, 300) * 0.02])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    index = neighbours.build_index(neighbours.distinct_points(df), (2, 0.7))
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)], "qid bigint, x array<double>")
+    for r in neighbours.nearest(index, queries, 4).collect():
+        gap = x - x[r.qid]
+        want = np.sort(np.sqrt((gap[:, :2] ** 2).sum(1) + 0.49 * (gap[:, 2] != 0)))[:4]
+        assert [e.distance for e in r.near] == pytest.approx(want.tolist(), abs=1e-12)
+
+
 def test_macro_f1_counts_absent_labels(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "c"), ("b", "b")], "label string, prediction string")
     row = metrics.classification_metrics(metrics.confusion(df)).first()
