@@ -44,7 +44,8 @@ def _count(t: Training, wanted: int) -> int:
 
 
 def kmeans(t: Training) -> Fitted:
-    return Fitted("spark", model=KMeans(k=_count(t, CLUSTERS), seed=SEED).fit(t.vectors))
+    model = KMeans(k=_count(t, CLUSTERS), seed=SEED, maxIter=300, initSteps=5)
+    return Fitted("spark", model=model.fit(t.vectors))
 
 
 def gaussian_mixture(t: Training, passes: int = 100, tolerance: float = 1e-3) -> Fitted:
