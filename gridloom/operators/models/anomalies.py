@@ -210,23 +210,23 @@ def _density(lists, reach):
 def _outlier_factor(fitted, df):
     """Density of a new row against the densities of its neighbours."""
     k = int(fitted.params["k"])
+    start = F.struct(F.lit(k).cast("bigint").alias("left"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("density"))
 
-    @F.pandas_udf("double")
-    def factor(near: pd.Series) -> pd.Series:
-        out = []
-        for entries in near:
-            left, gap, density = k, 0.0, 0.0
-            for e in entries:
-                take = min(left, e["w"])
-                left -= take
-                gap += take * max(e["distance"], e["payload"][0])
-                density += take * e["payload"][1]
-            rows = k - left
-            out.append(-(density / rows) * (gap / rows + 1e-10))
-        return pd.Series(out, dtype=float)
+    def step(state, e):
+        take = F.least(state["left"], e["w"])
+        reach = F.greatest(e["distance"], F.get(e["payload"], F.lit(0)))
+        return F.struct(
+            (state["left"] - take).alias("left"),
+            (state["gap"] + take * reach).alias("gap"),
+            (state["density"] + take * F.get(e["payload"], F.lit(1))).alias("density"),
+        )
+
+    def factor(state):
+        rows = k - state["left"]
+        return -(state["density"] / rows) * (state["gap"] / rows + F.lit(1e-10))
 
     found = lookup(fitted, df, k)
-    return _flagged(found, factor("near"), -1.5).drop("near")
+    return _flagged(found, F.aggregate("near", start, step, factor), -1.5).drop("near")
 
 
 # --- one-class margin ----------------------------------------------------------

@@ -27,6 +27,9 @@ MAX_DEPTH = 30
 MAX_BINS = 128
 # As many candidate cuts as the single tree.
 FOREST_BINS = MAX_BINS
+# Leaves that the trees of a forest may have together, as Spark keeps all trees on
+# the driver: a leaf holds at least the rows of all trees divided by this.
+FOREST_LEAVES = 100_000
 
 
 def _fit(estimator, t: Training) -> Fitted:
@@ -131,10 +134,10 @@ def _forest(t: Training, trees: int, features: str) -> Fitted:
             numTrees=trees,
             maxDepth=MAX_DEPTH,
             maxBins=FOREST_BINS,
-            minInstancesPerNode=1,
+            minInstancesPerNode=max(1, round(trees * t.rows / FOREST_LEAVES)),
             featureSubsetStrategy=features,
             seed=SEED,
-            maxMemoryInMB=1024,
+            maxMemoryInMB=512,
         ),
         t,
     )

@@ -321,37 +321,42 @@ def distances(q: np.ndarray, p: np.ndarray, metric: str | tuple[int, float] = "e
 
 def _nearest_in_block(k: int, metric):
     def work(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        names = ["qid", "distance", "pid", "w", "payload"]
         if not len(queries) or not len(points):
-            return pd.DataFrame({"qid": [], "near": []})
+            return pd.DataFrame({n: [] for n in names})
         q, p = np.stack(queries.qx.to_numpy()), np.stack(points.x.to_numpy())
         pid, w, payload = points.pid.to_numpy(), points.w.to_numpy(), points.payload.to_numpy()
-        keep, near = min(k, len(p)), []
+        keep, parts = min(k, len(p)), []
         for _, gaps in distances(q, p, metric):
-            for row in gaps:
-                # All points as near as the k-th, then the smallest ids of equals.
-                limit = np.partition(row, keep - 1)[keep - 1]
-                close = np.nonzero(row <= limit)[0]
-                close = close[np.lexsort((pid[close], row[close]))][:keep]
-                near.append(
-                    [
-                        {"distance": row[i], "pid": pid[i], "w": w[i], "payload": payload[i]}
-                        for i in close
-                    ]
-                )
-        return pd.DataFrame({"qid": queries.qid.to_numpy(), "near": near})
+            # All points as near as the k-th, then the smallest ids of equals.
+            limit = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
+            row, at = np.nonzero(gaps <= limit[:, None])
+            order = np.lexsort((pid[at], gaps[row, at], row))
+            row, at = row[order], at[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            best = at[first[:, None] + np.arange(keep)]
+            parts.append((np.take_along_axis(gaps, best, 1), best))
+        gap, best = (np.vstack(x) for x in zip(*parts))
+        found = [gap, pid[best], w[best], payload[best]]
+        return pd.DataFrame({"qid": queries.qid.to_numpy(), **{n: list(v) for n, v in zip(names[1:], found)}})
 
     return work
 
 
+def _listed(found: DataFrame) -> DataFrame:
+    """(qid, near) of (qid, distance, pid, w, payload), arrays of one length."""
+    return found.select("qid", F.arrays_zip("distance", "pid", "w", "payload").cast(NEAR).alias("near"))
+
+
 def nearest(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(qid, near): the ``k`` nearest distinct points of every query, in order.
 
     ``queries`` has ``qid`` and ``x``. Equal distances are ordered by ``pid``.
     """
-    schema = f"qid bigint, near {NEAR}"
+    schema = "qid bigint, distance array<double>, pid array<bigint>, w array<bigint>, payload array<array<double>>"
     work = _nearest_in_block(k, index.metric)
     own = index.place(queries.select("qid", "x"))
-    first = _merged(block_work(index, own, work, schema), k).persist()
+    first = _merged(_listed(block_work(index, own, work, schema)), k).persist()
     if index.cells == 1 and not index.part_cuts:
         return first
     bound = F.when(F.size("near") >= k, F.element_at("near", -1)["distance"]).otherwise(
@@ -365,7 +370,7 @@ def nearest(index: Index, queries: DataFrame, k: int) -> DataFrame:
     further = near_boxes(index, limits, ["bound"], lambda bound: bound[:, None])
     elsewhere = (F.col("cell") != F.col("own_cell")) | (F.col("part") != F.col("own_part"))
     further = further.filter(elsewhere).select("qid", "x", "cell", "part")
-    second = block_work(index, further, work, schema)
+    second = _listed(block_work(index, further, work, schema))
     return _merged(first.unionByName(second), k)
 
 
