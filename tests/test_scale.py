@@ -1,9 +1,12 @@
 """Work that must not grow faster than the table, on small tables."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.models import trees
+from gridloom.operators import neighbours
+from gridloom.operators.models import clusters, trees
 from gridloom.operators.models.base import Training, apply_model
 
 
@@ -38,3 +41,78 @@ def test_descend_reaches_the_leaves():
     left, right = np.array([1, -1, 3, -1, -1, -1]), np.array([2, -1, 4, -1, -1, -1])
     x = np.array([[0.5, 9.0], [0.6, 2.0], [0.6, 2.1]])
     assert trees.descend(x, [0, 5], feature, cut, left, right).tolist() == [[1, 5], [3, 5], [4, 5]]
+
+
+def _block(x):
+    queries = pd.DataFrame({"qid": np.arange(len(x)), "qx": list(x)})
+    points = pd.DataFrame({"pid": np.arange(len(x))[::-1], "x": list(x), "w": 1, "payload": [np.zeros(1)] * len(x)})
+    return queries, points
+
+
+@pytest.mark.parametrize("metric, d", [("maximum", 3), ("euclidean", 2), ((2, 2.0), 3), ("euclidean", 20)])
+def test_block_search_compares_few_pairs(monkeypatch, metric, d):
+    """Equal to all pairs, with ties by id, without measuring them."""
+    draw = np.random.default_rng(3)
+    x = np.round(draw.uniform(0, 3, size=(2000, d)), 2 if d < 20 else 3)
+    x[:, -1] = np.round(x[:, -1]) * 10 if d == 3 else x[:, -1]
+    measured, inner = [], neighbours.distances
+
+    def counted(q, p, *rest):
+        measured.append(len(q) * len(p))
+        return inner(q, p, *rest)
+
+    monkeypatch.setattr(neighbours, "distances", counted)
+    queries, points = _block(x)
+    found = neighbours._nearest_in_block(4, metric)(queries, points)
+    assert sum(measured) < 2000 * 2000 / 2
+    gaps = x[:, None] - x[None]
+    if isinstance(metric, tuple):
+        gaps[:, :, metric[0] :] = np.where(gaps[:, :, metric[0] :] != 0, metric[1], 0.0)
+    gaps = np.abs(gaps).max(2) if metric == "maximum" else np.sqrt((gaps**2).sum(2))
+    pid = points.pid.to_numpy()
+    order = np.array([np.lexsort((pid, row))[:4] for row in gaps])
+    assert (np.stack(found.pid) == pid[order]).all()
+    assert (np.stack(found.distance) == np.take_along_axis(gaps, order, 1)).all()
+
+
+def test_cells_are_ruled_out_in_groups(monkeypatch):
+    draw = np.random.default_rng(4)
+    low = draw.normal(size=(500, 2))
+    sizes = draw.integers(0, 3, 500)
+    index = neighbours.Index(None, [], [], low, low + 0.1, sizes)
+    x, bound = draw.normal(size=(400, 2)), np.broadcast_to(draw.uniform(0, 0.3, 400)[:, None], (400, 500))
+    want = [np.flatnonzero(row & (sizes > 0)) for row in index.box_distance(x) <= bound]
+    measured, inner = [], neighbours.Index.box_distance
+
+    def counted(self, x, cells=slice(None)):
+        out = inner(self, x, cells)
+        measured.append(out.size)
+        return out
+
+    monkeypatch.setattr(neighbours.Index, "box_distance", counted)
+    got = index.near_cells(x, bound)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert sum(measured) < 400 * 500 / 4
+
+
+def test_dbscan_block_links_as_all_pairs():
+    draw = np.random.default_rng(5)
+    x = np.round(draw.uniform(0, 20, size=(600, 2)), 1)
+    queries, points = _block(x)
+    points["pid"] = np.arange(600)
+    edges = clusters._forest(0.5)(queries, points)
+    parent = np.arange(600)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    close = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5
+    for a, b in zip(*np.nonzero(close)):
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = [root(i) for i in range(600)]
+    parent = np.arange(600)
+    for a, b in zip(edges.src, edges.dst):
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert [root(i) for i in range(600)] == want
