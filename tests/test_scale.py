@@ -36,6 +36,14 @@ def test_tree_takes_one_pass_a_level(spark, monkeypatch):
     assert len(leaves) > 50 and max(abs(r.prediction - r.mean) for r in leaves) < 1e-9
 
 
+def test_tree_splits_nodes_with_a_missing_label(spark):
+    label = F.when(F.col("id") % 10 != 0, (F.col("id") % 7).cast("double"))
+    df = spark.range(80).select(F.array(F.col("id").cast("double")).alias("x"), label.alias("label"))
+    value = trees.extra_tree(Training(df, 80, 1)).params
+    leaves = value["feature"] < 0
+    assert np.isnan(value["value"][leaves]).sum() == 8 and leaves.sum() > 40
+
+
 def test_descend_reaches_the_leaves():
     feature, cut = np.array([0, -1, 1, -1, -1, -1]), np.array([0.5, 0, 2.0, 0, 0, 0])
     left, right = np.array([1, -1, 3, -1, -1, -1]), np.array([2, -1, 4, -1, -1, -1])
