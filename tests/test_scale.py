@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import neighbours
+from gridloom.operators import association, neighbours
 from gridloom.operators.models import clusters, trees
 from gridloom.operators.models.base import Training, apply_model
 
@@ -124,3 +124,27 @@ def test_dbscan_block_links_as_all_pairs():
     for a, b in zip(edges.src, edges.dst):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert [root(i) for i in range(600)] == want
+
+
+def test_bins_are_found_by_halving(spark):
+    cuts = [float(v) for v in range(63)] + [5.0]
+    values = [None, float("nan"), -1.0, 0.0, 0.5, 5.0, 5.1, 61.0, 62.0, 99.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select(association._bin_of(F.col("v"), cuts)).collect()
+    assert [r[0] for r in rows] == [None, 63, 0, 0, 1, 5, 6, 61, 62, 63]
+    few = df.select(association._bin_of(F.col("v"), [5.0])).collect()
+    assert [r[0] for r in few] == [None, 1, 0, 0, 0, 0, 1, 1, 1, 1]
+
+    class Counted:
+        compared = 0
+
+        def __gt__(self, other):
+            Counted.compared += 1
+            return F.lit(True)
+
+        def isNotNull(self):
+            return F.lit(True)
+
+    # Every cut point is written once, and lies on few paths.
+    shown = str(association._bin_of(Counted(), cuts))
+    assert Counted.compared == 63 and "+" not in shown
