@@ -396,3 +396,16 @@ def test_labels_without_scoring(spark):
     assert training.fitted_labels(model, df).count() == 80
     with pytest.raises(ValueError, match="score new rows"):
         training.score(model, df)
+
+
+def test_leading_vectors_of_eigenvalues_close_to_one_take_few_products(spark, monkeypatch):
+    # Eigenvalues of a ring of n: cos(2 pi k / n), each twice.
+    n, made = 400, []
+    edges = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst", "1D AS weight")
+    times = eigen._times
+    monkeypatch.setattr(eigen, "_times", lambda *a: made.append(1) or times(*a))
+    vectors, values = eigen.leading_vectors(eigen.normalised(edges)[0], 3)
+    assert values == pytest.approx([1.0] + [np.cos(2 * np.pi / n)] * 2, abs=1e-6)
+    v = np.array([r.v for r in vectors.orderBy("id").collect()])
+    moved = (np.roll(v, 1, 0) + np.roll(v, -1, 0)) / 2
+    assert np.sqrt(((moved - v * values) ** 2).sum(0)).max() < 3e-4 and len(made) <= 220
