@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridloom.operators import eigen, merging, neighbours, prepare
+from gridloom.operators import eigen, merging, neighbours, prepare, sums
 from gridloom.operators.components import connected_components
 from gridloom.operators.models import anomalies, bayes, clusters, decomposition, linear, native, registry
 from gridloom.operators.models.base import Training, apply_model
@@ -409,3 +409,34 @@ def test_leading_vectors_of_eigenvalues_close_to_one_take_few_products(spark, mo
     v = np.array([r.v for r in vectors.orderBy("id").collect()])
     moved = (np.roll(v, 1, 0) + np.roll(v, -1, 0)) / 2
     assert np.sqrt(((moved - v * values) ** 2).sum(0)).max() < 3e-4 and len(made) <= 220
+
+
+def test_packed_rows_give_sums_and_exact_quantiles(spark):
+    draw = np.random.default_rng(3)
+    x = np.vstack([draw.normal(size=(700, 2)) * 1e-9, draw.normal(size=(500, 2)) * 1e12, np.zeros((301, 2))])
+    t = task(spark, x, np.arange(len(x), dtype=float))
+
+    def scores(x, y):
+        return np.column_stack([x[:, 0], np.where(y % 3 == 0, np.nan, -x[:, 1]), np.full(len(x), np.nan)])
+
+    with sums.PackedRows(t.df, ["x", "label"], 2) as rows:
+        total = rows.sum(lambda x, y: np.array([len(x), y.sum(), *x.sum(0)]), 4)
+        found = {p: rows.quantile(scores, 3, p) for p in (0.0, 0.25, 0.9371, 1.0)}
+    y = np.arange(len(x))
+    assert total == pytest.approx([len(x), y.sum(), *x.sum(0)])
+    for p, (a, b, none) in found.items():
+        assert a == pytest.approx(np.quantile(x[:, 0], p), rel=1e-12)
+        assert b == pytest.approx(np.quantile(-x[y % 3 != 0, 1], p), rel=1e-12) and none is None
+
+
+def test_models_of_many_passes_pack_their_rows_once(spark, monkeypatch):
+    made = []
+    start = sums.PackedRows.__init__
+    monkeypatch.setattr(sums.PackedRows, "__init__", lambda self, *a: made.append(1) or start(self, *a))
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 2))
+    t = task(spark, x, x @ [1.0, 2.0] + draw.normal(size=300))
+    for fit in (linear.median_regression, linear.linear_support_regression, anomalies.elliptic_envelope):
+        made.clear()
+        fit(t)
+        assert made == [1]
