@@ -148,3 +148,10 @@ def test_bins_are_found_by_halving(spark):
     # Every cut point is written once, and lies on few paths.
     shown = str(association._bin_of(Counted(), cuts))
     assert Counted.compared == 63 and "+" not in shown
+
+
+def test_neighbour_radii_are_worked_out_once(spark):
+    df = spark.createDataFrame([(float(i * i % 37), "ab"[i % 2]) for i in range(60)], "v double, y string")
+    found = association.information_nearest(df, "y", ["v"])
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert found.first().mutual_info >= 0
