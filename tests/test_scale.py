@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import association, neighbours
+from gridloom.operators import association, neighbours, ordering
 from gridloom.operators.models import clusters, trees
 from gridloom.operators.models.base import Training, apply_model
 
@@ -155,3 +155,16 @@ def test_neighbour_radii_are_worked_out_once(spark):
     found = association.information_nearest(df, "y", ["v"])
     assert "collect_list" not in found._jdf.queryExecution().toString()
     assert found.first().mutual_info >= 0
+
+
+def test_brackets_of_many_quantiles_are_read_in_numpy(spark, monkeypatch):
+    """A condition of thirty brackets is more than the JVM compiles."""
+    groups, gathered = [], ordering._gathered
+    monkeypatch.setattr(ordering, "_gathered", lambda table, group: groups.append(len(group)) or gathered(table, group))
+    values = [float(i * i % 1009) if i % 7 else None for i in range(1500)]
+    df = spark.createDataFrame([(v, -v if v is not None else float("nan")) for v in values], "a double, b double")
+    shares = [j / 19 for j in range(20)]
+    found = ordering.exact_quantiles(df, ["a", "b"], shares, one_pass_rows=0)
+    kept = np.array([v for v in values if v is not None])
+    assert found["a"] == pytest.approx(np.quantile(kept, shares)) and found["b"] == pytest.approx(np.quantile(-kept, shares))
+    assert groups and max(groups) <= 30
