@@ -168,6 +168,48 @@ def test_links_do_not_depend_on_the_rounds(spark, monkeypatch, rounds, left):
     assert got == dict(enumerate(brute(list(enumerate(names)))))
 
 
+def test_lines_of_common_words_meet_their_near_copies(spark):
+    """Lines that no block holds: common words alone, few words, few letters."""
+    random.seed(21)
+    common = ["river", "stone", "under", "green", "light", "winter", "seven", "paper", "north", "glass", "bread", "house"]
+    filler = [" ".join(random.sample(common, 12)) + " tail%dx%d end%d" % (i, i * 7, i * 31) for i in range(150)]
+    pairs = [
+        ("river stone under green light winter seven paper north glass", "river stone under green light winter seven paper north bread"),
+        ("house bread glass north paper seven winter light green under stone river", "house bread glass north paper seven winter light green under stone river river"),
+        ("river paper river paper river paper river glass house " * 20, "river paper river paper river paper river glass house " * 20 + "stone"),
+        ("seven winter green paper stone house under", "seven winter green paper stone under"),
+        ("green house paper winter seven it on", "green house paper winter seven to an"),
+        ("telescope marmalade", "telescope marmalades"),
+        ("elephants", "elephamts"),
+        ("abcdefghijkl", "abdefghijkml"),
+        ("abcd", "abcde"),
+    ]
+    other = [("abcd", "abxd"), ("glass river", "house under"), ("telescope marmalade", "telescope orangepeel")]
+    names = [n for pair in pairs + other for n in pair] + filler
+    names = [normal(n) for n in dict.fromkeys(names)]
+    words = Counter(w for n in names for w in n.split(" "))
+    most = max(100, int(0.01 * len(names)))
+    assert all(words[w] > most for w in common)
+    bare = block_keys([normal(x) for pair in pairs for x in pair], set(common))
+    assert not any(bare[i] & bare[i + 1] for i in range(0, len(bare), 2))
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    gone = {r.text for r in df.join(lines.deduplicate_lines(df).filter("n_removed > 0").select("doc_id"), "doc_id").collect()}
+    for a, b in pairs:
+        a, b = normal(a), normal(b)
+        assert distance(a, b) <= max(len(a), len(b)) * 0.2 and (b in gone or a in gone)
+    assert not gone & {"abxd", "house under", "telescope orangepeel"}
+    assert not gone & set(filler)
+
+
+def test_short_lines_meet_all_lines_within_their_budget(spark):
+    random.seed(22)
+    names = list({"".join(random.choices("ab", k=random.randint(1, 14))) for _ in range(400)})
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    keys = {r.norm: set(r.k) for r in df.select("norm", lines.letter_keys(F.col("norm")).alias("k")).collect()}
+    near = [(a, b) for a, b in combinations(names, 2) if distance(a, b) <= max(len(a), len(b)) * 0.2 + 1e-9]
+    assert len(near) > 100 and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.deduplicate_lines(empty).count() == 0
