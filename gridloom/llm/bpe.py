@@ -20,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import chunks, whole
 
-# Characters a task turns into symbols at a time, and words it remembers.
-CHUNK_CHARS = 2_000_000
+# Bytes of text that a task takes, and of words that it turns into symbols, at a time;
+# words it remembers.
+CHUNK_BYTES = 250_000
 MEMO_WORDS = 400_000
 NONE = np.iinfo(np.int64).max
 
@@ -226,13 +228,13 @@ class Coder:
                 parts.append(self._words(unicodedata.normalize("NFC", part)))
                 fresh.update(parts[-1])
             found.append(parts)
-        fresh -= self.memo.keys()
+        fresh = {w for w in fresh if w not in self.memo}
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo.clear()
             fresh = {w for parts in found for p in parts if isinstance(p, list) for w in p}
         fresh = list(fresh)
         encoded = [w.encode("utf-8", "replace") for w in fresh]
-        for a, b in chunks(encoded, [len(w) for w in encoded], CHUNK_CHARS):
+        for a, b in chunks(encoded, [len(w) for w in encoded], CHUNK_BYTES):
             self.memo.update(zip(fresh[a:b], merge_rounds(encoded[a:b], self.v), strict=True))
         memo = self.memo.__getitem__
         return [
@@ -275,9 +277,10 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def work(batches):
         coder = _coder(path, shipped)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts, [len(t) for t in texts], CHUNK_CHARS):
-                ids = coder.encode(texts[a:b])
+            texts = batch.column(1)
+            # Only one chunk of a batch is Python strings at a time.
+            for a, b in chunks(texts, pc.binary_length(texts).to_pylist(), CHUNK_BYTES):
+                ids = coder.encode(texts.slice(a, b - a).to_pylist())
                 decoded = [coder.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],

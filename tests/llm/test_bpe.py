@@ -44,3 +44,37 @@ def test_odd_texts(spark):
     for row in got:
         assert (bytes(row.ids), row.decoded) == expected(tokenizer, texts[row.doc_id or 0])
     assert bpe.encode_and_decode(df.limit(0), PATH).count() == 0
+
+
+def test_a_task_takes_a_batch_in_small_parts(spark, monkeypatch):
+    """Memory of a task follows the part, not the batch."""
+    random.seed(4)
+    texts = [" ".join("w%d" % random.randrange(10**6) for _ in range(200)) for _ in range(900)] + [None, "é" * 300_000]
+    taken = []
+    encode = bpe.Coder.encode
+    monkeypatch.setattr(bpe.Coder, "encode", lambda self, part: taken.append(sum(len(t.encode()) for t in part)) or encode(self, part))
+    monkeypatch.setattr(bpe, "_coder", lambda path, shipped: bpe.Coder(bpe.Vocabulary.read(PATH)))
+
+    class Frame:
+        """Runs the task's function here, over one batch."""
+
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        def select(self, *columns):
+            return Frame(self.df.select(*columns))
+
+        def mapInArrow(self, work, schema):
+            self.out = list(work([self.df.toArrow().combine_chunks().to_batches()[0]]))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self.out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = bpe.encode_and_decode(Frame(df), PATH)
+    assert sum(taken) == sum(len((t or "").encode()) for t in texts)
+    assert sorted(taken)[-2] <= 250_000 and max(taken) == 600_000
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    got = {i: (bytes(x), d) for b in out for i, x, d in zip(*(c.to_pylist() for c in b.columns))}
+    assert [got[i] for i in range(len(texts))] == [expected(tokenizer, t) for t in texts]
