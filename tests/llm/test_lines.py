@@ -210,6 +210,27 @@ def test_short_lines_meet_all_lines_within_their_budget(spark):
     assert len(near) > 100 and all(keys[a] & keys[b] for a, b in near)
 
 
+def test_only_lines_that_may_meet_one_without_a_block_have_keys(spark):
+    """Long lines of many voting words hold no key; the others meet as before."""
+    random.seed(23)
+    common = ["river", "stone", "under", "green", "light", "winter", "seven", "paper", "north", "glass"]
+    long = [" ".join("w%dx%d" % (i, j) for j in range(30)) for i in range(200)]
+    base = [random.sample(common, 9) + ["only%d" % i] for i in range(20)]
+    bare = [" ".join(ws) for ws in base] + [" ".join(ws[:-1] + ["other%d" % i]) for i, ws in enumerate(base)]
+    ids = list(enumerate(long + bare))
+    hashes = [h for (h,) in spark.createDataFrame([(w,) for w in common], "w string").select(F.xxhash64("w")).collect()]
+    found = lines.word_keys(spark.createDataFrame(ids, "id long, norm string"), hashes).collect()
+    rows = {r.id: r for r in found if r["keys"]}
+    assert set(rows) == set(range(len(long), len(ids))) and all(r.rest for r in rows.values())
+    table = spark.createDataFrame(ids, "id long, norm string")
+    members = lines.rest_members(table, spark.createDataFrame([(w,) for w in common], "common string")).collect()
+    keys = {}
+    for r in members:
+        keys.setdefault(r.id, set()).add(r.key)
+    assert len(members) == len(set(members))
+    assert all(keys[len(long) + i] & keys[len(long) + 20 + i] for i in range(20))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.deduplicate_lines(empty).count() == 0
