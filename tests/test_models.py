@@ -440,3 +440,23 @@ def test_models_of_many_passes_pack_their_rows_once(spark, monkeypatch):
         made.clear()
         fit(t)
         assert made == [1]
+
+
+def test_topics_do_not_depend_on_how_rows_are_dealt(spark):
+    """Every round sums over all rows: groups of features come out as topics."""
+    rng = np.random.default_rng(5)
+    shares = np.repeat(np.eye(3), 4, axis=1) / 4
+    counts = [[float(v) for v in rng.multinomial(40, shares[i % 3])] for i in range(60)] + [[0.0] * 12]
+    df = spark.createDataFrame([(c,) for c in counts], "x array<double>")
+    found = []
+    for parts in (1, 5):
+        model = decomposition.topics(Training(df.repartition(parts), len(counts), 12))
+        rows = apply_model(model, df).collect()
+        found.append(np.array([r.embedding for r in rows]))
+    np.testing.assert_allclose(found[0], found[1], atol=1e-6)
+    assert np.allclose(found[0][:-1].sum(1), 1) and not found[0][-1].any()
+    # Rows of different groups share next to nothing; those of a group the same topics.
+    alike = found[0][:-1] @ found[0][:-1].T
+    groups = np.arange(60) % 3
+    same = groups[:, None] == groups[None]
+    assert alike[same].mean() > 2 * alike[~same].mean()
