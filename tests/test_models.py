@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import eigen, merging, neighbours, prepare, sums
 from gridloom.operators.components import connected_components
-from gridloom.operators.models import anomalies, bayes, clusters, decomposition, linear, native, registry
+from gridloom.operators.models import anomalies, base, bayes, clusters, decomposition, linear, native, registry
 from gridloom.operators.models.base import Training, apply_model
 from gridloom.plans import training
 from gridloom.sources import store
@@ -460,3 +460,14 @@ def test_topics_do_not_depend_on_how_rows_are_dealt(spark):
     groups = np.arange(60) % 3
     same = groups[:, None] == groups[None]
     assert alike[same].mean() > 2 * alike[~same].mean()
+
+
+def test_failing_metrics_end_the_run(spark, monkeypatch):
+    def failing(fitted, df):
+        return df.withColumn("prediction", F.raise_error(F.lit("no labels")).cast("double")).withColumn("score", F.lit(0.0))
+
+    monkeypatch.setitem(base.SCORERS, "failing", failing)
+    t = task(spark, np.arange(12.0).reshape(6, 2))
+    for family in ("clustering", "anomaly"):
+        with pytest.raises(Exception, match="no labels"):
+            training.unsupervised_metrics(base.Fitted("failing"), t, family)
