@@ -36,6 +36,41 @@ def test_tree_takes_one_pass_a_level(spark, monkeypatch):
     assert len(leaves) > 50 and max(abs(r.prediction - r.mean) for r in leaves) < 1e-9
 
 
+def _parity(spark, rows=400):
+    """Rows that only small nodes tell apart, and three features that never change."""
+    x = F.array(*[F.lit(1.0)] * 3, F.col("id").cast("double"))
+    return spark.range(rows).select(x.alias("x"), (F.xxhash64("id") % 3 == 0).cast("double").alias("label"))
+
+
+@pytest.mark.parametrize("name, bound", [("MAX_NODES", 60), ("MAX_LEVELS", 3), ("MAX_LEVELS", 200)])
+def test_trees_grow_to_their_end(spark, monkeypatch, name, bound):
+    """Beyond the driver's nodes and levels, too, and where the features tried first
+    are constant; as in a single tree without bounds, every row gets its own label."""
+    monkeypatch.setattr(trees, name, bound)
+    monkeypatch.setattr(trees, "SUBTREE_NUMBERS", 500, raising=False)
+    monkeypatch.setattr(trees, "MOVED_NUMBERS", 3000, raising=False)
+    df = _parity(spark)
+    fitted = trees._grow(Training(df, 400, 4, 2), 3)
+    assert (fitted.table is None) == (bound == 200)
+    again = df.unionByName(df).unionByName(df.withColumn("x", F.transform("x", lambda v: v + 0.0)))
+    right = apply_model(fitted, again).agg(F.count(F.lit(1)), F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()
+    assert tuple(right) == (1200, 1.0)
+    assert bound == 200 or len(fitted.params["feature"]) < 500
+
+
+def test_subtrees_hold_the_means_of_their_rows():
+    draw = np.random.default_rng(5)
+    x, y, node = draw.integers(0, 30, (500, 2)).astype(float), draw.normal(size=500), np.arange(500) % 3 + 7
+    p = trees._grown(x, y, node, 0, draw)
+    assert p["nodes"].tolist() == [7, 8, 9]
+    for i in range(3):
+        leaf = trees._leaf_of(x[node == 7 + i], i, p["feature"], p["cut"], p["left"], p["right"])
+        for one in np.unique(leaf):
+            inside = x[node == 7 + i][leaf == one]
+            assert (inside == inside[0]).all()
+            assert abs(p["value"][one, 0] - y[node == 7 + i][leaf == one].mean()) < 1e-9
+
+
 def test_tree_splits_nodes_with_a_missing_label(spark):
     label = F.when(F.col("id") % 10 != 0, (F.col("id") % 7).cast("double"))
     df = spark.range(80).select(F.array(F.col("id").cast("double")).alias("x"), label.alias("label"))
