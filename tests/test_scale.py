@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.llm import components
 from gridloom.operators import association, neighbours, ordering
 from gridloom.operators.models import clusters, trees
 from gridloom.operators.models.base import Training, apply_model
+from gridloom.session import checkpoint
 
 
 def test_tree_takes_one_pass_a_level(spark, monkeypatch):
@@ -36,6 +38,23 @@ def test_tree_takes_one_pass_a_level(spark, monkeypatch):
     assert len(leaves) > 50 and max(abs(r.prediction - r.mean) for r in leaves) < 1e-9
 
 
+def _guess(df):
+    """Digits of the planner's guess of a table's size."""
+    return len(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
+
+
+def test_checkpoints_do_not_pass_guesses_on(spark):
+    """The size that the planner guesses grows with no round of a loop, and an exploded
+    table has none that is too low."""
+    edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components.components(edges)
+    assert found.select("component").distinct().count() == 1
+    assert _guess(found) < 100
+    long = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("v"))
+    kept = checkpoint(long)
+    assert kept.count() == 10_000 and _guess(kept) > 9
+
+
 def _parity(spark, rows=400):
     """Rows that only small nodes tell apart, and three features that never change."""
     x = F.array(*[F.lit(1.0)] * 3, F.col("id").cast("double"))
